@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from asserta.llm import bpe, langid
+from asserta.llm import bpe, decontam, langid, secrets
 from asserta.llm._common import table
 
 
@@ -29,10 +29,20 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"), ["doc_id"])
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
+
+
+def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaked(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_langid": op2_langid,
         "op3_bpe": op3_bpe,
+        "op4_secrets": op4_secrets,
+        "op10_decontam": op10_decontam,
     }
 
 

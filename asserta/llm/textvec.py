@@ -45,27 +45,38 @@ class Words(NamedTuple):
     hash: np.ndarray  # of each word
 
 
-def words(texts: pa.LargeStringArray, lower: bool = True) -> Words:
-    """texts has no nulls."""
+def raw(texts: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts, and where each begins and the last ends. texts has no nulls."""
     at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     whole = texts.buffers()[2]
     data = np.frombuffer(whole, np.uint8)[at[0] : at[-1]] if whole is not None and at[-1] > at[0] else np.zeros(0, np.uint8)
-    at = at - at[0]
-    n = len(data)
-    ink = ~_SPACE[data]
+    return data, at - at[0]
+
+
+def runs(ink: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of `ink` begin and end; none goes across the beginning of a text."""
     begins, ends = ink.copy(), ink.copy()
     begins[1:] &= ~ink[:-1]
     ends[:-1] &= ~ink[1:]
-    edge = at[:-1][at[:-1] < n]
+    edge = at[:-1][at[:-1] < len(ink)]
     begins[edge] = ink[edge]
     edge = at[1:][at[1:] > 0] - 1
     ends[edge] = ink[edge]
-    start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    value = _VALUE if lower else _RAW
+    return np.flatnonzero(begins), np.flatnonzero(ends) + 1
+
+
+def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = True) -> np.ndarray:
+    n = len(data)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(value[data] * _power(_BASE, n), out=sums[1:])
-    hashed = mix((sums[end] - sums[start]) * _power(_INVERSE, n + 1)[start])
-    return Words(data, at, start, end, np.searchsorted(start, at), hashed)
+    np.cumsum((_VALUE if lower else _RAW)[data] * _power(_BASE, n), out=sums[1:])
+    return mix((sums[end] - sums[start]) * _power(_INVERSE, n + 1)[start])
+
+
+def words(texts: pa.LargeStringArray, lower: bool = True) -> Words:
+    """texts has no nulls."""
+    data, at = raw(texts)
+    start, end = runs(~_SPACE[data], at)
+    return Words(data, at, start, end, np.searchsorted(start, at), hash_spans(data, start, end, lower))
 
 
 _RAW = _VALUE.copy()
@@ -89,8 +100,6 @@ def windows(hashes: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarra
     inside = np.repeat(full, many)
     out[inside] = summed[word[inside]]
     for d in np.flatnonzero(~full & (counts > 0)):
-        total = np.uint64(counts[d])
-        for k, h in enumerate(hashes[first[d] : first[d + 1]]):
-            total = np.add(total, np.multiply(h, step[k], dtype=np.uint64), dtype=np.uint64)
-        out[out_first[d]] = total
+        own = hashes[first[d] : first[d + 1]]
+        out[out_first[d]] = (own * np.array(step[: len(own)], np.uint64)).sum(dtype=np.uint64) + np.uint64(counts[d])
     return mix(out), out_first
