@@ -73,7 +73,7 @@ MOST_BITS = 1 << 26
 
 def _slots(key: Column, seed: int, bits: int, hashes: int) -> list[Column]:
     """Bit positions of a key by double hashing."""
-    a, b = F.xxhash64(F.lit(seed), key), F.xxhash64(F.lit(~seed), key)
+    a, b = (F.pmod(F.xxhash64(F.lit(s), key), F.lit(bits)) for s in (seed, ~seed))
     return [F.pmod(a + F.lit(i) * b, F.lit(bits)) for i in range(hashes)]
 
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from asserta.llm import bpe, decontam, langid, secrets
+from asserta.llm import bpe, chat, decontam, langid, secrets, url_filter
 from asserta.llm._common import table
 
 
@@ -17,6 +17,31 @@ def remainder(of: str, by: int) -> Column:
     return F.pmod(F.crc32(F.col(of).cast("string").cast("binary")), F.lit(by))
 
 
+#: Fixed values of the contract: host, path, verdict.
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+URL_SQL = r"""
+WITH parsed AS (
+    SELECT page_id, url,
+        translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path
+    FROM pages
+), rules(h, p, v) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+best AS (
+    SELECT page_id, host, path, (
+        SELECT arg_max(struct_pack(rule := h || p, v := v), length(h || p)) FROM rules
+        WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)) AS r
+    FROM parsed
+)
+SELECT page_id, host, path, r.rule AS rule, coalesce(r.v, 'allow') AS verdict FROM best
+"""
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, url_filter.RULES)
+    return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
+
+
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     docs = docs.withColumn("held_out", F.coalesce(remainder("doc_id", 3) == 1, F.lit(False)))
@@ -33,18 +58,27 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
 
 
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    control = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", control), (-1, 1, "assistant", control)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    return chat.digests(rows.unionAll(more))
+
+
 def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaked(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_url_filter": op1_url_filter,
         "op2_langid": op2_langid,
         "op3_bpe": op3_bpe,
         "op4_secrets": op4_secrets,
+        "op5_chat": op5_chat,
         "op10_decontam": op10_decontam,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_url_filter": URL_SQL, "op5_chat": chat.SQL}

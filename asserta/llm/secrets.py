@@ -14,20 +14,20 @@ weighted by n over the mean n, go through the step-up rule of Benjamini and Hoch
 Offsets count code points; ends are exclusive. Edge cases: a null text is an empty one and has no spans. Rows are
 independent, so null or repeated ids, ties and extra columns change nothing; matches that begin at the same place are
 listed as assign, access, hex, random. Work per text is linear but for the positions of many matches, which are summed
-in blocks of BLOCK."""
+in blocks."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from asserta.llm._expr import let, running
+
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"  # the pattern's `+` with 18 characters or more: a shorter match ends where no other can begin
 HEX = r"(?<![0-9a-f])[0-9a-f]{16,}"
 CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}"
-ALPHA, Q, BLOCK = 0.001, 0.01, 256
+ALPHA, Q = 0.001, 0.01
 KINDS = ("assign", "access", "hex", "random")
 #: Encodings by rising size; signs in order, and the share of equal pairs in text written with them.
 ENCODINGS = (
@@ -45,26 +45,6 @@ ENCODINGS = (
 )
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value), where value is computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
-def running(counts: Column) -> Column:
-    """Sums of all earlier elements and the own one, in blocks so that copying stays near linear."""
-
-    def add(start: Column, part: Column) -> Column:
-        return F.aggregate(part, F.struct(start.alias("at"), F.array().cast("array<long>").alias("all")), lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["all"], F.array(acc["at"] + n)).alias("all")))
-
-    whole = F.array_compact(F.transform(F.sequence(F.lit(0), F.size(counts) - 1, F.lit(BLOCK)), lambda i: F.slice(counts, i + 1, F.lit(BLOCK))))
-    summed = F.aggregate(
-        whole,
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<array<long>>").alias("all")),
-        lambda acc, part: let(add(acc["at"], part), lambda x: F.struct(x["at"].alias("at"), F.concat(acc["all"], F.array(x["all"])).alias("all"))),
-    )["all"]
-    return F.flatten(summed)
-
-
 NONE = "array<struct<start:bigint,rank:int,end:bigint,value:string>>"
 
 
