@@ -77,19 +77,24 @@ def _slots(key: Column, seed: int, bits: int, hashes: int) -> list[Column]:
     return [F.pmod(a + F.lit(i) * b, F.lit(bits)) for i in range(hashes)]
 
 
-def bloom_bits(keys: DataFrame, key: str, seed: int, bits: int, hashes: int) -> DataFrame:
-    """One row with column ``bits``, array<bigint> of bits/64 words. The words are OR-ed before the shuffle, so
-    what moves is at most bits/64 rows per task, however many keys or copies of a key there are."""
+def word_bits(spots: DataFrame, bits: int) -> DataFrame:
+    """One row with column ``bits``, array<bigint> of bits/64 words, in which the bits numbered by column p of spots
+    are set. The words are OR-ed before the shuffle, so what moves is at most bits/64 rows per task, however many
+    spots there are."""
     if bits > MOST_BITS or bits % 64:
         raise ValueError(f"{bits} bits: a multiple of 64 up to {MOST_BITS} is needed")
-    spark = keys.sparkSession
-    pos = keys.where(F.col(key).isNotNull()).select(F.explode(F.array(*_slots(F.col(key), seed, bits, hashes))).alias("p"))
-    words = pos.select((F.col("p") / 64).cast("long").alias("w"), F.expr("shiftleft(1L, cast(p % 64 as int))").alias("b"))
-    dense = words.unionAll(spark.range(bits // 64).select(F.col("id").alias("w"), F.lit(0).cast("long").alias("b")))
+    words = spots.select((F.col("p") / 64).cast("long").alias("w"), F.expr("shiftleft(1L, cast(p % 64 as int))").alias("b"))
+    dense = words.unionAll(spots.sparkSession.range(bits // 64).select(F.col("id").alias("w"), F.lit(0).cast("long").alias("b")))
     one = dense.groupBy("w").agg(F.bit_or("b").alias("b")).agg(F.sort_array(F.collect_list(F.struct("w", "b"))).alias("x"))
     return one.select(F.transform("x", lambda x: x["b"]).alias("bits"))
 
 
+def bloom_bits(keys: DataFrame, key: str, seed: int, bits: int, hashes: int) -> DataFrame:
+    """The Bloom filter of a column's keys as `word_bits` gives it; null keys aren't in it."""
+    slots = F.explode(F.array(*_slots(F.col(key), seed, bits, hashes)))
+    return word_bits(keys.where(F.col(key).isNotNull()).select(slots.alias("p")), bits)
+
+
 def bloom_has(bits: Column, key: Column, seed: int, size: int, hashes: int) -> Column:
     """Whether all bits of a key are set in the array<bigint> `bits`; a null key has none."""
     test = F.lit(True)

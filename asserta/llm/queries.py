@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from asserta.llm import bpe, chat, decontam, html_extract, langid, secrets, url_filter
+from asserta.llm import bpe, chat, decontam, html_extract, langid, media, secrets, url_filter
 from asserta.llm._common import table
 
 
@@ -69,6 +69,10 @@ def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"), ["page_id", "url"])
 
 
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digests(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
+
+
 def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaked(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
@@ -81,6 +85,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_secrets": op4_secrets,
         "op5_chat": op5_chat,
         "op7_html": op7_html,
+        "op8_media": op8_media,
         "op10_decontam": op10_decontam,
     }
 
