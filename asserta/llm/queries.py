@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from asserta.llm import bpe, chat, decontam, html_extract, langid, media, secrets, url_filter
+from asserta.llm import bpe, chat, decontam, html_extract, langid, lm, media, secrets, url_filter
 from asserta.llm._common import table
 
 
@@ -65,6 +65,12 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(rows.unionAll(more))
 
 
+def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = docs.withColumn("held_out", F.coalesce(remainder("doc_id", 5) == 1, F.lit(False)))
+    return lm.score(docs, docs.where(~F.col("held_out")), ["doc_id", "held_out"])
+
+
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"), ["page_id", "url"])
 
@@ -84,6 +90,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_bpe": op3_bpe,
         "op4_secrets": op4_secrets,
         "op5_chat": op5_chat,
+        "op6_lm": op6_lm,
         "op7_html": op7_html,
         "op8_media": op8_media,
         "op10_decontam": op10_decontam,
