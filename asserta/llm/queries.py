@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from asserta.llm import bpe, chat, decontam, html_extract, langid, lm, media, secrets, url_filter
+from asserta.llm import bpe, chat, decontam, html_extract, jaccard, langid, lm, media, secrets, url_filter
 from asserta.llm._common import table
 
 
@@ -79,6 +79,10 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
 
 
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"]).drop("keeper")
+
+
 def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaked(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
@@ -93,6 +97,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_lm": op6_lm,
         "op7_html": op7_html,
         "op8_media": op8_media,
+        "op9_jaccard": op9_jaccard,
         "op10_decontam": op10_decontam,
     }
 
