@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from asserta.llm._common import chunks
 
+UNKNOWN = "und"
 SIZE = 300  # n-grams in a profile
 PER_LANGUAGE = 1500  # labelled texts learned from, for each language, at most
 LANGUAGES = 500  # labels learned, at most: the most frequent ones
@@ -149,7 +150,7 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, languages: int =
 def classify(texts: list[str | None], model: Profiles) -> tuple[list[str], np.ndarray]:
     """The nearest language of each text and 1 - distance / the largest distance possible."""
     text, code, rank = _ranked([t or "" for t in texts])
-    named, score = ["und"] * len(texts), np.zeros(len(texts))
+    named, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
     if not len(text) or not model.names:
         return named, score
     at = np.minimum(np.searchsorted(model.codes, code), len(model.codes) - 1)
@@ -165,18 +166,18 @@ def classify(texts: list[str | None], model: Profiles) -> tuple[list[str], np.nd
     return named, score
 
 
-def predict(docs: DataFrame, model: Profiles, keep: list[str]) -> DataFrame:
-    """The columns `keep` of docs, then lang_pred and score. The profiles travel inside the function: at most
+def predict(docs: DataFrame, model: Profiles, keep: list[str], named: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns `keep` of docs, then the language and the score, as `named`. The profiles travel inside the function: at most
     LANGUAGES * SIZE n-grams. docs has a column text; `keep` has neither of the two new names."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, piece in chunks(batch.column(batch.num_columns - 1)):
-                named, score = classify(piece.to_pylist(), held.value)
+                langs, score = classify(piece.to_pylist(), held.value)
                 rest = [batch.column(i).slice(start, len(piece)) for i in range(batch.num_columns - 1)]
-                yield pa.RecordBatch.from_arrays([*rest, pa.array(named, pa.string()), pa.array(score)], names=[*keep, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*rest, pa.array(langs, pa.string()), pa.array(score)], names=[*keep, *named])
 
     inputs = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("text_read"))
-    schema = docs.select(*[F.col(f"`{c}`") for c in keep], F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
+    schema = docs.select(*[F.col(f"`{c}`") for c in keep], F.lit("").alias(named[0]), F.lit(0.0).alias(named[1])).schema
     return inputs.mapInArrow(run, schema)

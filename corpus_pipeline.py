@@ -1,10 +1,73 @@
-"""The stages of a corpus pipeline over documents."""
+"""A corpus pipeline over `documents`: stages that each work on all rows the stage before kept.
+
+language ID    drops texts without letters, and those far from every learned language
+near copies    keeps one document of each class of the n-gram Jaccard join
+decontaminate  drops documents that hold a benchmark item, also with other numbers or names
+secrets        replaces secrets in texts by a mark; n_chars follows where a text changes
+encode         returns each document's token counts and digests
+
+All but the last return the columns of their input, extra ones too. Null and empty texts go at the first stage;
+null ids are kept, and repeated rows are copies of each other, of which one stays."""
 
 from __future__ import annotations
 
-STAGES: list = []
+from collections.abc import Callable
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from asserta.llm import bpe, decontam, jaccard, langid, secrets
+from asserta.llm._common import table, written
+
+#: A score (1 - distance / the largest distance) under which a text fits no learned language.
+LEAST_SCORE = 0.15
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Learns from a bounded sample of the labelled documents; drops `und` and what scores under LEAST_SCORE."""
+    model = langid.fit(docs)
+    kept = langid.predict(docs, model, docs.columns, named=("lang_pred__", "score__"))
+    return kept.where((F.col("lang_pred__") != langid.UNKNOWN) & (F.col("score__") >= LEAST_SCORE)).select(docs.columns)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(docs, docs.columns).where("keeper").select(docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    marked = decontam.annotate(docs, table(spark, sf_dir, "benchmark"), name="leaks__")
+    return marked.where(F.size("leaks__") == 0).select(docs.columns)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    out = secrets.redact(docs.withColumn("text__", F.col("text")))
+    if "n_chars" in docs.columns:
+        changed = ~F.col("text").eqNullSafe(F.col("text__"))
+        out = out.withColumn("n_chars", F.when(changed, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return out.select(docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"), ["doc_id"])
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language ID", identify_language),
+    ("near copies", drop_copies),
+    ("decontaminate", decontaminate),
+    ("secrets", redact_secrets),
+    ("encode", encode),
+]
+
+#: SQL can't express the stages; tests compare them with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = written(docs, name.replace(" ", "_"))
+    return docs
