@@ -35,7 +35,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from asserta.llm._common import chunks
+from asserta.llm._common import chunks, written
 
 LEXICON = 1 << 18  # frequent words compiled, at most
 REPORT = 3  # times in a batch that a word needs to be reported for the lexicon
@@ -268,7 +268,8 @@ def frequent_words(docs: DataFrame, vocabulary: str, most: int = LEXICON) -> lis
             top = [(w, n) for w, n in seen.items() if n >= REPORT and w[0] != "\0"]
             yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["word", "n"])
 
-    totals = docs.select(F.col("text").alias("text_read")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    # Written, as it is read twice
+    totals = written(docs.select(F.col("text").alias("text_read")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     # A least count that leaves `most` words at the most, from the counts of counts
     tally = sorted(((r["n"], r["c"]) for r in totals.groupBy("n").agg(F.count("*").alias("c")).collect()), reverse=True)
     kept = least = 0
