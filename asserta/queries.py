@@ -60,8 +60,8 @@ of_text("fetch_attr_only", "find ?o ?s where (?o orders:status ?s)", "SELECT o_o
 of_text("fetch_timestamp_attr", "find ?o ?d where (?o orders:date ?d)", "SELECT o_orderkey AS okey, o_orderdate AS d FROM orders", okey="o", d="d")
 of_text(
     "fetch_all_bound_semi",
-    f'find ?c where (?c customer:nation {entity(2, 3)}) ({entity(2, 3)} nation:region {entity(1, 0)})',
-    "SELECT c_custkey AS ckey FROM customer WHERE c_nationkey = 3 AND EXISTS (SELECT 1 FROM nation WHERE n_nationkey = 3 AND n_regionkey = 0)",
+    f'find ?c where (?c customer:nation {entity(2, 3)}) ({entity(2, 3)} nation:region {entity(1, 3)})',
+    "SELECT c_custkey AS ckey FROM customer WHERE c_nationkey = 3 AND EXISTS (SELECT 1 FROM nation WHERE n_nationkey = 3 AND n_regionkey = 3)",
     ckey="c",
 )
 
@@ -90,7 +90,7 @@ as_text(
     "SELECT c_custkey AS e, 'customer:segment' AS name FROM customer WHERE c_mktsegment = 'BUILDING'",
     ("e",),
 )
-as_text("fetch_entity_value", f"find ?name where ({entity(2, 3)} ?a {entity(1, 0)}){NAMED}", "SELECT 'nation:region' AS name FROM nation WHERE n_nationkey = 3 AND n_regionkey = 0")
+as_text("fetch_entity_value", f"find ?name where ({entity(2, 3)} ?a {entity(1, 3)}){NAMED}", "SELECT 'nation:region' AS name FROM nation WHERE n_nationkey = 3 AND n_regionkey = 3")
 
 
 @register("fetch_full_scan", f"SELECT CAST(e AS BIGINT) AS e, name, v FROM ({PLACES})")
