@@ -56,22 +56,24 @@ def passed_over(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
 
 
 class Line:
-    __slots__ = ("chars", "heading", "inside", "parts", "tags")
+    __slots__ = ("block", "chars", "parts", "tags")
 
-    def __init__(self, inside: tuple[int, ...], heading: bool):
-        self.inside, self.heading = inside, heading
+    def __init__(self, block: int):
+        self.block = block
         self.parts: list[str] = []
         self.tags = self.chars = 0
 
 
 class Lines(HTMLParser):
-    """The lines of a page; `inside` lists the numbers of the block elements around each, outermost first."""
+    """The lines of a page, each with the number of the block element around it. Of each block element (0 is the
+    page): its tag, the one around it, and the outermost article and main element it is in."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, bool, int]] = []  # tag, passed over, number (0 for inline elements)
-        self.hidden = self.count = self.tags = 0
-        self.roots: dict[int, str] = {0: "page"}
+        self.hidden = self.tags = 0
+        self.tag, self.around, self.article, self.main = ["page"], [0], [0], [0]
+        self.blocks = [0]  # the open ones
         self.lines: list[Line] = []
         self.line: Line | None = None
 
@@ -83,8 +85,7 @@ class Lines(HTMLParser):
             # An article ends what was passed over and left open around it, unless that is itself in an article
             at = next(i for i, (_, over, _) in enumerate(self.open) if over)
             if not any(t in TEXT_ROOT for t, _, _ in self.open[:at]):
-                del self.open[at:]
-                self.hidden = 0
+                self._close(at)
         if tag in BLOCK:
             self.line = None
         if tag in VOID:
@@ -95,13 +96,19 @@ class Lines(HTMLParser):
         self.hidden += over
         number = 0
         if tag in BLOCK:
-            self.count += 1
-            number = self.count
-            self.roots[number] = tag
+            number, outer = len(self.tag), self.blocks[-1]
+            self.tag.append(tag)
+            self.around.append(outer)
+            self.article.append(self.article[outer] or number * (tag == "article"))
+            self.main.append(self.main[outer] or number * (tag == "main"))
+            self.blocks.append(number)
         self.open.append((tag, over, number))
 
     def _close(self, at: int) -> None:
-        self.hidden -= sum(over for _, over, _ in self.open[at:])
+        for _, over, number in self.open[at:]:
+            self.hidden -= over
+            if number:
+                self.blocks.pop()
         del self.open[at:]
 
     def handle_endtag(self, tag: str) -> None:
@@ -121,8 +128,7 @@ class Lines(HTMLParser):
         if self.line is None:
             if not data.strip():
                 return
-            inside = tuple(n for _, _, n in self.open if n)
-            self.line = Line(inside, bool(inside and HEADING.match(self.roots[inside[-1]])))
+            self.line = Line(self.blocks[-1])
             self.line.tags = self.tags
             self.tags = 0
             self.lines.append(self.line)
@@ -156,21 +162,22 @@ def main_text(html: str | None) -> str:
     votes: dict[int, int] = defaultdict(int)
 
     def container(x: Line) -> int:
-        root = next((n for n in x.inside if parser.roots[n] == "article"), 0) or next((n for n in x.inside if parser.roots[n] == "main"), 0)
-        return root or (x.inside[-2] if len(x.inside) > 1 else 0)
+        return parser.article[x.block] or parser.main[x.block] or parser.around[x.block]
 
     for x, up in zip(lines, upper):
         if up:
             votes[container(x)] += x.chars
-    best = max(votes, key=lambda n: (votes[n], -n))
-    if any(parser.roots[n] in TEXT_ROOT for x in lines for n in x.inside) and parser.roots[best] not in TEXT_ROOT:
-        # Where a page marks its article, only marked text is one
-        best = max((container(x) for x in lines if parser.roots[container(x)] in TEXT_ROOT), key=lambda n: (votes.get(n, 0), -n))
-    kept = [i for i, x in enumerate(lines) if best == 0 or best in x.inside]
-    if parser.roots[best] not in TEXT_ROOT:
+    marked = [n for x in lines if parser.tag[n := container(x)] in TEXT_ROOT]
+    # Where a page marks its article, only marked text is one
+    best = max(marked or votes, key=lambda n: (votes.get(n, 0), -n))
+    inside = [best == 0]
+    for n in range(1, len(parser.tag)):
+        inside.append(n == best or inside[parser.around[n]])
+    kept = [i for i, x in enumerate(lines) if inside[x.block]]
+    if parser.tag[best] not in TEXT_ROOT:
         ups = [k for k, i in enumerate(kept) if upper[i]]
         first = ups[0]
-        while first and lines[kept[first - 1]].heading:
+        while first and HEADING.match(parser.tag[lines[kept[first - 1]].block]):
             first -= 1
         kept = kept[first : ups[-1] + 1]
     return " ".join(t for i in kept if (t := " ".join("".join(lines[i].parts).split())))

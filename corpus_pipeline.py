@@ -24,28 +24,33 @@ from asserta.llm._common import table, written
 LEAST_SCORE = 0.15
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """Each row as one struct beside its id and text, so that no column's name can meet a name of an operator."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc__"), "doc_id", "text")
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from a bounded sample of the labelled documents; drops `und` and what scores under LEAST_SCORE."""
-    model = langid.fit(docs)
-    kept = langid.predict(docs, model, docs.columns, named=("lang_pred__", "score__"))
-    return kept.where((F.col("lang_pred__") != langid.UNKNOWN) & (F.col("score__") >= LEAST_SCORE)).select(docs.columns)
+    named = langid.predict(packed(docs), langid.fit(docs), ["doc__"])
+    return named.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("doc__.*")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard.near_duplicates(docs, docs.columns).where("keeper").select(docs.columns)
+    return jaccard.near_duplicates(packed(docs), ["doc__"]).where("keeper").select("doc__.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    marked = decontam.annotate(docs, table(spark, sf_dir, "benchmark"), name="leaks__")
-    return marked.where(F.size("leaks__") == 0).select(docs.columns)
+    return decontam.annotate(packed(docs), table(spark, sf_dir, "benchmark"), ["doc__"]).where(F.size("leaks") == 0).select("doc__.*")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = secrets.redact(docs.withColumn("text__", F.col("text")))
-    if "n_chars" in docs.columns:
-        changed = ~F.col("text").eqNullSafe(F.col("text__"))
-        out = out.withColumn("n_chars", F.when(changed, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+    """n_chars, where there is one, follows a text that changes."""
+    out = secrets.redact(packed(docs))
+    changed = ~F.col("text").eqNullSafe(F.col("doc__")["text"])
+    columns = {c: F.col("doc__").getField(c) for c in docs.columns} | {"text": F.col("text")}
+    if "n_chars" in columns:
+        columns["n_chars"] = F.when(changed, F.length("text")).otherwise(columns["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return out.select(*[column.alias(c) for c, column in columns.items()])
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
