@@ -27,6 +27,7 @@ UNKNOWN = "und"
 SIZE = 300  # n-grams in a profile
 PER_LANGUAGE = 1500  # labelled texts learned from, for each language, at most
 LANGUAGES = 500  # labels learned, at most: the most frequent ones
+SPACE = 1  # the code of a space in an n-gram; 0 would make n-grams of different lengths equal
 PIECE = 1 << 19  # characters ranked at once; longer texts are counted in pieces and summed
 _letters: list[np.ndarray] = []
 
@@ -42,7 +43,7 @@ def letter_codes() -> np.ndarray:
     if not _letters:
         code = np.arange(0x110000, dtype=np.uint32)
         alpha = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
-        _letters.append(np.where(alpha, np.maximum(code & 0xFFFF ^ code >> 16 << 11 & 0xFFFF, 1), 0).astype(np.int64))
+        _letters.append(np.where(alpha, np.maximum(code & 0xFFFF ^ code >> 16 << 11 & 0xFFFF, SPACE + 1), 0).astype(np.int64))
     return _letters[0]
 
 
@@ -54,12 +55,12 @@ def _grams(text: str) -> np.ndarray:
     keep = ~space
     keep[1:] |= ~space[:-1]
     keep[0] = True
-    units = units[keep]
+    units = np.maximum(units[keep], SPACE)
     if len(units) < 2:
         return np.zeros(0, np.int64)
     two = units[:-1] << 16 | units[1:]
     three = two[:-1] << 16 | units[2:]
-    return np.concatenate([units[units > 0], two, three])
+    return np.concatenate([units[units > SPACE], two, three])
 
 
 def _pieces(texts: list[str]) -> Iterator[tuple[int, str]]:
