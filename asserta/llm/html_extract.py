@@ -6,8 +6,8 @@ of class and id) are passed over. Each line has its text-to-tag ratio, character
 a Gaussian and split in two clusters by the threshold that leaves least variance within (for two clusters of numbers,
 exactly k-means). The lines of the upper cluster vote, with their characters, for their container: the article or main element they
 stand in, else the block element around them. All lines of the container that wins are the content, short ones too;
-of a container without markup of its own (one that isn't article or main), the lines from the first line of the upper
-cluster, with headings just before it, to the last.
+where that is the page's whole body, the lines from the first line of the upper cluster, with headings just before it,
+to the last.
 
 Edge cases: null and empty pages, and pages without text, give an empty text. An unclosed element ends with the page,
 or where an article begins. Equal ratios form one cluster, the upper. Rows are independent: null or repeated ids and
@@ -174,7 +174,7 @@ def main_text(html: str | None) -> str:
     for n in range(1, len(parser.tag)):
         inside.append(n == best or inside[parser.around[n]])
     kept = [i for i, x in enumerate(lines) if inside[x.block]]
-    if parser.tag[best] not in TEXT_ROOT:
+    if parser.tag[best] in ("page", "html", "body"):
         ups = [k for k, i in enumerate(kept) if upper[i]]
         first = ups[0]
         while first and HEADING.match(parser.tag[lines[kept[first - 1]].block]):
