@@ -1,43 +1,14 @@
-"""What the operators share: the folder all machines see, written tables, row chunks, Bloom bits in SQL expressions."""
+"""What the operators share: tables written to the folder all machines see, row chunks, Bloom bits in SQL expressions."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where that is unset (tests on one machine), a temporary one."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        set_already = spark.sparkContext.getCheckpointDir()
-        path = set_already or tempfile.mkdtemp(prefix="asserta-")
-        if not set_already:
-            spark.sparkContext.setCheckpointDir(path)
-            path = spark.sparkContext.getCheckpointDir()
-    return path.rstrip("/")
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    """A fresh folder name in the shared folder, deleted when the driver ends."""
-    path = f"{shared_dir(spark)}/asserta-{label}-{uuid.uuid4().hex}"
-    atexit.register(delete_path, spark, path)
-    return path
-
-
-def delete_path(spark: SparkSession, path: str) -> None:
-    """Deletes a folder through Spark's own file system; a context that has ended leaves it to the cluster."""
-    if spark.sparkContext._jsc is None or spark.sparkContext._jsc.sc().isStopped():
-        return
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+from asserta.sources.workspace import new_path
 
 
 def written(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:

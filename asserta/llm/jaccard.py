@@ -305,3 +305,23 @@ def near_duplicates(docs: DataFrame, keep: list[str]) -> DataFrame:
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
         (alone | (F.col("first.row") == F.col("row"))).alias("keeper"),
     )
+
+
+#: The query over `documents` in DuckDB: every pair of different sets that share a window is compared.
+SQL = r"""
+WITH RECURSIVE split AS (
+    SELECT row_number() OVER () AS r, doc_id, [w FOR w IN string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') IF w <> ''] AS w FROM documents
+), sets AS (
+    SELECT r, doc_id, CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_sort(list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)])) END AS s FROM split WHERE len(w) > 0
+), reps AS (
+    SELECT row_number() OVER () AS rep, s, count(*) AS copies, min(doc_id) AS least FROM sets GROUP BY s
+), items AS (SELECT rep, len(s) AS n, unnest(s) AS item FROM reps),
+links AS (
+    SELECT a.rep AS a, b.rep AS b FROM items a JOIN items b ON a.item = b.item AND a.rep <> b.rep
+    GROUP BY a.rep, b.rep, a.n, b.n HAVING 5 * count(*) >= 4 * (a.n + b.n - count(*))
+), reach AS (SELECT rep AS a, rep AS b FROM reps UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+class AS (SELECT a AS rep, min(least) AS class_id FROM reach JOIN reps ON rep = b GROUP BY a),
+linked AS (SELECT a AS rep, sum(copies) AS n FROM links JOIN reps ON rep = b GROUP BY a)
+SELECT doc_id, class_id, CAST(copies - 1 + coalesce(n, 0) AS BIGINT) AS n_links FROM sets JOIN reps USING (s) JOIN class USING (rep) LEFT JOIN linked USING (rep)
+UNION ALL SELECT doc_id, doc_id, 0 FROM split WHERE len(w) = 0
+"""
