@@ -103,4 +103,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": URL_SQL, "op5_chat": chat.SQL, "op9_jaccard": jaccard.SQL}
+    return {"op1_url_filter": URL_SQL, "op4_secrets": secrets.SQL, "op5_chat": chat.SQL, "op9_jaccard": jaccard.SQL}

@@ -168,3 +168,56 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     some = scan(docs, "found_spans__")
     text = F.when(F.size("found_spans__") > 0, let(F.struct(F.col("text").alias("t"), F.col("found_spans__").alias("s")), cover)).otherwise(F.col("text"))
     return some.withColumn("text", text).drop("found_spans__")
+
+
+def _sql() -> str:
+    """The report over `documents` in DuckDB. Its patterns have no look-behind: lengths are tested instead, which is
+    the same for longest runs."""
+
+    def tail(z: str) -> str:
+        t = f"(1 / (1 + 0.2316419 * abs({z})))"
+        poly = f"{t} * (0.319381530 + {t} * (-0.356563782 + {t} * (1.781477937 + {t} * (-1.821255978 + {t} * 1.330274429))))"
+        one = f"greatest(exp(-({z}) * ({z}) / 2) * 0.3989422804014327 * {poly}, 1e-300)"
+        return f"(CASE WHEN ({z}) >= 0 THEN {one} ELSE 1 - {one} END)"
+
+    cased = "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in "password|passwd|secret|token|api_?key")
+    assign = rf"""({cased})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+    kinds = ((assign, 2, 12), ("AKIA[A-Z0-9]+", 0, 18), ("[0-9a-f]+", 0, 16), ("[A-Za-z0-9+/_-]+", 0, 20))
+    found = " UNION ALL ".join(
+        f"SELECT r, {k} AS k, unnest(m) AS m, unnest(v) AS v, unnest(g[1:len(m)]) AS g, generate_subscripts(m, 1) AS i FROM (SELECT r, regexp_extract_all(t, '{p}', 0) AS m, regexp_extract_all(t, '{p}', {g}) AS v, string_split_regex(t, '{p}') AS g FROM docs)"
+        for k, (p, g, _) in enumerate(kinds)
+    )
+    least = " ".join(f"WHEN {k} THEN {n}" for k, (_, _, n) in enumerate(kinds))
+    signs = " ".join(f"WHEN regexp_matches(w, '{p}') THEN '{s}'" for p, s, _ in ENCODINGS[:-1]) + f" ELSE '{ENCODINGS[-1][1]}'"
+    shares = " ".join(f"WHEN regexp_matches(w, '{p}') THEN {x}" for p, _, x in ENCODINGS[:-1]) + f" ELSE {ENCODINGS[-1][2]}"
+    names = " ".join(f"WHEN {k} THEN '{name}'" for k, name in enumerate(KINDS))
+    return rf"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents), found AS ({found}),
+spans AS (
+    SELECT r, k, s, e, v FROM (SELECT r, k, v, e - length(m) AS s, e FROM (SELECT *, CAST(sum(length(g) + length(m)) OVER (PARTITION BY r, k ORDER BY i) AS BIGINT) AS e FROM found))
+    WHERE length(v) >= CASE k {least} END
+), signed AS (
+    SELECT r, s, e, w, length(w)::DOUBLE AS n, CASE {signs} END AS signs, (CASE {shares} END)::DOUBLE AS share FROM (SELECT r, s, e, v AS w FROM spans WHERE k = 3)
+), ranked AS (
+    SELECT *, length(signs)::DOUBLE AS kk, [instr(signs, c) - (length(signs) + 1) / 2.0::DOUBLE FOR c IN string_split(w, '') IF c <> ''] AS x,
+        list_sum([((length(w) - length(replace(w, c, '')))::DOUBLE) ** 2 FOR c IN list_distinct(string_split(w, '')) IF c <> '']) AS squares FROM signed
+), counted AS (
+    SELECT *, len([y FOR y IN x IF y > 0])::DOUBLE AS high, len([j FOR j IN range(1, len(x)) IF (x[j] > 0) <> (x[j + 1] > 0)])::DOUBLE AS turns, list_sum([x[j] * x[j + 1] FOR j IN range(1, len(x))]) AS serial FROM ranked
+), spread AS (SELECT *, 2 * high * (n - high) / n AS expected, (2 * high * (n - high) / n) * (2 * high * (n - high) / n - 1) / (n - 1) AS spread FROM counted),
+z AS (
+    SELECT r, s, e, n, (kk / n * squares - n - (kk - 1)) / sqrt(2 * (kk - 1) * (1 - 1 / n)) AS z1, abs(CASE WHEN spread > 0 THEN (turns - expected) / sqrt(spread) ELSE 40 END) AS z2,
+        abs(serial / ((kk * kk - 1) / 12 * sqrt(n - 1))) AS z3, (n * (n - 1) / 2 * share - (squares - n) / 2) / sqrt(n * (n - 1) / 2 * share) AS z4 FROM spread
+), p AS (SELECT r, s, e, n, -(ln({tail("z1")}) + ln(2 * {tail("z2")}) + ln(2 * {tail("z3")})) AS f, {tail("z4")} AS p FROM z),
+weighted AS (SELECT r, s, e, exp(-f) * (1 + f + f * f / 2) AS random, p * sum(n) OVER (PARTITION BY r) / (n * count(*) OVER (PARTITION BY r)) AS p, count(*) OVER (PARTITION BY r) AS m FROM p),
+placed AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY p) AS place FROM weighted),
+lined AS (SELECT *, coalesce(max(p) FILTER (p <= place * {Q} / m) OVER (PARTITION BY r), -1) AS line FROM placed),
+kept AS (SELECT r, k, s, e FROM spans WHERE k < 3 UNION ALL SELECT r, 3, s, e FROM lined WHERE p <= line AND random >= {ALPHA}),
+told AS (
+    SELECT r, count(*) FILTER (k = 0) AS a, count(*) FILTER (k = 1) AS c, count(*) FILTER (k = 2) AS h, string_agg(said, ',' ORDER BY s, k, e) FILTER (k < 3) AS base, string_agg(said, ',' ORDER BY s, k, e) AS spans
+    FROM (SELECT *, CASE k {names} END || ':' || s || ':' || e AS said FROM kept) GROUP BY r
+)
+SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(c, 0) AS n_access, coalesce(h, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM docs LEFT JOIN told USING (r)
+"""
+
+
+SQL = _sql()
