@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from asserta.functions.values import matches, shown
+from asserta.functions.values import ANY, NATIVE, flat, matches, shown
 from asserta.model import DATOM, FACT, Clause, Command, Fact, FactError, NewEntity, Query, Retract, Tag, Tx, TxReport, TypeMismatch, UnknownAttribute, Value, Var, datom, timestamp
 from asserta.operators import facts as views
 from asserta.operators.relational import Relation
@@ -20,6 +20,7 @@ from asserta.plans.compiler import Source, compiled, fetch
 from asserta.plans.parser import parse_input, parse_query, parse_tx
 from asserta.schema import IDENT, TX_TIMESTAMP, VALUE_TYPE, Schema
 from asserta.sources.store import LOG_LIMIT, Manifest, Store, open_store
+from asserta.sources.workspace import delete_path
 
 DUMP = parse_query("find ?ent ?attname ?val where (?ent ?att ?val) (?att db:ident ?attname)")
 #: A sample: two attributes, three names, one parent.
@@ -226,6 +227,33 @@ class Connection:
         self._commit(number, out, rows.count() + 1, schema)
         return TxReport(number)
 
+    def insert_frame(self, rows: DataFrame, attributes: dict[str, str]) -> TxReport:
+        """A new entity for each row, of any number: `attributes` names the attribute of each column; a null is no
+        fact. Ids are consecutive; the report leaves them out."""
+        try:
+            manifest = self._open()
+            schema = Schema.from_json(manifest.schema)
+            kinds = {c: schema.kind(schema.entity(name)) for c, name in attributes.items()}
+            if unclear := [attributes[c] for c, k in kinds.items() if k is None]:
+                raise TypeMismatch(f"{unclear[0]} has no single value type")
+        except FactError as e:
+            return TxReport(error=e)
+        # Written first, so that rows keep their partitions while they are counted and numbered
+        path = f"{self.store.path}/staging-{manifest.next_id}"
+        rows.select(*attributes, F.spark_partition_id().alias("part__"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("place__")).write.mode("overwrite").parquet(path)
+        staged = self.spark.read.parquet(path)
+        counts = sorted((r[0], r[1]) for r in staged.groupBy("part__").count().collect())
+        first, total = {}, manifest.next_id
+        for part, n in counts:
+            first[part], total = total, total + n
+        manifest.next_id = total
+        start = self.spark.createDataFrame(list(first.items()), "part__ int, first__ bigint")
+        facts = [F.struct(F.lit(attributes[c]).alias("attribute"), F.struct(*flat(k, F.col(f"`{c}`").cast(NATIVE[k]))).cast(ANY).alias("v"), F.col(f"`{c}`").isNotNull().alias("there")) for c, k in kinds.items()]
+        unfolded = staged.join(start, "part__").select((F.col("first__") + F.col("place__")).alias("e"), F.explode(F.array(*facts)).alias("f")).where("f.there")
+        report = self.transact_frame(unfolded.select("e", "f.attribute", "f.v.*"))
+        delete_path(self.spark, path)
+        return report
+
     def _commit(self, number: int, rows: DataFrame, n: int, schema: Schema) -> None:
         after = copy.deepcopy(self.writing)
         after.schema = schema.to_json()

@@ -168,6 +168,20 @@ def test_bulk_transactions(spark):
     c.close()
 
 
+def test_new_entities_in_bulk(spark):
+    """A word list: an entity for each word."""
+    c = Connection(spark, new_path(spark, "words"))
+    c.transact("{db:ident word db:valueType db:type:string} {db:ident size db:valueType db:type:long}")
+    words = spark.createDataFrame([("a", 1), ("bb", 2), ("ccc", None), ("a", 1)], "w string, n int").repartition(3)
+    assert c.insert_frame(words, {"w": "word", "n": "size"}).ok
+    got = rows(c.db(), "find ?e ?w where (?e word ?w)")
+    assert [e for e, _ in got] == list(range(13, 17)) and sorted(w for _, w in got) == ["a", "a", "bb", "ccc"]
+    assert rows(c.db(), "find ?w ?n where (?e word ?w) (?e size ?n)") == [("a", 1), ("a", 1), ("bb", 2)]
+    assert c.transact('{word "next"}').new_entities == (19,)
+    assert not c.insert_frame(words, {"w": "nothing"}).ok
+    c.close()
+
+
 def test_all_kinds_in_order(spark):
     """Any string < any ident < any ref < … also where kinds are known only by row."""
     values = [string("b"), string("zz"), ident("a"), ref(1), ref(7), Value(Tag.TIMESTAMP, CLOCK), Value(Tag.BOOLEAN, False), Value(Tag.BOOLEAN, True), Value(Tag.LONG, -3), Value(Tag.LONG, 7)]
