@@ -10,6 +10,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 
+BLOCK = 1 << 22
 _RNG = np.random.Generator(np.random.PCG64(20240917))
 _BASE, _STEP = (int(x) | 1 for x in _RNG.integers(1 << 62, 1 << 63, 2, dtype=np.uint64))
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -66,6 +67,14 @@ def runs(ink: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = True) -> np.ndarray:
+    """A hash of each span, wherever it stands; spans ascend. Bytes are taken BLOCK at a time, or one longer span."""
+    if len(data) > BLOCK and len(start) > 1:
+        out, i = [], 0
+        while i < len(start):
+            j = max(i + 1, int(np.searchsorted(end, start[i] + BLOCK, "right")))
+            out.append(hash_spans(data[start[i] : end[j - 1]], start[i:j] - start[i], end[i:j] - start[i], lower))
+            i = j
+        return np.concatenate(out)
     n = len(data)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((_VALUE if lower else _RAW)[data] * _power(_BASE, n), out=sums[1:])

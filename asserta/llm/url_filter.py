@@ -7,7 +7,7 @@ encodes the listed keys, level 1 the keys of the corpus that level 0 takes for l
 keys that level 1 takes for such mistakes, and so on until a level makes no mistake. Level 0 has the false-positive
 rate r / (sqrt(2) s) for r listed keys and s others, and the rest 1/2, which keeps all levels near r log(s / r) bits.
 The corpus's keys are scanned once to build; pages are judged by bit tests alone, without joins: the bits come as
-scalar subqueries, of at most 8 MB each. A rule list too long for that is judged in parts, one pass each.
+literals or, from 512 bytes to at most 8 MB, as scalar subqueries. A rule list too long for that is judged in parts, one pass each.
 
 There is a cascade of blocked keys and one of allowed keys. Of the rules that fit the longest (host and path
 together) wins; of equally long ones the greatest as a string; of one listed as both, allow. Without a rule the
@@ -31,17 +31,19 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 RULES = T.StructType([T.StructField("host", T.StringType()), T.StructField("path", T.StringType()), T.StructField("verdict", T.StringType())])
 LEAST_RATE = 2.0**-20
+LITERAL = 1 << 12  # bits that a query holds as a literal
 PER_KEY = 1.45 * 20  # bits of level 0 for a key, at most
 
 
 class Level(NamedTuple):
-    bits: DataFrame  # one row
+    bits: DataFrame | list[int]  # one row, or the words themselves where they are few
     seed: int
     size: int
     hashes: int
 
     def has(self, key: Column) -> Column:
-        return bloom_has(self.bits.scalar(), key, self.seed, self.size, self.hashes)
+        bits = F.array(*[F.lit(w).cast("bigint") for w in self.bits]) if isinstance(self.bits, list) else self.bits.scalar()
+        return bloom_has(bits, key, self.seed, self.size, self.hashes)
 
 
 def host_of(url: Column) -> Column:
@@ -61,7 +63,8 @@ def keys(host: Column, path: Column, shapes: list[tuple[int, int]]) -> list[Colu
 def _level(encoded: DataFrame, n: int, rate: float, seed: int) -> Level:
     hashes = max(1, round(-math.log2(rate)))
     size = min(MOST_BITS, 64 * max(1, math.ceil(n * hashes / math.log(2) / 64)))
-    return Level(written(bloom_bits(encoded, "key", seed, size, hashes), "bits"), seed, size, hashes)
+    bits = bloom_bits(encoded, "key", seed, size, hashes)
+    return Level(bits.first()["bits"] if size <= LITERAL else written(bits, "bits"), seed, size, hashes)
 
 
 def cascade(universe: DataFrame, listed: DataFrame, others: int) -> list[Level]:
