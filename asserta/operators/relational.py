@@ -1,9 +1,11 @@
 """The algebra over relations: fetch, natural join, product, constrain, project. A relation is a DataFrame with a
-column for each variable, and the kind of value of each, None where it varies."""
+column for each variable, and the kind of value of each, None where it varies. A column of entities may hold them less
+an offset, so that tables' own keys are joined and filtered as they are: bucketing, runtime filters and pushdown see
+plain columns."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,10 +18,16 @@ from asserta.model import Constraint, Tag, UnboundVariable, Value, Var
 class Relation:
     frame: DataFrame
     kinds: dict[str, Tag | None]  # in column order
+    offsets: dict[str, int] = field(default_factory=dict)  # a multiple of 2^40; the column's entities lie within 2^40 of it
 
     def column(self, name: str) -> Column:
         return F.col(f"`{name}`")
 
+    def value(self, name: str) -> Column:
+        """The column as values."""
+        offset = self.offsets.get(name, 0)
+        return self.column(name) + F.lit(offset).cast("bigint") if offset else self.column(name)
+
 
 def fetched(facts: DataFrame, terms: tuple[Var | int, Var | int, Var | Value], kind: Tag | None) -> Relation:
     """Rows of facts (flat columns) that fit the terms; a column for each variable. Attributes are entities here.
@@ -54,9 +62,15 @@ def joined(left: Relation, right: Relation) -> Relation:
     variables it is the product."""
     shared = [n for n in left.kinds if n in right.kinds]
     a, b = left.frame, right.frame
-    kinds = dict(left.kinds)
+    kinds, offsets = dict(left.kinds), {n: o for n, o in right.offsets.items() if n not in left.kinds} | left.offsets
     for n in shared:
         x, y = left.kinds[n], right.kinds[n]
+        p, q = left.offsets.get(n, 0), right.offsets.get(n, 0)
+        if p and q and p != q:
+            a = a.where(F.lit(False))  # entities of different tables
+        elif p != q:
+            a, b = (a.withColumn(n, left.value(n)), b) if p else (a, b.withColumn(n, right.value(n)))
+            offsets.pop(n, None)
         if x == y:
             continue
         if x is None:
@@ -69,7 +83,7 @@ def joined(left: Relation, right: Relation) -> Relation:
             b = b.withColumn(n, F.lit(None).cast(a.schema[n].dataType))
     new = {n: k for n, k in right.kinds.items() if n not in kinds}
     frame = a.join(b, shared, "inner") if shared else a.crossJoin(b)
-    return Relation(frame.select(*[F.col(f"`{n}`") for n in [*kinds, *new]]), kinds | new)
+    return Relation(frame.select(*[F.col(f"`{n}`") for n in [*kinds, *new]]), kinds | new, offsets)
 
 
 def condition(relation: Relation, constraint: Constraint) -> Column:
@@ -78,12 +92,15 @@ def condition(relation: Relation, constraint: Constraint) -> Column:
         if v.name not in relation.kinds:
             raise UnboundVariable(f"?{v.name} of a constraint is in no clause")
 
+    offsets = {relation.offsets.get(v.name, 0) for v in constraint.variables()}
+    shift = offsets.pop() if len(offsets) == 1 else 0  # compared less a common offset
+
     def side(term: Var | Value, other: Var | Value) -> tuple[Column, Tag | None]:
         if isinstance(term, Var):
-            return relation.column(term.name), relation.kinds[term.name]
+            return (relation.column if shift else relation.value)(term.name), relation.kinds[term.name]
         if term.tag == Tag.REF and isinstance(other, Var) and relation.kinds[other.name] == Tag.LONG:
             term = Value(Tag.LONG, term.payload)
-        return literal(term), term.tag
+        return literal(Value(Tag.REF, term.payload - shift) if shift and term.tag == Tag.REF else term), term.tag
 
     return compared(constraint.op, *side(constraint.left, constraint.right), *side(constraint.right, constraint.left))
 
@@ -92,7 +109,7 @@ def constrained(relation: Relation, constraints: list[Constraint]) -> Relation:
     frame = relation.frame
     for c in constraints:
         frame = frame.where(condition(relation, c))
-    return Relation(frame, relation.kinds)
+    return Relation(frame, relation.kinds, relation.offsets)
 
 
 def projected(relation: Relation, find: tuple[Var, ...]) -> Relation:
@@ -100,4 +117,4 @@ def projected(relation: Relation, find: tuple[Var, ...]) -> Relation:
     for v in find:
         if v.name not in relation.kinds:
             raise UnboundVariable(f"?{v.name} is in no clause")
-    return Relation(relation.frame.select(*[relation.column(v.name).alias(v.name) for v in find]), {v.name: relation.kinds[v.name] for v in find})
+    return Relation(relation.frame.select(*[relation.value(v.name).alias(v.name) for v in find]), {v.name: relation.kinds[v.name] for v in find})

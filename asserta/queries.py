@@ -152,6 +152,15 @@ of_text("constraint_cross_type", "find ?n where (?x region:name ?n) (< ?n 5)", "
 of_text("constraint_cross_type_never", "find ?n where (?x region:name ?n) (> ?n 5)", "SELECT r_name AS n FROM region WHERE false", n="n")
 of_text("constraint_theta_product", "find ?a ?b where (?x region:name ?a) (?y nation:name ?b) (> ?b ?a)", "SELECT r_name AS a, n_name AS b FROM region JOIN nation ON n_name > r_name", a="a", b="b")
 of_text("project_reorder_bag", "find ?s ?n where (?c customer:nation ?n) (?c customer:segment ?s)", "SELECT c_mktsegment AS s, CAST(c_nationkey AS BIGINT) AS nkey FROM customer", s="s", nkey="n")
+of_text(
+    "join_free_attribute_with_table",
+    'find ?c ?n where (?c ?a "BUILDING") (?c customer:nation ?n)',
+    "SELECT c_custkey AS ckey, CAST(c_nationkey AS BIGINT) AS nkey FROM customer WHERE c_mktsegment = 'BUILDING'",
+    ckey="c", nkey="n",
+)
+of_text("join_different_tables_never", "find ?c ?n where (?c customer:nation ?x) (?x customer:name ?n)", "SELECT c_custkey AS ckey, c_name AS n FROM customer WHERE false", ckey="c", n="n")
+of_text("constraint_refs_of_two_tables", "find ?n ?r where (?n nation:region ?r) (> ?n ?r)", "SELECT CAST(n_nationkey AS BIGINT) AS nkey, CAST(n_regionkey AS BIGINT) AS rkey FROM nation", nkey="n", rkey="r")
+of_text("constraint_refs_of_one_table", "find ?a ?b where (?a nation:region ?r) (?b nation:region ?r) (< ?a ?b)", "SELECT CAST(a.n_nationkey AS BIGINT) AS akey, CAST(b.n_nationkey AS BIGINT) AS bkey FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey", akey="a", bkey="b")
 
 
 # The algebra itself, without the language

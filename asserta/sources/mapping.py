@@ -90,10 +90,10 @@ class Mapped:
         """One scan: each attribute is single-valued for an entity."""
         t = self.owner[patterns[0].attribute][0]
         df = self.frame(t)
-        columns: dict[str, tuple[Column, Tag]] = {}
+        columns: dict[str, tuple[Column, Tag, int]] = {}
         e = patterns[0].entity
         if isinstance(e, Var):
-            columns[e.name] = (self._entity(t), Tag.REF)
+            columns[e.name] = (F.col(t.key or "row__").cast("bigint"), Tag.REF, t.number << SHIFT)
         else:
             df = df.where(self._at(t, e))
         for p in patterns:
@@ -102,11 +102,11 @@ class Mapped:
                 df = df.where(self._is(x, p.value))
                 continue
             df = df.where(F.col(x.column).isNotNull())
-            if (same := columns.get(p.value.name)) is None:
-                columns[p.value.name] = (self._value(x), x.kind)
-            else:
-                df = df.where(same[0] == self._value(x) if same[1] == x.kind else F.lit(False))
-        return Relation(df.select(*[c.alias(n) for n, (c, _) in columns.items()]), {n: k for n, (_, k) in columns.items()})
+            own = (F.col(x.column).cast(NATIVE[x.kind]), x.kind, (x.table or 0) << SHIFT)
+            same = columns.setdefault(p.value.name, own)
+            if same is not own:
+                df = df.where(same[0] == own[0] if same[1:] == own[1:] else F.lit(False) if same[1] != x.kind or same[2] and own[2] else same[0] + F.lit(same[2]) == own[0] + F.lit(own[2]))
+        return Relation(df.select(*[c.alias(n) for n, (c, _, _) in columns.items()]), {n: k for n, (_, k, _) in columns.items()}, {n: o for n, (_, _, o) in columns.items() if o})
 
     def facts(self, entity: int | None, attribute: int | None, value: Value | None) -> DataFrame:
         """One scan for each table that can have such facts, and what defines the attributes."""

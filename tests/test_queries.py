@@ -49,6 +49,11 @@ def test_one_scan_with_pushed_filters(spark):
     assert "ReadSchema: struct<c_custkey:bigint,c_name:string,c_mktsegment:string>" in text
 
 
+def test_joins_are_on_the_tables_own_keys(spark):
+    text = plan(Db(benchmark_source(spark, str(DATA))).query("find ?n ?d where (?o orders:customer ?c) (?c customer:name ?n) (?o orders:date ?d)"))
+    assert "Join Inner" in text and "Arguments: o_custkey" not in text and "3298534883328" not in text and "6597069766656" not in text
+
+
 def test_filters_pass_below_current_facts(spark, tmp_path):
     datoms = core.recorded(spark, str(DATA), 6, lambda d: [])[0]
     path = str(tmp_path / "datoms")
