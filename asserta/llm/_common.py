@@ -19,6 +19,15 @@ def written(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_text(docs: DataFrame, keep: list[str], name: str = "text") -> tuple[DataFrame, int]:
+    """What a mapInArrow function reads: the columns `keep`, and the text last unless it is among them, so that no
+    text travels twice; and the text's place."""
+    kept = [F.col(f"`{c}`") for c in keep]
+    if name in keep:
+        return docs.select(*kept), keep.index(name)
+    return docs.select(*kept, F.col(name).alias("text_read")), len(keep)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -36,6 +45,7 @@ def chunks(texts: pa.Array | pa.ChunkedArray, most: int = 1 << 20) -> Iterator[t
         size += n
     if len(texts) > start:
         yield start, texts.slice(start)
+    pa.default_memory_pool().release_unused()
 
 
 #: Bits of a Bloom filter at most: 8 MB, the proven bound of what a scalar subquery ships.

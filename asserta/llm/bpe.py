@@ -39,7 +39,7 @@ from asserta.llm._common import chunks, written
 
 LEXICON = 1 << 18  # frequent words compiled, at most
 REPORT = 3  # times in a batch that a word needs to be reported for the lexicon
-CACHED = 400_000  # words whose ids a Python worker keeps; it then starts afresh
+CACHED = 150_000  # words whose ids a Python worker keeps; it then starts afresh
 END = "</w>"
 
 
@@ -248,7 +248,7 @@ class Encoder:
             yield b"".join([x[0] for x in found]), " ".join([x[1] for x in found])
 
 
-@functools.lru_cache(4)
+@functools.lru_cache(1)
 def _encoder(vocabulary: str, lexicon: str) -> Encoder:
     return Encoder(Vocabulary(SparkFiles.get(vocabulary)), Transducer(SparkFiles.get(lexicon)))
 

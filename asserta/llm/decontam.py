@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from asserta.llm._common import chunks
+from asserta.llm._common import chunks, with_text
 from asserta.llm.textvec import hash_spans, mix, raw, runs, windows
 
 WINDOW = 8
@@ -201,19 +201,22 @@ def annotate(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = Non
     """The columns `keep` of docs (all, if not given), and an array of what each row's text leaks: item_id, words of
     the run, its share of the item's, and kind; empty where it leaks nothing. docs has a column text."""
     keep = docs.columns if keep is None else keep
-    out = docs.select(*[F.col(f"`{c}`") for c in keep], F.array().cast(LEAKS).alias(name), F.col("text").alias("text_read"))
-    whole, final = out.schema, T.StructType(out.schema.fields[:-1])
+    inputs, at = with_text(docs, keep)
+    none = F.array().cast(LEAKS).alias(name)
+    out = inputs.select(*[F.col(f"`{c}`") for c in keep], none, *[F.col(f"`{c}`") for c in inputs.columns[len(keep) :]])
+    at += at == len(keep)  # the text comes after the leaks, if it isn't among the columns kept
+    whole, final = out.schema, T.StructType(out.schema.fields[: len(keep) + 1])
     waiting = blocks(benchmark)
     index = next(waiting, None)
     if index is None:
-        return docs.select(*[F.col(f"`{c}`") for c in keep], F.array().cast(LEAKS).alias(name))
+        return out.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{name}`"))
     while index is not None:
         following = next(waiting, None)
-        held, width = docs.sparkSession.sparkContext.broadcast(index), len(keep) + (1 if following is None else 2)
+        held, width = docs.sparkSession.sparkContext.broadcast(index), len(final if following is None else whole)
 
         def run(batches: Iterator[pa.RecordBatch], held=held, width=width) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for start, piece in chunks(batch.column(len(keep) + 1)):
+                for start, piece in chunks(batch.column(at)):
                     found = held.value.leaks(piece)
                     rest = [batch.column(i).slice(start, len(piece)) for i in range(width)]
                     if found:

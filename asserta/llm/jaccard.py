@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from asserta.llm._common import MOST_BITS, bloom_bits, bloom_has, chunks, written
+from asserta.llm._common import MOST_BITS, bloom_bits, bloom_has, chunks, with_text, written
 from asserta.llm.textvec import mix, windows, words
 
 GRAM, SIMILAR = 5, 0.8
@@ -72,13 +72,13 @@ def sketch(docs: DataFrame, keep: list[str]) -> DataFrame:
     kept = [F.col(f"`{c}`") for c in keep]
     new = [T.StructField(n, t) for n, t in (("text_hash", T.LongType()), ("k1", T.LongType()), ("k2", T.LongType()), ("signs", T.BinaryType()), ("buckets", T.ArrayType(T.LongType())))]
     schema = T.StructType(docs.select(*kept).schema.fields + new)
+    inputs, text_at = with_text(docs.withColumn("hash_read", F.xxhash64(F.coalesce("text", F.lit("")))), [*keep, "hash_read"])
     roots = _roots()
     at, salt = np.array([i for i, _ in roots]), np.array([s for _, s in roots], np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.num_columns
-            for start, piece in chunks(batch.column(n - 1)):
+            for start, piece in chunks(batch.column(text_at)):
                 own = sets(piece)
                 full = [d for d, s in enumerate(own) if len(s)]
                 keys = np.zeros((len(full), 2), np.int64)
@@ -94,15 +94,15 @@ def sketch(docs: DataFrame, keep: list[str]) -> DataFrame:
                 place = {d: k for k, d in enumerate(full)}
                 rows = [place.get(d) for d in range(len(piece))]
                 made = [
-                    batch.column(n - 2).slice(start, len(piece)),
+                    batch.column(len(keep)).slice(start, len(piece)),
                     *(pa.array([None if k is None else int(keys[k, j]) for k in rows], pa.int64()) for j in (0, 1)),
                     pa.array([None if k is None else short[k].tobytes() for k in rows], pa.binary()),
                     pa.array([None if k is None else buckets[k] for k in rows], pa.list_(pa.int64())),
                 ]
-                rest = [batch.column(i).slice(start, len(piece)) for i in range(n - 2)]
+                rest = [batch.column(i).slice(start, len(piece)) for i in range(len(keep))]
                 yield pa.RecordBatch.from_arrays([*rest, *made], names=[*keep, *(f.name for f in new)])
 
-    return docs.select(*kept, F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash_read"), F.col("text").alias("text_read")).mapInArrow(run, schema)
+    return inputs.mapInArrow(run, schema)
 
 
 def by_group(batches: Iterator[pa.RecordBatch], keys: int, most: int = 4096) -> Iterator[tuple[pa.Table, np.ndarray]]:

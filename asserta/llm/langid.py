@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from asserta.llm._common import chunks
+from asserta.llm._common import chunks, with_text
 
 UNKNOWN = "und"
 SIZE = 300  # n-grams in a profile
@@ -171,14 +171,14 @@ def predict(docs: DataFrame, model: Profiles, keep: list[str], named: tuple[str,
     """The columns `keep` of docs, then the language and the score, as `named`. The profiles travel inside the function: at most
     LANGUAGES * SIZE n-grams. docs has a column text; `keep` has neither of the two new names."""
     held = docs.sparkSession.sparkContext.broadcast(model)
+    inputs, at = with_text(docs, keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, piece in chunks(batch.column(batch.num_columns - 1)):
+            for start, piece in chunks(batch.column(at)):
                 langs, score = classify(piece.to_pylist(), held.value)
-                rest = [batch.column(i).slice(start, len(piece)) for i in range(batch.num_columns - 1)]
+                rest = [batch.column(i).slice(start, len(piece)) for i in range(len(keep))]
                 yield pa.RecordBatch.from_arrays([*rest, pa.array(langs, pa.string()), pa.array(score)], names=[*keep, *named])
 
-    inputs = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("text_read"))
     schema = docs.select(*[F.col(f"`{c}`") for c in keep], F.lit("").alias(named[0]), F.lit(0.0).alias(named[1])).schema
     return inputs.mapInArrow(run, schema)

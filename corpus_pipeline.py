@@ -14,7 +14,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from asserta.llm import bpe, decontam, jaccard, langid, secrets
@@ -25,32 +25,39 @@ LEAST_SCORE = 0.15
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    """Each row as one struct beside its id and text, so that no column's name can meet a name of an operator."""
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc__"), "doc_id", "text")
+    """Each row's other columns as one struct beside its id and text, so that no column's name can meet a name of an
+    operator, and no text travels twice."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("doc__"), "doc_id", "text")
+
+
+def unpacked(rows: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
+    """The columns as they were, but for those changed."""
+    own = {"text": F.col("text")} | changed
+    return rows.select(*[own.get(c, F.col("doc__").getField(c)).alias(c) for c in columns])
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from a bounded sample of the labelled documents; drops `und` and what scores under LEAST_SCORE."""
-    named = langid.predict(packed(docs), langid.fit(docs), ["doc__"])
-    return named.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("doc__.*")
+    named = langid.predict(packed(docs), langid.fit(docs), ["doc__", "text"])
+    return unpacked(named.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)), docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard.near_duplicates(packed(docs), ["doc__"]).where("keeper").select("doc__.*")
+    return unpacked(jaccard.near_duplicates(packed(docs), ["doc__", "text"]).where("keeper"), docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontam.annotate(packed(docs), table(spark, sf_dir, "benchmark"), ["doc__"]).where(F.size("leaks") == 0).select("doc__.*")
+    return unpacked(decontam.annotate(packed(docs), table(spark, sf_dir, "benchmark"), ["doc__", "text"]).where(F.size("leaks") == 0), docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """n_chars, where there is one, follows a text that changes."""
-    out = secrets.redact(packed(docs))
-    changed = ~F.col("text").eqNullSafe(F.col("doc__")["text"])
-    columns = {c: F.col("doc__").getField(c) for c in docs.columns} | {"text": F.col("text")}
-    if "n_chars" in columns:
-        columns["n_chars"] = F.when(changed, F.length("text")).otherwise(columns["n_chars"]).cast(docs.schema["n_chars"].dataType)
-    return out.select(*[column.alias(c) for c, column in columns.items()])
+    out = secrets.redact(packed(docs).withColumn("before__", F.col("text")))
+    changed = {}
+    if "n_chars" in docs.columns:
+        same = F.col("text").eqNullSafe(F.col("before__"))
+        changed["n_chars"] = F.when(same, F.col("doc__").getField("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)
+    return unpacked(out, docs.columns, **changed)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
