@@ -9,6 +9,11 @@ is shorter, and its slots are consistent: equal values of the item always stand
 the other way round. So a question with other numbers or names is found (``reparameterised``), one that mixes them up
 isn't, and equal wording is ``exact``.
 
+What the templates miss is looked for word by word: windows of the case-folded words themselves (Unicode, no
+placeholders) give the longest equal run, which is ``exact`` if it is as long. So a copy in capitals is found, where
+templates take words for names. Where templates find an item in a text, theirs is the run told. Items of nothing but
+numbers aren't looked for.
+
 The hash table is built from blocks of the benchmark of at most BLOCK characters, and the texts are scanned once for
 each block: what a task holds is bounded however long the benchmark is, and the texts are never shuffled.
 
@@ -71,13 +76,25 @@ def _unit_hashes() -> np.ndarray:
 _UNITS = _unit_hashes()
 
 
-def template(texts: pa.LargeStringArray) -> Template:
-    """texts has no nulls."""
-    data, at = raw(texts)
+def folded(texts: pa.LargeStringArray) -> Template:
+    """The case-folded words, without placeholders. texts has no nulls."""
+    data, at = raw(pa.array([t.casefold() for t in texts.to_pylist()], pa.large_string()))
+    start, end = runs(_cores(data), at)
+    return Template(data, start, end, np.searchsorted(start, at), hash_spans(data, start, end), np.zeros(len(start), bool))
+
+
+def _cores(data: np.ndarray) -> np.ndarray:
+    """Which bytes belong to words."""
     core = _CORE[data]
     if len(data) > 2:
         core[1:-1] |= ((data[1:-1] == 46) | (data[1:-1] == 44)) & _DIGIT[data[:-2]] & _DIGIT[data[2:]]
-    start, end = runs(core, at)
+    return core
+
+
+def template(texts: pa.LargeStringArray) -> Template:
+    """texts has no nulls."""
+    data, at = raw(texts)
+    start, end = runs(_cores(data), at)
     first = np.searchsorted(start, at)
     hashed = hash_spans(data, start, end)
     if not len(start):
@@ -112,19 +129,17 @@ def _sized(t: Template, size: int) -> tuple[np.ndarray, np.ndarray]:
     return hashed[rich] ^ mix(np.array([size], np.uint64))[0], word[rich]
 
 
-class Index:
-    """The windows of a block of items. Items shorter than WINDOW have one window of their own length."""
+class Table:
+    """The windows of items. Items shorter than WINDOW have one window of their own length; those not `able`, none."""
 
-    def __init__(self, ids: list[int | None], texts: list[str | None]):
-        self.ids = ids
-        self.items = template(pa.array([t or "" for t in texts], pa.large_string()))
-        length = np.diff(self.items.first)
-        self.sizes = sorted({int(min(n, WINDOW)) for n in length if n >= LITERAL})
-        owner = np.repeat(np.arange(len(texts)), length)
+    def __init__(self, items: Template, able: np.ndarray):
+        length = np.diff(items.first)
+        self.sizes = sorted({int(min(n, WINDOW)) for n in length[able]})
+        owner = np.repeat(np.arange(len(length)), length)
         hashes, words = [], []
         for size in self.sizes:
-            h, w = _sized(self.items, size)
-            own = np.minimum(length[owner[w]], WINDOW) == size
+            h, w = _sized(items, size)
+            own = (np.minimum(length[owner[w]], WINDOW) == size) & able[owner[w]]
             hashes.append(h[own])
             words.append(w[own])
         h, w = (np.concatenate(x) if x else np.zeros(0, k) for x, k in ((hashes, np.uint64), (words, np.int64)))
@@ -135,22 +150,78 @@ class Index:
         self.door = np.zeros(1 << 20, bool)  # whether any key has these upper 20 bits
         self.door[(self.keys >> np.uint64(44)).astype(np.int64)] = True
 
-    def leaks(self, texts: pa.LargeStringArray) -> dict[int, list[dict]]:
-        """By text, what it leaks. texts has no nulls."""
-        t = template(texts)
+    def met(self, t: Template) -> dict[tuple[int, int, int], list[tuple[int, int]]]:
+        """By text, item and diagonal: the first word and the size of each window that both have."""
         met: dict[tuple[int, int, int], list[tuple[int, int]]] = {}
+        if not len(self.keys):
+            return met
         for size in self.sizes:
             h, word = _sized(t, size)
             maybe = np.flatnonzero(self.door[(h >> np.uint64(44)).astype(np.int64)])
-            key = np.minimum(np.searchsorted(self.keys, h[maybe]), max(0, len(self.keys) - 1))
+            key = np.minimum(np.searchsorted(self.keys, h[maybe]), len(self.keys) - 1)
             hit = self.keys[key] == h[maybe]
             text = np.searchsorted(t.first, word[maybe[hit]], "right") - 1
             for k, w, d in zip(key[hit].tolist(), word[maybe[hit]].tolist(), text.tolist()):
                 for x in range(self.begin[k], self.begin[k + 1]):
-                    item = int(self.owner[x])
-                    met.setdefault((d, item, w - int(self.word[x])), []).append((w, size))
+                    met.setdefault((d, int(self.owner[x]), w - int(self.word[x])), []).append((w, size))
+        return met
+
+
+def _joined(at: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Begin and end of the runs that windows on one diagonal make."""
+    at = sorted(set(at))
+    begin, end = at[0][0], at[0][0] + at[0][1]
+    for w, size in [*at[1:], (1 << 60, 0)]:
+        if w <= end:
+            end = max(end, w + size)
+            continue
+        yield begin, end
+        begin, end = w, w + size
+
+
+class Index:
+    """The windows of a block of items, of their templates and of their folded words."""
+
+    def __init__(self, ids: list[int | None], texts: list[str | None]):
+        self.ids = ids
+        whole = pa.array([t or "" for t in texts], pa.large_string())
+        self.items = template(whole)
+        self.typed = Table(self.items, np.diff(self.items.first) >= LITERAL)
+        plain = folded(whole)
+        self.length = np.diff(plain.first)
+        worded = np.concatenate([[0], np.cumsum(~_DIGIT[plain.data[plain.start]], dtype=np.int32)])
+        self.plain = Table(plain, (self.length >= LITERAL) & (np.diff(worded[plain.first]) > 0))
+
+    def found(self, texts: pa.LargeStringArray) -> dict[int, list[dict]]:
+        """By text, what it leaks by template, and the copies of other items. texts has no nulls."""
+        out = self._typed(texts)
+        for d, copies in self._copies(texts).items():
+            out[d] = copies | out.get(d, {})
+        return self._told(out)
+
+    def _told(self, found: dict[int, dict[int, dict]]) -> dict[int, list[dict]]:
+        return {d: [own[i] for i in sorted(own)] for d, own in found.items()}
+
+    def _copies(self, texts: pa.LargeStringArray) -> dict[int, dict[int, dict]]:
+        """By text and item, the longest run of the item's folded words that the text holds."""
+        longest: dict[tuple[int, int], int] = {}
+        for (d, item, _), at in self.plain.met(folded(texts)).items():
+            n = max(end - begin for begin, end in _joined(at))
+            if n >= min(RUN, self.length[item]):
+                longest[d, item] = max(n, longest.get((d, item), 0))
+        out: dict[int, dict[int, dict]] = {}
+        for (d, item), n in longest.items():
+            out.setdefault(d, {})[item] = {"item_id": self.ids[item], "words": n, "share": n / int(self.length[item]), "kind": "exact"}
+        return out
+
+    def leaks(self, texts: pa.LargeStringArray) -> dict[int, list[dict]]:
+        """By text, what it leaks by template. texts has no nulls."""
+        return self._told(self._typed(texts))
+
+    def _typed(self, texts: pa.LargeStringArray) -> dict[int, dict[int, dict]]:
+        t = template(texts)
         found: dict[int, dict[int, dict]] = {}
-        for (d, item, shift), at in met.items():
+        for (d, item, shift), at in self.typed.met(t).items():
             length = int(self.items.first[item + 1] - self.items.first[item])
             if (span := self._span(t, at, shift, min(RUN, length))) is None:
                 continue
@@ -158,20 +229,14 @@ class Index:
             own = found.setdefault(d, {})
             if item not in own or (leak["words"], leak["kind"] == "exact") > (own[item]["words"], own[item]["kind"] == "exact"):
                 own[item] = leak
-        return {d: [own[i] for i in sorted(own)] for d, own in found.items()}
+        return found
 
     def _span(self, t: Template, at: list[tuple[int, int]], shift: int, least: int) -> tuple[int, str] | None:
         """The longest consistent aligned run on a diagonal with `least` words, and its kind."""
         best = None
-        at = sorted(set(at))
-        begin, end = at[0][0], at[0][0] + at[0][1]
-        for w, size in [*at[1:], (1 << 60, 0)]:
-            if w <= end:
-                end = max(end, w + size)
-                continue
+        for begin, end in _joined(at):
             if end - begin >= least and (kind := self._kind(t, begin, end, shift)) and (best is None or end - begin > best[0]):
                 best = (end - begin, kind)
-            begin, end = w, w + size
         return best
 
     def _kind(self, t: Template, begin: int, end: int, shift: int) -> str | None:
@@ -217,7 +282,7 @@ def annotate(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = Non
         def run(batches: Iterator[pa.RecordBatch], held=held, width=width) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for start, piece in chunks(batch.column(at)):
-                    found = held.value.leaks(piece)
+                    found = held.value.found(piece)
                     rest = [batch.column(i).slice(start, len(piece)) for i in range(width)]
                     if found:
                         rest[len(keep)] = pa.array([x + found.get(d, []) for d, x in enumerate(rest[len(keep)].to_pylist())], rest[len(keep)].type)

@@ -369,6 +369,18 @@ def test_decontamination_odd_inputs(spark, messy):
     assert decontam.leaked(messy.limit(0), items).count() == 0
 
 
+def found(texts, items):
+    index = decontam.Index(list(range(len(items))), items)
+    return {d: {x["item_id"]: (x["words"], x["kind"]) for x in own} for d, own in index.found(pa.array(texts, pa.large_string())).items()}
+
+
+def test_decontamination_of_capitals():
+    item = "Señor Peña y Ana Ñáñez compraron 3 manzanas, dónde está la calle Straße de Élan?"
+    texts = [f"x y. {item.upper()} z", f"X Y. {' '.join(item.upper().split()[:10])} Z", f"x {' '.join(item.upper().split()[:9])} z", item.title()]
+    got = found(texts, [item, "another item of nine words is not in there"])
+    assert got == {0: {0: (15, "exact")}, 1: {0: (10, "exact")}, 3: {0: (15, "exact")}}
+
+
 # Media
 
 
