@@ -11,8 +11,8 @@ isn't, and equal wording is ``exact``.
 
 What the templates miss is looked for word by word: windows of the case-folded words themselves (Unicode, no
 placeholders) give the longest equal run, which is ``exact`` if it is as long. So a copy in capitals is found, where
-templates take words for names. Where templates find an item in a text, theirs is the run told. Items of nothing but
-numbers aren't looked for.
+templates take words for names, and so are the equal stretches of a copy whose run has slots that don't agree. Where
+templates find an item in a text, theirs is the run told. Items of nothing but numbers aren't looked for.
 
 The hash table is built from blocks of the benchmark of at most BLOCK characters, and the texts are scanned once for
 each block: what a task holds is bounded however long the benchmark is, and the texts are never shuffled.

@@ -381,6 +381,12 @@ def test_decontamination_of_capitals():
     assert got == {0: {0: (15, "exact")}, 1: {0: (10, "exact")}, 3: {0: (15, "exact")}}
 
 
+def test_decontamination_of_an_edited_copy():
+    item = "when Anna had 7 apples " + " ".join(f"word{chr(97 + i)}" for i in range(20)) + " there were 7 pears for Anna " + " ".join(f"more{chr(97 + i)}" for i in range(12))
+    got = found([item.replace("7 pears", "8 pears"), item.replace("for Anna", "for Bert")], [item])
+    assert got == {0: {0: (27, "exact")}, 1: {0: (30, "exact")}}
+
+
 # Media
 
 
