@@ -12,13 +12,14 @@ isn't, and equal wording is ``exact``.
 What the templates miss is looked for word by word: windows of the case-folded words themselves (Unicode, no
 placeholders) give the longest equal run, which is ``exact`` if it is as long. So a copy in capitals is found, where
 templates take words for names, and so are the equal stretches of a copy whose run has slots that don't agree. Where
-templates find an item in a text, theirs is the run told. Items of nothing but numbers aren't looked for.
+templates find an item in a text, theirs is the run told. Items too short for a template, or of nearly nothing but
+numbers and names, are found this way only; those of nothing but numbers aren't looked for.
 
 The hash table is built from blocks of the benchmark of at most BLOCK characters, and the texts are scanned once for
 each block: what a task holds is bounded however long the benchmark is, and the texts are never shuffled.
 
-Edge cases: null and empty texts or items have no template and never match; an item needs LITERAL words that aren't
-placeholders, as does each window, so that shapes alone never match. Rows are independent; ties don't arise. Repeated
+Edge cases: null and empty texts or items have no template and never match; a template needs LITERAL words that aren't
+placeholders, as does each of its windows, so that shapes alone never match. Rows are independent; ties don't arise. Repeated
 rows are judged alike. Extra columns are carried through, whatever their names; only the new column's name is taken."""
 
 from __future__ import annotations
@@ -190,7 +191,7 @@ class Index:
         plain = folded(whole)
         self.length = np.diff(plain.first)
         worded = np.concatenate([[0], np.cumsum(~_DIGIT[plain.data[plain.start]], dtype=np.int32)])
-        self.plain = Table(plain, (self.length >= LITERAL) & (np.diff(worded[plain.first]) > 0))
+        self.plain = Table(plain, np.diff(worded[plain.first]) > 0)
 
     def found(self, texts: pa.LargeStringArray) -> dict[int, list[dict]]:
         """By text, what it leaks by template, and the copies of other items. texts has no nulls."""

@@ -387,6 +387,12 @@ def test_decontamination_of_an_edited_copy():
     assert got == {0: {0: (27, "exact")}, 1: {0: (30, "exact")}}
 
 
+def test_decontamination_of_items_without_template():
+    items = ["What is 12 + 34 * 5 - 8", "Convert 12 km to miles", "Name Paris", "12 13 14 15 16", "5 7 9 11 13 Anna 15 17 19 21 23 25"]
+    texts = ["so WHAT IS 12 + 34 * 5 - 8?", "x convert 12 km to miles y", "convert 13 km to miles", "please name Paris now", "12 13 14 15 16", "0 5 7 9 11 13 anna 15 17 19 21 23 25 0"]
+    assert found(texts, items) == {0: {0: (6, "exact")}, 1: {1: (5, "exact")}, 3: {2: (2, "exact")}, 5: {4: (12, "exact")}}
+
+
 # Media
 
 
