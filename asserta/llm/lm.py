@@ -9,9 +9,8 @@ The network predicts the next token's class, and for the WORDS most frequent tok
 other classes (bins of head tokens by frequency, and one for all rare and unknown tokens) a token has its share of the
 class by count. So each token of a text has a probability. Biases begin at the training frequencies. Training is
 truncated backpropagation over windows of WINDOW tokens, with the state carried from window to window: each
-partition trains a copy on the texts of its share (one in SHARE of all training texts, whole, chosen by hash, so it
-grows with the corpus), and the copies are averaged by tokens seen. Scoring carries the state over windows from a
-text's first token to its end.
+partition trains a copy on all its training texts, and the copies are averaged by tokens seen. Scoring carries the
+state over windows from a text's first token to its end.
 
 Edge cases: a null text is an empty one: its end is its only token. Rows get a number of their own before the join, so
 null and repeated ids are safe. Without training texts counts are 0 and the network stays at its start. Equal counts
@@ -38,7 +37,6 @@ WORDS = GROUPS * PER_GROUP  # the end among them
 CLASSES = GROUPS + BINS + 1
 RARE = WORDS + BINS  # the network's number of a rare token; bins come before it
 DIM, HIDDEN = 24, 32
-SHARE = 8
 TRAIN_LANES, WINDOW, RATE, WARM = 32, 20, 4e-3, 200  # the rate rises over the first WARM steps
 LANES, STEPS = 256, 64
 END = np.uint64(0x656E64206F662074).astype(np.int64)
@@ -305,7 +303,6 @@ def train(texts: Iterator[pa.Array], c: Counts) -> tuple[np.ndarray, int]:
 def averaged(docs: DataFrame, c: Counts) -> np.ndarray:
     """The mean of the partitions' networks, weighted by tokens. docs: the training texts."""
     held = docs.sparkSession.sparkContext.broadcast(c)
-    share = docs.where(F.pmod(F.xxhash64(F.coalesce("text", F.lit("")), F.lit(11)), F.lit(SHARE)) == 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vector, seen = train((piece for batch in batches for _, piece in chunks(batch.column(0))), held.value)
@@ -313,7 +310,7 @@ def averaged(docs: DataFrame, c: Counts) -> np.ndarray:
             kind = pa.list_(pa.float32())
             yield pa.RecordBatch.from_arrays([pa.array([float(seen)]), pa.array([vector], kind)], names=["seen", "vector"])
 
-    copies = share.select(F.col("text").alias("text_read")).mapInArrow(run, "seen double, vector array<float>")
+    copies = docs.select(F.col("text").alias("text_read")).mapInArrow(run, "seen double, vector array<float>")
     each = copies.select("seen", F.posexplode("vector").alias("at", "value"))
     mean = each.groupBy("at").agg((F.sum(F.col("value") * F.col("seen")) / F.sum("seen")).alias("mean")).toArrow()
     net = Network.start(c).vector.copy()

@@ -196,6 +196,13 @@ def test_lm_odd_inputs(spark):
     assert all((r["n_known"], r["train_tokens"], r["base_score"]) == (0, 0, 0) for r in none) and lm.score(docs.limit(0), docs, ["doc_id"]).count() == 0
 
 
+def test_lm_learns_from_every_training_text(spark):
+    for text in ("a b c", "d e f g", "a a a a", "x y"):
+        docs = spark.createDataFrame([(text,)], "text string")
+        c, _ = lm.head_of(lm.written(lm.count(docs), "tokens"))
+        assert (lm.averaged(docs, c) != lm.Network.start(c).vector).any()
+
+
 def test_lm_gradient(monkeypatch):
     """Backpropagation against differences of the loss, over lanes and texts' beginnings."""
     rng = np.random.Generator(np.random.PCG64(1))
