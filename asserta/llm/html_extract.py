@@ -4,10 +4,11 @@ Events build lines: a block element begins a new line, inline elements don't. El
 (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments: by tag, role, or words
 of class and id) are passed over. Each line has its text-to-tag ratio, characters per tag. The ratios are smoothed by
 a Gaussian and split in two clusters by the threshold that leaves least variance within (for two clusters of numbers,
-exactly k-means). The lines of the upper cluster vote, with their characters, for their container: the article or main element they
-stand in, else the block element around them. All lines of the container that wins are the content, short ones too;
-where that is the page's whole body, the lines from the first line of the upper cluster, with headings just before it,
-to the last.
+exactly k-means). Each line has a container: the article or main element it stands in, else the block element around
+its own. Where a page marks an article, the lines of the upper cluster vote for theirs with their characters, and all
+lines of the one that wins are the content. Else the content goes from the first to the last line of all containers
+with a line of the upper cluster, short lines and what stands between them too, with headings just before it; where the
+container is the page's whole body, its line of the upper cluster alone counts.
 
 Edge cases: null and empty pages, and pages without text, give an empty text. An unclosed element ends with the page,
 or where an article begins. Equal ratios form one cluster, the upper. Rows are independent: null or repeated ids and
@@ -151,6 +152,26 @@ def upper_cluster(ratios: np.ndarray) -> np.ndarray:
     return smooth >= order[between.argmax() + 1]
 
 
+def spanned(parser: Lines, upper: np.ndarray, containers: list[int]) -> list[int]:
+    """The lines from the first to the last of all containers that lines of the upper cluster stand in."""
+    lines, n = parser.lines, len(parser.tag)
+    first, last = [len(lines)] * n, [-1] * n  # by block, of the lines in it
+    for i, x in enumerate(lines):
+        first[x.block] = min(first[x.block], i)
+        last[x.block] = i
+    for k in range(n - 1, 0, -1):  # a block's number is greater than that of the one around it
+        outer = parser.around[k]
+        first[outer], last[outer] = min(first[outer], first[k]), max(last[outer], last[k])
+    begin, end = len(lines), -1
+    for i, k in enumerate(containers):
+        if upper[i]:
+            whole = parser.tag[k] in ("page", "html", "body")
+            begin, end = min(begin, i if whole else first[k]), max(end, i if whole else last[k])
+    while begin and HEADING.match(parser.tag[lines[begin - 1].block]):
+        begin -= 1
+    return list(range(begin, end + 1))
+
+
 def main_text(html: str | None) -> str:
     parser = Lines()
     parser.feed(html or "")
@@ -168,18 +189,14 @@ def main_text(html: str | None) -> str:
         if up:
             votes[container(x)] += x.chars
     marked = [n for x in lines if parser.tag[n := container(x)] in TEXT_ROOT]
-    # Where a page marks its article, only marked text is one
-    best = max(marked or votes, key=lambda n: (votes.get(n, 0), -n))
-    inside = [best == 0]
-    for n in range(1, len(parser.tag)):
-        inside.append(n == best or inside[parser.around[n]])
-    kept = [i for i, x in enumerate(lines) if inside[x.block]]
-    if parser.tag[best] in ("page", "html", "body"):
-        ups = [k for k, i in enumerate(kept) if upper[i]]
-        first = ups[0]
-        while first and HEADING.match(parser.tag[lines[kept[first - 1]].block]):
-            first -= 1
-        kept = kept[first : ups[-1] + 1]
+    if marked:  # only marked text is an article
+        best = max(marked, key=lambda n: (votes.get(n, 0), -n))
+        inside = [False]
+        for n in range(1, len(parser.tag)):
+            inside.append(n == best or inside[parser.around[n]])
+        kept = [i for i, x in enumerate(lines) if inside[x.block]]
+    else:
+        kept = spanned(parser, upper, [container(x) for x in lines])
     return " ".join(t for i in kept if (t := " ".join("".join(lines[i].parts).split())))
 
 

@@ -136,6 +136,15 @@ def test_pages(page):
     assert html_extract.main_text(page) == TEXT
 
 
+def test_pages_of_sibling_sections():
+    said = [f"{w} section says at length what there is to say about it, and then a little more." for w in ("First", "Second", "Third")]
+    sections = "".join(f'<div class="sec"><p>{x}</p></div>' for x in said)
+    links = "<ul>" + "<li><a href='/'>x</a></li>" * 9 + "</ul>"
+    assert html_extract.main_text(f'<body>{links}<h1>Title</h1><div id="content">{sections}</div>{links}</body>') == " ".join(["Title", *said])
+    quote = f"<div><p>{said[0]}</p><blockquote><p>{said[1] * 3}</p></blockquote><p>{said[2]}</p></div>"
+    assert html_extract.main_text(f"<body>{links}{quote}{links}</body>") == f"{said[0]} {said[1] * 3} {said[2]}"
+
+
 def test_pages_odd_inputs(spark):
     rows = [(None, None, None, 3), (1, "u", "", 3), (1, "u", "plain words", 3), (2, None, "<", 3), (2, None, "<p", 3), (3, "u", "<p>" * 3000 + "deep", 3), (4, "u", "<article>" + "long " * 200_000, 3), (4, "u", "\0<p>a\0</p>", 3)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, n_chars long")
