@@ -72,6 +72,7 @@ class Lines(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, bool, int]] = []  # tag, passed over, number (0 for inline elements)
+        self.places: dict[str, list[int]] = defaultdict(list)  # by tag, where it is in `open`
         self.hidden = self.tags = 0
         self.tag, self.around, self.article, self.main = ["page"], [0], [0], [0]
         self.blocks = [0]  # the open ones
@@ -103,10 +104,12 @@ class Lines(HTMLParser):
             self.article.append(self.article[outer] or number * (tag == "article"))
             self.main.append(self.main[outer] or number * (tag == "main"))
             self.blocks.append(number)
+        self.places[tag].append(len(self.open))
         self.open.append((tag, over, number))
 
     def _close(self, at: int) -> None:
-        for _, over, number in self.open[at:]:
+        for tag, over, number in self.open[at:]:
+            self.places[tag].pop()
             self.hidden -= over
             if number:
                 self.blocks.pop()
@@ -118,10 +121,8 @@ class Lines(HTMLParser):
             self.line.tags += 1
         if tag in BLOCK:
             self.line = None
-        for at in range(len(self.open) - 1, max(-1, len(self.open) - 257), -1):
-            if self.open[at][0] == tag:
-                self._close(at)
-                break
+        if self.places.get(tag):
+            self._close(self.places[tag][-1])
 
     def handle_data(self, data: str) -> None:
         if self.hidden:

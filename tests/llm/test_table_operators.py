@@ -145,6 +145,13 @@ def test_pages_of_sibling_sections():
     assert html_extract.main_text(f"<body>{links}{quote}{links}</body>") == f"{said[0]} {said[1] * 3} {said[2]}"
 
 
+def test_pages_end_tags_at_any_depth():
+    rows = "<tr><td>x" * 400
+    text = "What follows a long sidebar of open rows is the text of this page, and it is kept."
+    assert html_extract.main_text(f'<body><div class="sidebar"><table>{rows}</div><p>{text}</p></body>') == text
+    assert html_extract.main_text(f"<body><article><p>{text}</p>{'<p><b>y' * 400}</article><p>{text}</p></body>") == f"{text}{' y' * 400}"
+
+
 def test_pages_odd_inputs(spark):
     rows = [(None, None, None, 3), (1, "u", "", 3), (1, "u", "plain words", 3), (2, None, "<", 3), (2, None, "<p", 3), (3, "u", "<p>" * 3000 + "deep", 3), (4, "u", "<article>" + "long " * 200_000, 3), (4, "u", "\0<p>a\0</p>", 3)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, n_chars long")
