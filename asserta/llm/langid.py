@@ -116,14 +116,15 @@ def _ranked(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> Profiles:
     """labelled: columns text and lang. What reaches the driver: `languages` names, then SIZE rows for each."""
-    known = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("text", "lang")
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
+    pick = F.pmod(F.xxhash64("text"), F.lit(1 << 40)).alias("pick")
+    known = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("text", "lang", pick)
+    kinds = known.groupBy("lang", "pick").count().groupBy("lang").agg(F.sum("count").alias("rows"), F.count("*").alias("kinds"))
+    counts = kinds.orderBy(F.desc("rows"), "lang").limit(languages).collect()
     if not counts:
         return Profiles([], np.zeros(0, np.int64), np.zeros((0, 0), np.int32))
-    # A share by hash that leaves about 1.3 times the wanted number, then the least hashes among those
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 1.3 * per_language / r["count"]))])
-    pick = F.pmod(F.xxhash64("text"), F.lit(1 << 40))
-    some = known.withColumn("pick", pick).where(F.col("pick") < share[F.col("lang")] * F.lit(float(1 << 40)))
+    # A share by hash that leaves about 1.3 times the wanted number of different texts, then the least hashes among those
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 1.3 * per_language / r["kinds"]))])
+    some = known.where(F.col("pick") < share[F.col("lang")] * F.lit(float(1 << 40)))
     some = some.dropDuplicates(["lang", "pick"])  # copies count once: a text that fills a third of the table is one row here
     first = some.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("pick", "text"))).where(F.col("n") <= per_language)
 

@@ -63,6 +63,16 @@ def test_language_profiles(spark):
     assert all(got[i]["lang_pred"] == k and 0 < got[i]["score"] <= 1 for i, _, k in rows)
 
 
+def test_language_of_many_copies(spark):
+    copies = [(f"wing that {'x' * (i % 5)} and the", "aa") for i in range(2000)]
+    others = [(f"schein und {i} zug", "bb") for i in range(5)]
+    labelled = spark.createDataFrame([*copies, *others], "text string, lang string")
+    once = labelled.dropDuplicates()
+    got, wanted = langid.fit(labelled, 5), langid.fit(once, 5)
+    assert got.names == wanted.names == ["aa", "bb"]
+    assert np.array_equal(got.codes, wanted.codes) and np.array_equal(got.ranks, wanted.ranks)
+
+
 def test_language_distance_against_python():
     """Ranks, distances and scores by dictionaries."""
     from collections import Counter
