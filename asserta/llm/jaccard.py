@@ -4,14 +4,17 @@ A text's set holds the hashes of its windows of GRAM words (white space separate
 of fewer words has one window of all of them. Texts with the same set are one representative. Each representative is
 embedded as SIGNS minimal hashes. A run of the chosen-path tree splits a bucket on sampled coordinates: each is taken
 with probability 1 / (SIMILAR * SIGNS), by a hash of the bucket, so two sets that are SIMILAR share about one of the
-sub-buckets at every level. Buckets of up to SMALL are compared in full by their signs; larger ones are split again, up
-to DEPTH levels; what is still larger then is taken as alike. Runs are repeated until a pair of similarity SIMILAR is
-missed with probability 1 - RECALL at most, even at the last level.
-
-Buckets give candidate links as stars, never pairs, and components of candidates are verified: all sets of a component
-are compared exactly, in blocks of BLOCK sets, each pair of blocks in a task of its own, so no task's input grows with a
-group's size and nothing is written for a pair. A class is a component of verified links; a text's number of links
-counts the other texts, copies too, at SIMILAR or more. Links within a candidate component are all found.
+sub-buckets at every level. Buckets of up to SMALL are compared in full by their signs; larger ones are compared with a few
+of their members, and split again unless these show that the bucket is one component, up to DEPTH levels; what is still
+larger then is taken as alike. Runs are repeated until a pair of similarity SIMILAR is missed with probability
+1 - RECALL at most, even at the last level.
+
+Buckets give candidate links as stars, never pairs, and components of candidates are verified: the sets of a component
+are compared exactly, in blocks of about BLOCK sets or ITEMS hashes, each pair of blocks in a group of its own, so no
+task's input grows with a group's size and nothing is written for a pair. In a component of several blocks only sets
+whose sizes can be similar meet: sizes fall in classes a factor 1 / SIMILAR wide, and blocks of one class or of
+neighbours are compared. A class is a component of verified links; a text's number of links counts the other texts,
+copies too, at SIMILAR or more. Links within a candidate component are all found.
 
 Edge cases: null and empty texts, and those of white space alone, have no set: each is a class of its own without
 links. Rows have numbers of their own from the first write on, so null and repeated ids are safe; a class's id is its
@@ -21,12 +24,13 @@ each other. Columns asked for are carried, whatever their names, but for the nam
 from __future__ import annotations
 
 import math
+import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,9 +38,10 @@ from asserta.llm._common import MOST_BITS, bloom_bits, bloom_has, chunks, with_t
 from asserta.llm.textvec import mix, windows, words
 
 GRAM, SIMILAR = 5, 0.8
-SIGNS, SMALL, DEPTH, RECALL = 64, 200, 4, 0.999
+SIGNS, SMALL, DEPTH, RECALL = 64, 512, 4, 0.999
+PIVOTS, SALTS = 4, 64
 LEAST = 37  # equal signs of SIGNS for a candidate: at SIMILAR, fewer occur about once in 100 000
-BLOCK = 512
+BLOCK, ITEMS = 512, 1 << 21
 _RNG = np.random.Generator(np.random.PCG64(2018))
 _XOR, _TIMES = _RNG.integers(0, 1 << 63, SIGNS, dtype=np.uint64), _RNG.integers(0, 1 << 63, SIGNS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SALT = mix(np.arange(1, SIGNS + 1, dtype=np.uint64))
@@ -67,12 +72,18 @@ def sets(texts: pa.LargeStringArray) -> list[np.ndarray]:
     return [np.unique(h[a:b]) for a, b in zip(first, first[1:])]
 
 
+def _hashes() -> list[Column]:
+    """128 bits that stand for a text."""
+    text = F.coalesce("text", F.lit(""))
+    return [F.xxhash64(text), F.xxhash64(F.lit(1), text)]
+
+
 def sketch(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns `keep`, a hash of the text, and of its set the digest (k1, k2), signs and first buckets."""
+    """The columns `keep`, two hashes of the text, and of its set the digest (k1, k2), size, signs and first buckets."""
     kept = [F.col(f"`{c}`") for c in keep]
-    new = [T.StructField(n, t) for n, t in (("text_hash", T.LongType()), ("k1", T.LongType()), ("k2", T.LongType()), ("signs", T.BinaryType()), ("buckets", T.ArrayType(T.LongType())))]
+    new = [T.StructField(n, t) for n, t in (("h1", T.LongType()), ("h2", T.LongType()), ("k1", T.LongType()), ("k2", T.LongType()), ("size", T.LongType()), ("signs", T.BinaryType()), ("buckets", T.ArrayType(T.LongType())))]
     schema = T.StructType(docs.select(*kept).schema.fields + new)
-    inputs, text_at = with_text(docs.withColumn("hash_read", F.xxhash64(F.coalesce("text", F.lit("")))), [*keep, "hash_read"])
+    inputs, text_at = with_text(docs.withColumns(dict(zip(("h1_read", "h2_read"), _hashes()))), [*keep, "h1_read", "h2_read"])
     roots = _roots()
     at, salt = np.array([i for i, _ in roots]), np.array([s for _, s in roots], np.uint64)
 
@@ -94,8 +105,9 @@ def sketch(docs: DataFrame, keep: list[str]) -> DataFrame:
                 place = {d: k for k, d in enumerate(full)}
                 rows = [place.get(d) for d in range(len(piece))]
                 made = [
-                    batch.column(len(keep)).slice(start, len(piece)),
+                    *(batch.column(len(keep) + j).slice(start, len(piece)) for j in (0, 1)),
                     *(pa.array([None if k is None else int(keys[k, j]) for k in rows], pa.int64()) for j in (0, 1)),
+                    pa.array([len(x) for x in own], pa.int64()),
                     pa.array([None if k is None else short[k].tobytes() for k in rows], pa.binary()),
                     pa.array([None if k is None else buckets[k] for k in rows], pa.list_(pa.int64())),
                 ]
@@ -131,15 +143,15 @@ def by_group(batches: Iterator[pa.RecordBatch], keys: int, most: int = 4096) ->
 
 
 def _least_label(linked: np.ndarray) -> np.ndarray:
-    """The least index of each index's component."""
+    """The least index of each index's component, by search from each one not reached yet."""
     n = len(linked)
-    label = np.arange(n)
-    linked = linked | np.eye(n, dtype=bool)
-    while True:
-        least = np.where(linked, label[None, :], n).min(1)
-        if (least == label).all():
-            return label
-        label = least
+    label = np.full(n, -1)
+    for k in range(n):
+        front = np.array([k] if label[k] < 0 else [], np.int64)
+        while len(front):
+            label[front] = k
+            front = np.flatnonzero(linked[front].any(0) & (label < 0))
+    return label
 
 
 def split(level: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -148,7 +160,7 @@ def split(level: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
             for at in range(0, whole.num_rows, 8192):
                 batch = whole.slice(at, 8192)
                 bucket = batch.column(0).to_numpy().view(np.uint64)
-                signs = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint16).reshape(-1, SIGNS)
+                signs = _signs(batch.column(2))
                 h = mix(bucket[:, None] ^ _SALT ^ np.uint64(level << 32))
                 row, i = np.nonzero(h < _TAKEN)
                 new = mix(h[row, i] * np.uint64(2) + np.uint64(1) ^ (signs[row, i].astype(np.uint64) << np.uint64(20)))
@@ -157,11 +169,33 @@ def split(level: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
     return run
 
 
+def _signs(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, SIGNS)
+
+
+def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (rep, signs, pivot, the pivot's signs): those that are candidates, as edges (a, b), a > b."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, 8192):
+            batch = whole.slice(at, 8192)
+            rep, pivot = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            hit = ((_signs(batch.column(1)) == _signs(batch.column(3))).sum(1) >= LEAST) & (rep != pivot)
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(rep, pivot)[hit]), pa.array(np.minimum(rep, pivot)[hit])], names=["a", "b"])
+
+
+def _alike(s: np.ndarray) -> np.ndarray:
+    """Which rows of signs are candidates, some rows at a time."""
+    out = np.empty((len(s), len(s)), bool)
+    for at in range(0, len(s), 32):
+        out[at : at + 32] = np.count_nonzero(s[at : at + 32, None, :] == s[None, :, :], axis=2) >= LEAST
+    return out
+
+
 def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (bucket, rep, signs), sorted by bucket: a star for each component of a bucket's candidates."""
     for rows, edge in by_group(batches, 1):
         rep = rows.column(1).to_numpy()
-        signs = np.frombuffer(b"".join(rows.column(2).to_pylist()), np.uint16).reshape(-1, SIGNS)
+        signs = _signs(rows.column(2))
         size = np.diff(edge)
         two = edge[:-1][size == 2]
         two = two[(signs[two] == signs[two + 1]).sum(1) >= LEAST]
@@ -170,7 +204,7 @@ def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x, y = edge[k], edge[k + 1]
             order = np.argsort(rep[x:y])
             s, r = signs[x:y][order], rep[x:y][order]
-            label = _least_label((s[:, None, :] == s[None, :, :]).sum(2) >= LEAST)
+            label = _least_label(_alike(s))
             other = label != np.arange(len(label))
             a.append(r[other])
             b.append(r[label[other]])
@@ -178,59 +212,98 @@ def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def candidates(reps: DataFrame) -> DataFrame:
-    """Stars (a, b), a > b, over representatives that may be similar. reps: rep, signs, buckets."""
-    rows, small = reps.select("rep", F.explode("buckets").alias("bucket")), []
-    stars = None
+    """Edges (a, b), a > b, over representatives that may be similar. reps: rep, signs, buckets.
+
+    Each large bucket is compared with PIVOTS of its members before it is split. What meets a pivot is in that one's
+    component, so a bucket whose members are all in one component has nothing left to find and goes no further: a
+    group of near copies is not carried from level to level."""
+    signs = reps.select("rep", "signs")
+    rows, small, edges = reps.select("rep", F.explode("buckets").alias("bucket")), [], []
     for level in range(1, DEPTH + 1):
-        sizes = rows.groupBy("bucket").count().where("count > 1")
-        shared = written(rows.join(sizes, "bucket").select("bucket", "rep", "count"), f"level{level}")
-        small.append(shared.where(F.col("count") <= SMALL))
-        large = shared.where(F.col("count") > SMALL)
+        pivots = [F.min_by("rep", F.xxhash64(F.lit(level * PIVOTS + k), "rep")).alias(f"p{k}") for k in range(PIVOTS)]
+        sizes = written(rows.groupBy("bucket").agg(F.count("*").alias("count"), *pivots).where("count > 1"), f"sizes{level}")
+        shared = written(rows.join(sizes.select("bucket", "count"), "bucket"), f"level{level}")
+        small.append(shared.where(F.col("count") <= SMALL).select("bucket", "rep"))
+        large = written(shared.where(F.col("count") > SMALL).join(signs, "rep").select("bucket", "rep", "signs"), f"large{level}")
         if large.isEmpty():
             break
         if level == DEPTH:
-            least = large.groupBy("bucket").agg(F.min("rep").alias("b"))
-            stars = large.join(least, "bucket").select(F.col("rep").alias("a"), "b").where("a != b")
-        else:
-            rows = large.join(reps.select("rep", "signs"), "rep").select("bucket", "rep", "signs").mapInArrow(split(level), "bucket long, rep long").distinct()
+            least = sizes.where(F.col("count") > SMALL).select("bucket", F.col("p0").alias("b"))
+            stars = large.join(least, "bucket").where("rep != b")
+            edges.append(stars.select(F.greatest("rep", "b").alias("a"), F.least("rep", "b").alias("b")))
+            break
+        each = sizes.where(F.col("count") > SMALL).select("bucket", F.explode(F.array_distinct(F.array(*[f"p{k}" for k in range(PIVOTS)]))).alias("pivot"))
+        each = each.join(signs.toDF("pivot", "pivot_signs"), "pivot")
+        met = large.join(each, "bucket").select("rep", "signs", "pivot", "pivot_signs").mapInArrow(meet, "a long, b long").distinct()
+        edges.append(written(met, f"met{level}"))
+        found = edges[0]
+        for more in edges[1:]:
+            found = found.unionAll(more)
+        label = components(found)
+        named = large.join(label.withColumnRenamed("a", "rep"), "rep", "left").select("bucket", "rep", "signs", F.coalesce("b", "rep").alias("label"))
+        named = written(named, f"named{level}")
+        mixed = named.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("bucket")
+        rows = named.join(written(mixed, f"mixed{level}"), "bucket").select("bucket", "rep", "signs").mapInArrow(split(level), "bucket long, rep long").distinct()
     both = small[0]
     for more in small[1:]:
         both = both.unionAll(more)
-    signed = both.join(reps.select("rep", "signs"), "rep").select("bucket", "rep", "signs")
-    found = signed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(compare, "a long, b long")
-    return (found.unionAll(stars) if stars is not None else found).distinct()
+    signed = both.join(signs, "rep").select("bucket", "rep", "signs")
+    out = signed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(compare, "a long, b long")
+    for more in edges:
+        out = out.unionAll(more)
+    return out.distinct()
+
+
+def _least(both: DataFrame) -> DataFrame:
+    """Of rows (a, b, salt): for each a and each of its salts the least b (m). A node with many edges is summed up by
+    salt first, and meets its edges again salt by salt, never all of them in one task."""
+    by_salt = both.groupBy("a", "salt").agg(F.min("b").alias("m"))
+    return by_salt.groupBy("a").agg(F.min("m").alias("m"), F.collect_list("salt").alias("salts")).select("a", "m", F.explode("salts").alias("salt"))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(a, b): each node but a component's least with that one. Alternates large and small stars until nothing
     changes; edges (a, b) have a > b."""
+    salt = F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int").alias("salt")
     edges = written(edges, "edges")
     sign = None
     while True:
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if now == sign:
+        if now == sign or not now[0]:
             return edges
         sign = now
-        both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).select("a", "b", salt)
+        least = _least(both).select("a", "salt", F.least("a", "m").alias("m"))
+        large = both.join(least, ["a", "salt"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct().select("a", "b", salt)
+        large = written(large, "stars")
+        least = _least(large)
+        small = large.join(least, ["a", "salt"]).where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = written(small.unionAll(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
 
 
+def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (component, rep, own block, copies, k1, k2, blocks to meet, text): the set in place of the text, which has
+    to be the one that the digest tells."""
+    for batch in batches:
+        for start, piece in chunks(batch.column(7)):
+            own = [x.tobytes() for x in sets(piece)]
+            for x, p, q in zip(own, *(batch.column(i).slice(start, len(piece)).to_pylist() for i in (4, 5))):
+                if struct.unpack("<qq", xxhash.xxh3_128_digest(x)) != (p, q):
+                    raise ValueError("two texts have the same 128 bits of hash")
+            rest = [batch.column(i).slice(start, len(piece)) for i in (0, 1, 2, 3, 6)]
+            yield pa.RecordBatch.from_arrays([*rest, pa.array(own, pa.binary())], names=["component", "rep", "own", "copies", "others", "items"])
+
+
 def exact(rows: pa.Table, edge: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each group of rows (component, block, block, rep, own block, copies, k1, k2, text): reps, the least rep of
-    each one's verified component within the group, and its number of linked texts. Of a pair of different blocks only
-    links between the two count."""
+    """For each group of rows (component, block, block, rep, own block, copies, set): reps, the least rep of each one's
+    verified component within the group, and its number of linked texts. Of a pair of different blocks only links
+    between the two count."""
     for x, y in zip(edge, edge[1:]):
         group = rows.slice(x, y - x)
         first, second = group.column(1)[0].as_py(), group.column(2)[0].as_py()
-        rep, block, copies, k1, k2 = (group.column(i).to_numpy() for i in range(3, 8))
-        own = [s for _, piece in chunks(group.column(8)) for s in sets(piece)]
-        right = np.array([np.array_equal(np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64), (p, q)) for s, p, q in zip(own, k1, k2)], bool)
+        rep, block, copies = (group.column(i).to_numpy() for i in range(3, 6))
+        own = [np.frombuffer(b, np.uint64) for b in group.column(6).to_pylist()]
         order = np.argsort(rep)
-        order = order[right[order]]
         if len(order) < 2:
             continue
         rep, block, copies, own = rep[order], block[order], copies[order], [own[i] for i in order]
@@ -273,22 +346,38 @@ def near_duplicates(docs: DataFrame, keep: list[str]) -> DataFrame:
     text."""
     base = written(sketch(docs.withColumn("id__", F.col("doc_id")), [*keep, "id__"]).withColumn("row", F.monotonically_increasing_id()), "sketches")
     order = F.struct(F.col("id__").isNull().alias("none"), "id__", "row")
-    reps = base.where(F.col("k1").isNotNull()).groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.min(order).alias("least"), F.first("signs").alias("signs"), F.first("buckets").alias("buckets"), F.first("text_hash").alias("text_hash"))
+    reps = base.where(F.col("k1").isNotNull()).groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.min(order).alias("least"), F.first("signs").alias("signs"), F.first("buckets").alias("buckets"), F.first("size").alias("size"), F.first("h1").alias("h1"), F.first("h2").alias("h2"))
     reps = written(reps.withColumn("rep", F.monotonically_increasing_id()), "reps")
     stars = components(candidates(reps))
-    member = stars.unionAll(stars.select(F.col("b").alias("a"), "b").distinct())
-    blocks = member.groupBy("b").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    member = member.join(blocks, "b").select(F.col("a").alias("rep"), F.col("b").alias("component"), "blocks")
-    member = written(member.join(reps.select("rep", "k1", "k2", "copies", "text_hash"), "rep"), "members")
+    member = stars.unionAll(stars.select(F.col("b").alias("a"), "b").distinct()).select(F.col("a").alias("rep"), F.col("b").alias("component"))
+    kind = F.floor(F.log(F.col("size")) / math.log(1 / SIMILAR)).cast("long").alias("kind")
+    member = written(member.join(reps.select("rep", "k1", "k2", "copies", "h1", "h2", "size"), "rep").withColumn("kind", kind), "members")
+    # Of each component, how many blocks each class of sizes has
+    kinds = member.groupBy("component", "kind").agg(F.count("*").alias("n"), F.sum("size").alias("items"))
+    many = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("items") / ITEMS)).alias("blocks")
+    kinds = kinds.groupBy("component").agg(((F.sum("n") <= BLOCK) & (F.sum("items") <= ITEMS)).alias("one"), F.map_from_entries(F.collect_list(F.struct("kind", many))).alias("blocks"))
+    n = member.count()
+    member = member.join(written(kinds, "kinds"), "component")
     # Only texts of members move: a Bloom filter of bounded size leaves the others where they are
-    hashes = member.select("text_hash").distinct()
-    size = min(MOST_BITS, max(64, -(-member.count() * 10 // 64) * 64))
-    bits = written(bloom_bits(hashes, "text_hash", 9, size, 5), "bits")
-    some = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), F.col("text").alias("text_read"))
-    some = some.where(bloom_has(bits.scalar(), F.col("text_hash"), 9, size, 5)).dropDuplicates(["text_hash"])
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    dealt = member.join(some, "text_hash").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = dealt.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "own", "copies", "k1", "k2", "text_read")
+    hashes = member.select("h1").distinct()
+    size = min(MOST_BITS, max(64, -(-n * 10 // 64) * 64))
+    bits = written(bloom_bits(hashes, "h1", 9, size, 5), "bits")
+    some = docs.select(*(h.alias(n) for h, n in zip(_hashes(), ("h1", "h2"))), F.col("text").alias("text_read"))
+    some = some.where(bloom_has(bits.scalar(), F.col("h1"), 9, size, 5)).dropDuplicates(["h1", "h2"])
+
+    def block(kind: Column, number: Column) -> Column:
+        return F.shiftleft(kind, 32) + number
+
+    def of_kind(kind: Column) -> Column:
+        n = F.coalesce(F.element_at("blocks", kind), F.lit(0).cast("long"))
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda k: block(kind, k))).otherwise(F.array().cast("array<long>"))
+
+    none = F.lit(0).cast("long")
+    own = F.when(F.col("one"), none).otherwise(block(F.col("kind"), F.pmod(F.xxhash64("rep"), F.element_at("blocks", F.col("kind")))))
+    others = F.when(F.col("one"), F.array(none)).otherwise(F.concat(*[of_kind(F.col("kind") + k) for k in (-1, 0, 1)]))
+    dealt = member.join(some, ["h1", "h2"]).select("component", "rep", own.alias("own"), "copies", "k1", "k2", others.alias("others"), "text_read")
+    dealt = dealt.mapInArrow(unfold, "component long, rep long, own long, copies long, others array<long>, items binary").withColumn("other", F.explode("others"))
+    pairs = dealt.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "own", "copies", "items")
     checked = written(pairs.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j").mapInArrow(verify, "rep long, root long, links long"), "verified")
     links = checked.groupBy("rep").agg(F.sum("links").alias("links"))
     # Over the blocks of a component the parts' roots are edges again; of one block they are stars already
@@ -297,14 +386,11 @@ def near_duplicates(docs: DataFrame, keep: list[str]) -> DataFrame:
     classed = classed.withColumn("root", F.coalesce("b", "rep"))
     first = classed.groupBy("root").agg(F.min("least").alias("first"))
     classed = classed.join(first, "root").select("k1", "k2", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "first")
-    out = base.drop("signs", "buckets", "text_hash").join(classed, ["k1", "k2"], "left")
-    alone = F.col("first").isNull()
-    return out.select(
-        *[F.col(f"`{c}`") for c in keep],
-        F.when(alone, F.col("id__")).otherwise(F.col("first.id__")).alias("class_id"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"),
-        (alone | (F.col("first.row") == F.col("row"))).alias("keeper"),
-    )
+    base = base.drop("signs", "buckets", "h1", "h2", "size")
+    found = base.where(F.col("k1").isNotNull()).join(classed, ["k1", "k2"])
+    ids = [F.col(f"`{c}`") for c in keep]
+    alone = base.where(F.col("k1").isNull()).select(*ids, F.col("id__").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("keeper"))
+    return found.select(*ids, F.col("first.id__").alias("class_id"), "n_links", (F.col("first.row") == F.col("row")).alias("keeper")).unionAll(alone)
 
 
 #: The query over `documents` in DuckDB: every pair of different sets that share a window is compared.

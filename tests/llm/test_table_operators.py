@@ -335,6 +335,27 @@ def test_near_copies_against_brute_force(spark, monkeypatch, small, block):
     assert kept and set(kept.values()) == {1}
 
 
+def test_near_copies_of_a_large_group(spark, monkeypatch):
+    """Many edits of one text: links between all of them that are alike, none lost, and no fan-out by levels."""
+    monkeypatch.setattr(jaccard, "SMALL", 50)
+    monkeypatch.setattr(jaccard, "BLOCK", 100)
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(400)]
+    base = rng.choices(words, k=150)
+    texts = [(k, " ".join(rng.choices(words, k=60))) for k in range(40)]
+    for k in range(400):
+        own = list(base)
+        for _ in range(rng.randrange(0, 7)):
+            own[rng.randrange(len(own))] = rng.choice(words)
+        texts.append((100 + k, " ".join(own[: 150 - rng.randrange(0, 60) * (k % 3 == 0)])))
+    got = jaccard.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string").repartition(5), ["doc_id"]).collect()
+    true = plain_classes(texts)
+    mine = sorted((False, r["doc_id"], r["class_id"], r["n_links"]) for r in got)
+    assert sum(x[3] for x in mine) >= 0.99 * sum(x[3] for x in true) > 0
+    assert all(a[3] <= b[3] for a, b in zip(mine, true))
+    assert sum(a == b for a, b in zip(mine, true)) >= 0.9 * len(true)
+
+
 def test_near_copies_empty(spark):
     assert jaccard.near_duplicates(spark.createDataFrame([], "doc_id long, text string"), ["doc_id"]).count() == 0
 
