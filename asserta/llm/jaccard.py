@@ -39,7 +39,7 @@ from asserta.llm.textvec import mix, windows, words
 
 GRAM, SIMILAR = 5, 0.8
 SIGNS, SMALL, DEPTH, RECALL = 64, 512, 4, 0.999
-PIVOTS, SALTS = 4, 64
+PIVOTS = 4  # members that a large bucket is compared with
 LEAST = 37  # equal signs of SIGNS for a candidate: at SIMILAR, fewer occur about once in 100 000
 BLOCK, ITEMS = 512, 1 << 21
 _RNG = np.random.Generator(np.random.PCG64(2018))
@@ -155,16 +155,18 @@ def _least_label(linked: np.ndarray) -> np.ndarray:
 
 
 def split(level: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (bucket, rep, label, signs) to rows (bucket, rep, label) of the next level."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 8192):
                 batch = whole.slice(at, 8192)
                 bucket = batch.column(0).to_numpy().view(np.uint64)
-                signs = _signs(batch.column(2))
+                signs = _signs(batch.column(3))
                 h = mix(bucket[:, None] ^ _SALT ^ np.uint64(level << 32))
                 row, i = np.nonzero(h < _TAKEN)
                 new = mix(h[row, i] * np.uint64(2) + np.uint64(1) ^ (signs[row, i].astype(np.uint64) << np.uint64(20)))
-                yield pa.RecordBatch.from_arrays([pa.array(new.view(np.int64)), batch.column(1).take(pa.array(row))], names=["bucket", "rep"])
+                yield pa.RecordBatch.from_arrays([pa.array(new.view(np.int64)), *(batch.column(k).take(pa.array(row)) for k in (1, 2))], names=["bucket", "rep", "label"])
 
     return run
 
@@ -214,36 +216,34 @@ def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def candidates(reps: DataFrame) -> DataFrame:
     """Edges (a, b), a > b, over representatives that may be similar. reps: rep, signs, buckets.
 
-    Each large bucket is compared with PIVOTS of its members before it is split. What meets a pivot is in that one's
-    component, so a bucket whose members are all in one component has nothing left to find and goes no further: a
-    group of near copies is not carried from level to level."""
+    Each large bucket of the first level is compared with PIVOTS of its members. What meets pivots makes components;
+    each representative has the label of its own. A bucket whose members have one label has nothing left to find and
+    goes no further: a group of near copies is not carried from level to level."""
     signs = reps.select("rep", "signs")
-    rows, small, edges = reps.select("rep", F.explode("buckets").alias("bucket")), [], []
+    rows = reps.select("rep", F.col("rep").alias("label"), F.explode("buckets").alias("bucket"))
+    small, edges = [], []
     for level in range(1, DEPTH + 1):
-        pivots = [F.min_by("rep", F.xxhash64(F.lit(level * PIVOTS + k), "rep")).alias(f"p{k}") for k in range(PIVOTS)]
-        sizes = written(rows.groupBy("bucket").agg(F.count("*").alias("count"), *pivots).where("count > 1"), f"sizes{level}")
+        pivots = [F.min_by("rep", F.xxhash64(F.lit(k), "rep")).alias(f"p{k}") for k in range(PIVOTS)]
+        sizes = rows.groupBy("bucket").agg(F.count("*").alias("count"), F.min("label").alias("x"), F.max("label").alias("y"), *pivots)
+        sizes = written(sizes.where("x < y").drop("x", "y"), f"sizes{level}")
         shared = written(rows.join(sizes.select("bucket", "count"), "bucket"), f"level{level}")
         small.append(shared.where(F.col("count") <= SMALL).select("bucket", "rep"))
-        large = written(shared.where(F.col("count") > SMALL).join(signs, "rep").select("bucket", "rep", "signs"), f"large{level}")
-        if large.isEmpty():
+        large, hot = shared.where(F.col("count") > SMALL).select("bucket", "rep", "label"), sizes.where(F.col("count") > SMALL)
+        if hot.isEmpty():
             break
         if level == DEPTH:
-            least = sizes.where(F.col("count") > SMALL).select("bucket", F.col("p0").alias("b"))
-            stars = large.join(least, "bucket").where("rep != b")
+            stars = large.join(hot.select("bucket", F.col("p0").alias("b")), "bucket").where("rep != b")
             edges.append(stars.select(F.greatest("rep", "b").alias("a"), F.least("rep", "b").alias("b")))
             break
-        each = sizes.where(F.col("count") > SMALL).select("bucket", F.explode(F.array_distinct(F.array(*[f"p{k}" for k in range(PIVOTS)]))).alias("pivot"))
-        each = each.join(signs.toDF("pivot", "pivot_signs"), "pivot")
-        met = large.join(each, "bucket").select("rep", "signs", "pivot", "pivot_signs").mapInArrow(meet, "a long, b long").distinct()
-        edges.append(written(met, f"met{level}"))
-        found = edges[0]
-        for more in edges[1:]:
-            found = found.unionAll(more)
-        label = components(found)
-        named = large.join(label.withColumnRenamed("a", "rep"), "rep", "left").select("bucket", "rep", "signs", F.coalesce("b", "rep").alias("label"))
-        named = written(named, f"named{level}")
-        mixed = named.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("bucket")
-        rows = named.join(written(mixed, f"mixed{level}"), "bucket").select("bucket", "rep", "signs").mapInArrow(split(level), "bucket long, rep long").distinct()
+        large = large.join(signs, "rep")
+        if level == 1:
+            each = hot.select("bucket", F.explode(F.array_distinct(F.array(*[f"p{k}" for k in range(PIVOTS)]))).alias("pivot"))
+            each = each.join(signs.toDF("pivot", "pivot_signs"), "pivot")
+            met = written(large.join(each, "bucket").select("rep", "signs", "pivot", "pivot_signs").mapInArrow(meet, "a long, b long").distinct(), "met")
+            edges.append(met)
+            label = components(met).toDF("rep", "least")
+            large = large.join(label, "rep", "left").withColumn("label", F.coalesce("least", "label"))
+        rows = large.select("bucket", "rep", "label", "signs").mapInArrow(split(level), "bucket long, rep long, label long").distinct()
     both = small[0]
     for more in small[1:]:
         both = both.unionAll(more)
@@ -254,17 +254,15 @@ def candidates(reps: DataFrame) -> DataFrame:
     return out.distinct()
 
 
-def _least(both: DataFrame) -> DataFrame:
-    """Of rows (a, b, salt): for each a and each of its salts the least b (m). A node with many edges is summed up by
-    salt first, and meets its edges again salt by salt, never all of them in one task."""
-    by_salt = both.groupBy("a", "salt").agg(F.min("b").alias("m"))
-    return by_salt.groupBy("a").agg(F.min("m").alias("m"), F.collect_list("salt").alias("salts")).select("a", "m", F.explode("salts").alias("salt"))
+def _least(edges: DataFrame) -> DataFrame:
+    """Each a's least b. `a` is computed anew, so a join by it deals these rows out again, and adaptive execution may
+    split the edges of a node that has very many."""
+    return edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").bitwiseXOR(F.lit(0)).alias("a"), "m")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(a, b): each node but a component's least with that one. Alternates large and small stars until nothing
     changes; edges (a, b) have a > b."""
-    salt = F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int").alias("salt")
     edges = written(edges, "edges")
     sign = None
     while True:
@@ -272,12 +270,11 @@ def components(edges: DataFrame) -> DataFrame:
         if now == sign or not now[0]:
             return edges
         sign = now
-        both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).select("a", "b", salt)
-        least = _least(both).select("a", "salt", F.least("a", "m").alias("m"))
-        large = both.join(least, ["a", "salt"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct().select("a", "b", salt)
-        large = written(large, "stars")
+        both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = _least(both).select("a", F.least("a", "m").alias("m"))
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = _least(large)
-        small = large.join(least, ["a", "salt"]).where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = large.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = written(small.unionAll(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
 
 
