@@ -10,9 +10,12 @@ from pyspark.sql import SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where that is unset (tests on one machine), a temporary one."""
+    """The folder of spark.checkpoint.dir. Where that is unset, a temporary one if all runs on one machine, else
+    ValueError, as no folder is known then that all machines see."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines see")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="asserta-"))
         path = spark.sparkContext.getCheckpointDir()
     return path.rstrip("/")
@@ -38,6 +41,12 @@ def delete_path(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def put_file(spark: SparkSession, local: str, path: str) -> None:
+    """Copies a file of this machine to where all machines see it."""
+    p, fs = _fs(spark, path)
+    fs.copyFromLocalFile(False, True, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"file://{local}"), p)
+
+
 def read_text(spark: SparkSession, path: str) -> str | None:
     """A small file's text, None if there is none."""
     p, fs = _fs(spark, path)
