@@ -3,24 +3,24 @@
 The vocabulary file (Hugging Face tokenizers' JSON: NFC, white space, lower case, one split pattern, byte-level BPE
 with a word-end suffix) is read, never trained. A corpus pass finds frequent words; the driver encodes each once and
 compiles them into a transducer: states that accept the same endings are shared, each edge carries a number, and the
-sum of the numbers along a word's path is its place in a table of ids. The file goes to each executor once
-(SparkContext.addFile) and is memory-mapped, so its pages are shared by the Python workers of a machine. A word that
+sum of the numbers along a word's path is its place in a table of ids. The file goes to the shared folder and from
+there to each executor once (SparkContext.addFile), and is memory-mapped, so its pages are shared by the Python workers
+of a machine. A word that
 the transducer doesn't accept is merged by the rules of the vocabulary; so the lexicon changes speed, never ids.
 
-The lexicon is chosen by counts over all texts. A batch reports only words that it holds REPORT times or more, so a
-word may be missed that is rare in every batch; it is then merged like any other unseen word.
+The lexicon is chosen by exact counts over all texts. No word goes across white space, so texts are cut there first,
+and only chunks that a batch or a worker has not met yet are looked at by the split pattern.
 
 Edge cases: a null text is an empty one and has no ids. The strings of the special tokens in a text become their ids,
 as the library does it by default. Rows are independent: repeated rows, null ids and other columns change nothing."""
 
 from __future__ import annotations
 
-import atexit
 import functools
 import hashlib
+import heapq
 import json
 import os
-import shutil
 import struct
 import tempfile
 import unicodedata
@@ -36,11 +36,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from asserta.llm._common import chunks, written
+from asserta.sources.workspace import new_path, put_file
 
 LEXICON = 1 << 18  # frequent words compiled, at most
-REPORT = 3  # times in a batch that a word needs to be reported for the lexicon
-CACHED = 150_000  # words whose ids a Python worker keeps; it then starts afresh
+CACHED = 400_000  # chunks whose ids a Python worker keeps, if they are no longer than LONG; it then starts afresh
+LONG = 64
+#: White space to Python, but not to the vocabulary's patterns.
+SEPARATORS = "\x1c\x1d\x1e\x1f"
 END = "</w>"
+SHORT, NONE = 48, 1 << 62
 
 
 def byte_chars() -> list[str]:
@@ -62,12 +66,32 @@ class Vocabulary:
             raise ValueError(f"{path} isn't a byte-level BPE with word ends")
         self.ids: dict[str, int] = model["vocab"]
         self.added: dict[str, int] = {t["content"]: t["id"] for t in x["added_tokens"]}
-        pairs = [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
-        self.ranks: dict[tuple[str, str], int] = {m: i for i, m in enumerate(pairs)}
+        # Two ids in one number, and what they become: the rank above, the id below
+        self.pairs: dict[int, int] = {}
+        for rank, m in enumerate(model["merges"]):
+            a, b = m.split(" ") if isinstance(m, str) else m
+            self.pairs[self.ids[a] << 32 | self.ids[b]] = rank << 32 | self.ids[a + b]
         self.tokens = {i: t for t, i in {**self.ids, **self.added}.items()}
         self.pattern = regex.compile(split["pattern"]["Regex"])
+        self.space = regex.compile(r"\s+")
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.chars = byte_chars()
+        self.start, self.ending = [self.ids[c] for c in byte_chars()], [self.ids[c + END] for c in byte_chars()]
+
+    def chunks(self, text: str) -> list[str]:
+        """The stretches between white space; no word goes across it, as no sign of it does in any string or pattern
+        of the vocabulary."""
+        if not any(c in text for c in SEPARATORS):
+            return text.split()
+        return [c for c in self.space.split(text) if c]
+
+    def of_chunk(self, chunk: str) -> list[str]:
+        """As `words`; most chunks are ASCII letters, and a sign of punctuation may follow."""
+        if chunk.isascii():
+            if chunk.isalpha():
+                return [chunk.lower()]
+            if chunk[-1] in ",.;:!?" and chunk[:-1].isalpha():
+                return [chunk[:-1].lower(), chunk[-1]]
+        return self.words(chunk)
 
     def words(self, text: str) -> list[str]:
         """The normalised text's words; each special token is one of its own, with NUL before it."""
@@ -85,29 +109,46 @@ class Vocabulary:
         return self.pattern.findall(text.lower())
 
     def merge(self, word: str) -> list[int]:
-        """A word's ids: the pair of least rank is merged, leftmost first, until none is left."""
+        """A word's ids: the pair of least rank is merged, the leftmost first, until none is left. In a long word
+        pairs wait in a heap and parts are linked, so it takes n log n steps."""
         if word[0] == "\0" and word[1:] in self.added:
             return [self.added[word[1:]]]
-        parts = [self.chars[b] for b in word.encode("utf-8", "surrogatepass")]
-        parts[-1] += END
-        ranks, none = self.ranks, 1 << 40
-        while len(parts) > 1:
-            found = [ranks.get(p, none) for p in zip(parts, parts[1:])]
-            least = min(found)
-            if least == none:
-                break
-            at = found.index(least)
-            pair = (parts[at], parts[at + 1])
-            merged, i, n = parts[:at], at, len(parts)
-            while i < n:
-                if i + 1 < n and parts[i] == pair[0] and parts[i + 1] == pair[1]:
-                    merged.append(pair[0] + pair[1])
-                    i += 2
-                else:
-                    merged.append(parts[i])
-                    i += 1
-            parts = merged
-        return [self.ids[p] for p in parts]
+        raw = word.encode("utf-8", "surrogatepass")
+        parts = [self.start[b] for b in raw]
+        parts[-1] = self.ending[raw[-1]]
+        if len(parts) > SHORT:
+            return self._long(parts)
+        get = self.pairs.get
+        ranks = [get(a << 32 | b, NONE) for a, b in zip(parts, parts[1:])]
+        while ranks and (least := min(ranks)) != NONE:
+            i = ranks.index(least)
+            parts[i] = least & (1 << 32) - 1
+            del parts[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = get(parts[i - 1] << 32 | parts[i], NONE)
+            if i < len(ranks):
+                ranks[i] = get(parts[i] << 32 | parts[i + 1], NONE)
+        return parts
+
+    def _long(self, parts: list[int]) -> list[int]:
+        get, n = self.pairs.get, len(parts)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        waiting = [(r, i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if (r := get(a << 32 | b, NONE)) != NONE]
+        heapq.heapify(waiting)
+        while waiting:
+            rank, i = heapq.heappop(waiting)
+            j = after[i]
+            if parts[i] < 0 or j >= n or get(parts[i] << 32 | parts[j], NONE) != rank:
+                continue  # one of the two has been merged since
+            parts[i], parts[j] = rank & (1 << 32) - 1, -1
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                if (r := get(parts[i] << 32 | parts[k], NONE)) != NONE:
+                    heapq.heappush(waiting, (r, i))
+            if (h := before[i]) >= 0 and (r := get(parts[h] << 32 | parts[i], NONE)) != NONE:
+                heapq.heappush(waiting, (r, h))
+        return [p for p in parts if p >= 0]
 
     def decode(self, ids: Iterable[int]) -> str:
         """Without a decoder in the file, the tokens' strings with spaces between; unknown ids are left out."""
@@ -125,7 +166,7 @@ class Transducer:
             sizes = struct.unpack("<6q", f.read(48))
         at, parts = 48, []
         for kind, n in zip(self.KINDS, sizes):
-            parts.append(np.memmap(path, kind, "r", at, (n,)) if n else np.zeros(0, kind))
+            parts.append(np.asarray(np.memmap(path, kind, "r", at, (n,))) if n else np.zeros(0, kind))
             at += -(-n * np.dtype(kind).itemsize // 8) * 8
         self.keys, self.targets, self.outputs, self.final, self.begin, self.ids = parts
 
@@ -220,64 +261,98 @@ class Transducer:
     def ids_at(self, place: int) -> np.ndarray:
         return self.ids[self.begin[place] : self.begin[place + 1]]
 
+    def all_ids(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all places, and where each one's begin and the last end."""
+        first = self.begin[places]
+        at = np.concatenate([[0], np.cumsum(self.begin[places + 1] - first)])
+        return self.ids[np.arange(at[-1]) + np.repeat(first - at[:-1], np.diff(at))], at
+
 
 class Encoder:
-    """A worker's vocabulary, transducer and a bounded store of words it has met: ids as bytes, and their tokens."""
+    """A worker's vocabulary, transducer and a bounded store of chunks it has met: ids as bytes, and their tokens."""
 
     def __init__(self, vocabulary: Vocabulary, transducer: Transducer | None):
         self.v, self.t = vocabulary, transducer
         self.met: dict[str, tuple[bytes, str]] = {}
 
-    def learn(self, words: set[str]) -> None:
-        new = list(words - self.met.keys())
-        if len(self.met) + len(new) > CACHED:
-            self.met.clear()
-            new = list(words)
-        places = self.t.lookup([w.encode("utf-8", "surrogatepass") for w in new]) if self.t else [-1] * len(new)
-        tokens = self.v.tokens
-        for word, place in zip(new, places):
-            ids = self.t.ids_at(place).tolist() if place >= 0 else self.v.merge(word)
-            self.met[word] = (struct.pack(f"<{len(ids)}I", *ids), " ".join([tokens[i] for i in ids]))
+    def learn(self, new: list[str]) -> dict[str, tuple[bytes, str]]:
+        """What the chunks become."""
+        split = [self.v.of_chunk(c) for c in new]
+        words = list(set().union(*split))
+        places = self.t.lookup([w.encode("utf-8", "surrogatepass") for w in words]) if self.t else np.full(len(words), -1)
+        tokens, made = self.v.tokens, {}
+        if self.t and len(hit := np.flatnonzero(places >= 0)):
+            ids, at = self.t.all_ids(places[hit])
+            raw, names, edge = ids.tobytes(), [tokens[i] for i in ids.tolist()], at.tolist()
+            for k, a, b in zip(hit.tolist(), edge, edge[1:]):
+                made[words[k]] = (raw[4 * a : 4 * b], " ".join(names[a:b]))
+        for k in np.flatnonzero(places < 0).tolist():
+            own = self.v.merge(words[k])
+            made[words[k]] = (struct.pack(f"<{len(own)}I", *own), " ".join([tokens[i] for i in own]))
+        out = {}
+        for chunk, own in zip(new, split):
+            if len(own) == 1:
+                out[chunk] = made[own[0]]
+            else:
+                x = [made[w] for w in own]
+                out[chunk] = (b"".join([ids for ids, _ in x]), " ".join([t for _, t in x]))
+        return out
 
     def encode(self, texts: list[str]) -> Iterator[tuple[bytes, str]]:
         """Each text's ids as little-endian unsigned 32-bit integers, and the decoded text."""
-        split = [self.v.words(t) for t in texts]
-        self.learn(set().union(*split))
-        for words in split:
-            found = [self.met[w] for w in words]
-            yield b"".join([x[0] for x in found]), " ".join([x[1] for x in found])
+        split = [self.v.chunks(t) for t in texts]
+        seen = set().union(*split)
+        if len(self.met) + len(seen) > CACHED:
+            self.met.clear()
+        found = self.learn([c for c in seen if c not in self.met])
+        self.met.update((c, x) for c, x in found.items() if len(c) <= LONG)
+        known = self.met | found if any(len(c) > LONG for c in found) else self.met
+        for own in split:
+            x = [known[c] for c in own]
+            # A chunk without ids, one of ignored signs, has no token
+            yield b"".join([ids for ids, _ in x]), " ".join([t for _, t in x if t])
+
+
+@functools.lru_cache(1)
+def _vocabulary(name: str) -> Vocabulary:
+    return Vocabulary(SparkFiles.get(name))
 
 
 @functools.lru_cache(1)
 def _encoder(vocabulary: str, lexicon: str) -> Encoder:
-    return Encoder(Vocabulary(SparkFiles.get(vocabulary)), Transducer(SparkFiles.get(lexicon)))
+    return Encoder(_vocabulary(vocabulary), Transducer(SparkFiles.get(lexicon)))
 
 
 def frequent_words(docs: DataFrame, vocabulary: str, most: int = LEXICON) -> list[str]:
-    """The most frequent words by what the batches report; ties by word. docs has a column text. What reaches the
-    driver is `most` words."""
+    """The most frequent words, all words of all texts being counted: those of the highest steps of frequency, eight
+    to each doubling, that are `most` words together or fewer. docs has a column text. What reaches the driver is a
+    row for each step, and `most` words."""
     name = _sent(docs, vocabulary)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = Vocabulary(SparkFiles.get(name))
+        v = _vocabulary(name)
         for batch in batches:
-            seen: Counter[str] = Counter()
+            met: Counter[str] = Counter()
             for _, piece in chunks(batch.column(0)):
                 for text in piece.to_pylist():
-                    seen.update(v.words(text))
-            top = [(w, n) for w, n in seen.items() if n >= REPORT and w[0] != "\0"]
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["word", "n"])
-
-    # Written, as it is read twice
+                    met.update(v.chunks(text))
+            seen: dict[str, int] = {}
+            for chunk, n in met.items():
+                for w in v.of_chunk(chunk):
+                    if w[0] != "\0":
+                        seen[w] = seen.get(w, 0) + n
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+
+    # Written, as it is read more than once
     totals = written(docs.select(F.col("text").alias("text_read")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    # A least count that leaves `most` words at the most, from the counts of counts
-    tally = sorted(((r["n"], r["c"]) for r in totals.groupBy("n").agg(F.count("*").alias("c")).collect()), reverse=True)
-    kept = least = 0
-    for n, c in tally:
+    step = F.floor(F.log2(F.col("n")) * 8)
+    tally = sorted((tuple(r) for r in totals.groupBy(step.alias("step")).agg(F.count("*").alias("c")).collect()), reverse=True)
+    kept, least = 0, None
+    for at, c in tally:
         if kept + c > most:
             break
-        kept, least = kept + c, n
-    return [r["word"] for r in totals.where(F.col("n") >= (least or (1 << 62))).select("word").toLocalIterator()] if kept else []
+        kept, least = kept + c, at
+    return [r["word"] for r in totals.where(step >= least).select("word").toLocalIterator()] if kept else []
 
 
 def _sent(docs: DataFrame, path: str) -> str:
@@ -290,12 +365,13 @@ def build_lexicon(docs: DataFrame, vocabulary: str, most: int = LEXICON) -> str:
     """Compiles the transducer of the frequent words and sends it to the executors; its name there."""
     v = Vocabulary(vocabulary)
     words = frequent_words(docs, vocabulary, most)
-    # The driver serves the file to executors, also to those that come later, so it stays until the driver ends
-    folder = tempfile.mkdtemp(prefix="asserta-lexicon-")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    path = os.path.join(folder, f"lexicon-{uuid.uuid4().hex}.bin")
-    Transducer.compile({w: v.merge(w) for w in words}, path)
-    return _sent(docs, path)
+    name = f"lexicon-{uuid.uuid4().hex}.bin"
+    with tempfile.TemporaryDirectory() as folder:
+        local = os.path.join(folder, name)
+        Transducer.compile({w: v.merge(w) for w in words}, local)
+        path = new_path(docs.sparkSession, "lexicon")
+        put_file(docs.sparkSession, local, f"{path}/{name}")
+    return _sent(docs, f"{path}/{name}")
 
 
 def encode(docs: DataFrame, vocabulary: str, keep: list[str], lexicon: str | None = None, with_ids: bool = False) -> DataFrame:

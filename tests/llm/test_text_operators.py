@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import re
 import struct
 import zlib
@@ -162,6 +163,20 @@ def test_bpe_whole_table(spark, library):
         assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == expected(library, docs[r["doc_id"]])
 
 
+def test_bpe_words_against_the_library(library):
+    """Chunks, repeated signs, separators that aren't white space to the vocabulary, and a word of 100 000 letters."""
+    rng = random.Random(12)
+    encoder = bpe.Encoder(bpe.Vocabulary(public_tokenizers.path("word_bpe_49k.json")), None)
+    texts = ["".join(rng.choices("aehinorst'.,19 \u0301\u00e9\u03a3\x1c\x1f\x85\u00a0\u3000\u4e2d", k=rng.randrange(1, 60))) for _ in range(400)]
+    texts += ["a" * 300, "ab" * 151, "<|endoftext|> x<|startoftext|>y", "\x1c", "".join(rng.choices("etaoinshr", k=3000))]
+    for text, (raw, decoded) in zip(texts, encoder.encode(texts)):
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert (np.frombuffer(raw, "<u4").tolist(), decoded) == (ids, library.decode(ids, skip_special_tokens=False)), text
+    began = time.process_time()
+    assert encoder.v.merge("".join(rng.choices("etaoinshr", k=100_000)))
+    assert time.process_time() - began < 2
+
+
 def test_bpe_empty_table(spark, messy):
     assert bpe.encode(messy.limit(0), public_tokenizers.path("word_bpe_49k.json"), ["row"]).count() == 0
 
