@@ -1,30 +1,35 @@
 """Language-model scoring: a gated recurrent network in numpy with a class-factored output, over exact token counts.
 
 Tokens are longest runs of bytes other than ASCII white space, A-Z lower-cased, then one end for each text. Tokens
-are told apart by 64-bit hashes. Counts cover all training texts. Tokens that occur `least` times or more, at most
-HEAD of them, are the head, which every worker holds; the others are rare, and their counts reach the texts that have
-them by a join.
+are told apart by 64-bit hashes. Counts cover all training texts. The most frequent tokens, at
+most HEAD of them, are the head, which every worker holds; the others are rare, and their counts reach the texts that
+have them by a join.
 
 The network predicts the next token's class, and for the WORDS most frequent tokens the word within it; within the
 other classes (bins of head tokens by frequency, and one for all rare and unknown tokens) a token has its share of the
 class by count. So each token of a text has a probability. Biases begin at the training frequencies. Training is
-truncated backpropagation over windows of WINDOW tokens, with the state carried from window to window: each
-partition trains a copy on all its training texts, and the copies are averaged by tokens seen. Scoring carries the
-state over windows from a text's first token to its end.
+truncated backpropagation over windows of WINDOW tokens, with the state carried from window to window. Each training
+text is learned once, in one of ROUNDS rounds and there in one of as many shards as the number of tokens says; both,
+and the order within, follow from a hash of the row. In a round each shard trains a copy of the network, and the copies
+are averaged by tokens seen, in the order of shards; the next round begins there. So equal tables give equal networks,
+however their rows are dealt over files and tasks. Scoring carries the state over windows from a text's first token to
+its end.
 
 Edge cases: a null text is an empty one: its end is its only token. Rows get a number of their own before the join, so
 null and repeated ids are safe. Without training texts counts are 0 and the network stays at its start. Equal counts
-are ordered by hash."""
+are ordered by hash. Training rows that are equal in all columns go to one shard."""
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+import itertools
+import math
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,8 +42,10 @@ WORDS = GROUPS * PER_GROUP  # the end among them
 CLASSES = GROUPS + BINS + 1
 RARE = WORDS + BINS  # the network's number of a rare token; bins come before it
 DIM, HIDDEN = 24, 32
-TRAIN_LANES, WINDOW, RATE, WARM = 32, 20, 4e-3, 200  # the rate rises over the first WARM steps
-LANES, STEPS = 256, 64
+ROUNDS, PER_SHARD, SHARDS = 4, 500_000, 4096  # tokens of a shard, unless more than SHARDS were needed in a round
+TRAIN_LANES, WINDOW, WINDOWS = 256, 20, 150  # as many lanes as leave WINDOWS windows, if that isn't too many
+RATES, WARM = (6e-3, 6e-3, 4e-3, 2e-3), 50  # by round; the first one's rises over WARM steps
+LANES, STEPS, WASTE = 256, 64, 4  # a grid has at most about WASTE times as many cells as tokens
 END = np.uint64(0x656E64206F662074).astype(np.int64)
 
 
@@ -85,23 +92,27 @@ def count(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("text").alias("text_read")).mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
+def step_of(n: str) -> Column:
+    return F.floor(F.log2(F.col(n)) * 8)
+
+
 def head_of(counts: DataFrame, most: int = HEAD) -> tuple[Counts, int]:
-    """What workers hold, and the least count of the head. counts: written, as it is read three times. The tally has a
-    row for each different count; the head at most `most` rows."""
-    tally = sorted(((r["n"], r["c"]) for r in counts.groupBy("n").agg(F.count("*").alias("c")).collect()), reverse=True)
+    """What workers hold, and the least step of frequency in the head; a doubling has eight steps. counts: written, as
+    it is read twice. The tally has a row for each step; the head at most `most` rows."""
+    tally = sorted((tuple(r) for r in counts.groupBy(step_of("n").alias("step")).agg(F.count("*").alias("c"), F.sum("n").alias("sum")).collect()), reverse=True)
     kept, least = 0, 1 << 62
-    for n, c in tally:
+    for step, c, _ in tally:
         if kept + c > most:
             break
-        kept, least = kept + c, n
-    head = counts.where(F.col("n") >= least).toArrow()
+        kept, least = kept + c, step
+    head = counts.where(step_of("n") >= least).toArrow()
     keys, n = (np.asarray(head.column(i).to_numpy(), np.int64) for i in range(2))
     order = np.argsort(keys)
     keys, n = keys[order], n[order]
     if END not in keys:
         at = np.searchsorted(keys, END)
         keys, n = np.insert(keys, at, END), np.insert(n, at, 0)
-    total, kinds = sum(a * c for a, c in tally), sum(c for _, c in tally)
+    total, kinds = sum(n for _, _, n in tally), sum(c for _, c, _ in tally)
     rare_total, rare_kinds = total - int(n.sum()), kinds - kept
     rank = np.empty(len(keys), np.int64)
     rank[np.lexsort((keys, -n, keys != END))] = np.arange(len(keys))
@@ -128,9 +139,11 @@ def look_up(c: Counts, hashes: np.ndarray) -> np.ndarray:
 
 
 def lanes(at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Texts laid end to end in `width` lanes, the longest first, each on the shortest lane. Gives by step and lane
-    the token's number, or -1 past a lane's end, and whether a text begins there."""
+    """Texts laid end to end in at most `width` lanes, the longest first, each on the shortest lane. Gives by step and
+    lane the token's number, or -1 past a lane's end, and whether a text begins there. Beside one very long text there
+    are fewer lanes, so that cells stay in proportion to tokens."""
     size = np.diff(at)
+    width = min(width, max(1, WASTE * int(at[-1]) // int(size.max())))
     order = np.argsort(-size, kind="stable")
     load = [0] * width
     heap = [(0, k) for k in range(width)]
@@ -252,10 +265,14 @@ class Network:
             dg[:, 2 * HIDDEN :] *= r
             grad["wh"] += h.T @ dg
             dh = np.where(fresh[t][:, None], np.float32(0), dh * z + dg @ p["wh"].T)
+        # Sums by the token read first: the table's rows
         flat, seen = da_all.reshape(-1, 3 * HIDDEN), x.ravel()
-        grad["b"] += flat.sum(0)
-        grad["wx"] += p["emb"][seen].T @ flat
-        np.add.at(grad["emb"], seen, flat @ p["wx"].T)
+        order = np.argsort(seen, kind="stable")
+        begin = np.flatnonzero(np.concatenate([[True], np.diff(seen[order]) != 0]))
+        own, rows = seen[order[begin]], np.add.reduceat(flat[order], begin)
+        grad["b"] += rows.sum(0)
+        grad["wx"] += p["emb"][own].T @ rows
+        grad["emb"][own] += rows @ p["wx"].T
 
 
 def read_tokens(c: Counts, hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -267,68 +284,123 @@ def read_tokens(c: Counts, hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarr
     return place, y, x
 
 
-def train(texts: Iterator[pa.Array], c: Counts) -> tuple[np.ndarray, int]:
-    """A network trained on texts (pieces without nulls), by Adam; its parameters, and tokens seen."""
-    net = Network.start(c)
-    first, second = np.zeros_like(net.vector), np.zeros_like(net.vector)
-    step = seen = 0
-    for piece in texts:
-        hashes, at = tokens(piece)
+class Adam:
+    def __init__(self, n: int):
+        self.first, self.second, self.step = np.zeros(n, np.float32), np.zeros(n, np.float32), 0
+
+    def move(self, vector: np.ndarray, d: np.ndarray, rate: float) -> None:
+        self.step += 1
+        self.first += np.float32(0.1) * (d - self.first)
+        self.second += np.float32(0.01) * (d * d - self.second)
+        vector -= np.float32(rate / (1 - 0.9**self.step)) * self.first / (np.sqrt(self.second * np.float32(1 / (1 - 0.99**self.step))) + np.float32(1e-6))
+
+
+def train(pieces: Iterable[tuple[np.ndarray, np.ndarray]], c: Counts, vector: np.ndarray, round_: int) -> tuple[np.ndarray, int]:
+    """The parameters after truncated backpropagation over pieces (hashes, where texts begin), and tokens seen. A
+    piece's tokens are one stream, dealt in equal parts to lanes."""
+    net = Network(vector.astype(np.float32))
+    adam, seen = Adam(len(net.vector)), 0
+    for hashes, at in pieces:
         _, y, x = read_tokens(c, hashes, at)
-        grid, fresh = lanes(at, min(TRAIN_LANES, max(1, len(at) - 1)))
-        h = np.zeros((grid.shape[1], HIDDEN), np.float32)
-        for t in range(0, len(grid), WINDOW):
-            g, f = grid[t : t + WINDOW], fresh[t : t + WINDOW]
-            there = g >= 0
-            xs = np.where(there, x[g], 0)
-            out, saved = net.states(xs, f, h, True)
+        n = len(y)
+        width = max(1, min(TRAIN_LANES, n // (WINDOW * WINDOWS)))
+        height = -(-n // width)
+        grid = np.arange(width * height).reshape(width, height).T
+        begins = np.zeros(width * height, bool)
+        begins[at[:-1]] = True
+        x = np.concatenate([x, np.zeros(width * height - n, np.int64)])
+        h = np.zeros((width, HIDDEN), np.float32)
+        for t in range(0, height, WINDOW):
+            g = grid[t : t + WINDOW]
+            fresh, there = begins[g], g < n
+            out, saved = net.states(x[g], fresh, h, True)
             grad = Network(np.zeros_like(net.vector))
             _, dh = net.outputs(out[there], y[g[there]], grad.p)
-            n = int(there.sum())
             dout = np.zeros_like(out)
             dout[there] = dh
-            net.backward(xs, f, saved, dout, grad.p)
-            d = grad.vector / n
-            norm = float(np.sqrt((d * d).sum()))
-            d *= min(1.0, 1.0 / (norm + 1e-9))
-            step += 1
-            first += 0.1 * (d - first)
-            second += 0.01 * (d * d - second)
-            net.vector -= RATE * min(1.0, step / WARM) * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-6)
+            net.backward(x[g], fresh, saved, dout, grad.p)
+            k = int(there.sum())
+            d = grad.vector / np.float32(k)
+            d *= np.float32(min(1.0, 1.0 / (float(np.sqrt((d * d).sum())) + 1e-9)))
+            adam.move(net.vector, d, RATES[round_] * (min(1.0, (adam.step + 1) / WARM) if not round_ else 1.0))
             h = out[-1]
-            seen += n
+            seen += k
     return net.vector, seen
 
 
-def averaged(docs: DataFrame, c: Counts) -> np.ndarray:
-    """The mean of the partitions' networks, weighted by tokens. docs: the training texts."""
-    held = docs.sparkSession.sparkContext.broadcast(c)
+def pieces_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Rows (shard, text) in order, as (shard, hashes, where texts begin and the last ends): pieces of PER_SHARD tokens,
+    or up to one text more, whatever the batches are."""
+    shard, held, sizes = None, [], []
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vector, seen = train((piece for batch in batches for _, piece in chunks(batch.column(0))), held.value)
-        if seen:
-            kind = pa.list_(pa.float32())
-            yield pa.RecordBatch.from_arrays([pa.array([float(seen)]), pa.array([vector], kind)], names=["seen", "vector"])
+    def piece() -> tuple[int, np.ndarray, np.ndarray]:
+        return shard, np.concatenate(held), np.concatenate([[0], np.cumsum(sizes)])
+
+    for batch in batches:
+        of = batch.column(0).to_numpy()
+        for start, texts in chunks(batch.column(1)):
+            hashes, at = tokens(texts)
+            for d in range(len(texts)):
+                if held and (of[start + d] != shard or sum_of >= PER_SHARD):
+                    yield piece()
+                    held, sizes = [], []
+                if not held:
+                    shard, sum_of = int(of[start + d]), 0
+                held.append(hashes[at[d] : at[d + 1]])
+                sizes.append(int(at[d + 1] - at[d]))
+                sum_of += sizes[-1]
+    if held:
+        yield piece()
 
-    copies = docs.select(F.col("text").alias("text_read")).mapInArrow(run, "seen double, vector array<float>")
-    each = copies.select("seen", F.posexplode("vector").alias("at", "value"))
-    mean = each.groupBy("at").agg((F.sum(F.col("value") * F.col("seen")) / F.sum("seen")).alias("mean")).toArrow()
-    net = Network.start(c).vector.copy()
-    net[mean.column("at").to_numpy()] = mean.column("mean").to_numpy()
-    return net
+
+def averaged(docs: DataFrame, c: Counts) -> np.ndarray:
+    """The network after all rounds over docs, the training texts."""
+    spark, vector = docs.sparkSession, Network.start(c).vector
+    shards = min(SHARDS, math.ceil(c.total / (ROUNDS * PER_SHARD)))
+    if not shards:
+        return vector
+    groups = math.ceil(math.sqrt(shards))
+    counts = spark.sparkContext.broadcast(c)
+    key = F.xxhash64(*[F.col(f"`{x}`") for x in docs.columns])
+    rows = docs.select(F.pmod(key, F.lit(ROUNDS)).alias("round"), F.pmod(F.xxhash64(key), F.lit(shards)).alias("shard"), key.alias("key"), F.col("text").alias("text_read"))
+    for round_ in range(ROUNDS):
+        start = spark.sparkContext.broadcast(vector)
+
+        def run(batches: Iterator[pa.RecordBatch], round_=round_, start=start) -> Iterator[pa.RecordBatch]:
+            for shard, own in itertools.groupby(pieces_of(batches), lambda x: x[0]):
+                trained, seen = train(((hashes, at) for _, hashes, at in own), counts.value, start.value, round_)
+                yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([seen]), pa.array([trained.astype(np.float64).tobytes()])], names=["shard", "seen", "vector"])
+
+        own = rows.where(F.col("round") == round_).repartition(shards, "shard").sortWithinPartitions("shard", "key").select("shard", "text_read")
+        copies = own.mapInArrow(run, "shard long, seen long, vector binary").withColumn("group", F.col("shard") % groups)
+        sums = copies.repartition(groups, "group").sortWithinPartitions("group", "shard").select("group", "seen", "vector").mapInArrow(summed, "group long, seen long, vector binary")
+        found = sorted((r["group"], r["seen"], r["vector"]) for r in sums.collect())  # the root of the shards' number, at most 64
+        if found:
+            vector = sum(np.frombuffer(v) for _, _, v in found) / sum(n for _, n, _ in found)
+    return vector.astype(np.float32)
+
+
+def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (group, seen, vector) in order: each group's tokens and its vectors' sum, weighted by them."""
+    rows = (r for batch in batches for r in zip(*(batch.column(i).to_pylist() for i in range(3))))
+    for group, own in itertools.groupby(rows, lambda r: r[0]):
+        total, vector = 0, None
+        for _, seen, x in own:
+            add = np.frombuffer(x) * seen
+            total, vector = total + seen, add if vector is None else vector + add
+        yield pa.RecordBatch.from_arrays([pa.array([group]), pa.array([total]), pa.array([vector.tobytes()])], names=["group", "seen", "vector"])
 
 
 def log_likelihood(c: Counts, net: Network, y: np.ndarray, x: np.ndarray, at: np.ndarray) -> np.ndarray:
     """log10 of what the network gives each token's class, and word if it is one."""
     grid, fresh = lanes(at, min(LANES, max(1, len(at) - 1)))
     out = np.zeros(len(y))
-    h = np.zeros((grid.shape[1], HIDDEN), np.float32)
+    h, live = np.zeros((grid.shape[1], HIDDEN), np.float32), np.arange(grid.shape[1])
     for t in range(0, len(grid), STEPS):
-        g, f = grid[t : t + STEPS], fresh[t : t + STEPS]
+        on = grid[t, live] >= 0  # lanes that have ended stay so
+        live, h = live[on], h[on]
+        g, f = grid[t : t + STEPS, live], fresh[t : t + STEPS, live]
         there = g >= 0
-        live = np.flatnonzero(there[0])  # lanes that have ended stay so
-        g, f, there, h = g[:, live], f[:, live], there[:, live], h[live]
-        grid, fresh = grid[:, live], fresh[:, live]
         states, _ = net.states(np.where(there, x[g], 0), f, h)
         out[g[there]] = net.outputs(states[there], y[g[there]])[0]
         h = states[-1]
@@ -374,7 +446,7 @@ def score(docs: DataFrame, training: DataFrame, keep: list[str]) -> DataFrame:
     rows = docs.select(*kept, F.col("text").alias("text_read")).mapInArrow(run, schema)
     rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "scored")
     each = rows.select("row", F.inline("rare"))
-    rare = counts.where(F.col("n") < least)
+    rare = counts.where(step_of("n") < least)
     n = F.coalesce("n", F.lit(0))
     sums = each.join(rare, "token", "left").groupBy("row").agg(F.sum("times").alias("times"), F.sum(F.when(n > 0, F.col("times"))).alias("met"), F.sum(F.log10(n + 0.5) * F.col("times")).alias("logs"))
     joined = rows.drop("rare").join(sums, "row", "left")

@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -219,6 +220,62 @@ def test_lm_learns_from_every_training_text(spark):
         assert (lm.averaged(docs, c) != lm.Network.start(c).vector).any()
 
 
+def plain_score(net, c, hashes, counts):
+    """The network's log10 probability of one text, token by token."""
+    from math import exp, log, log10
+
+    p = {k: v.astype(float) for k, v in net.p.items()}
+    number = dict(zip(c.keys.tolist(), zip(c.number.tolist(), c.within.tolist())))
+    rare_norm = log10(c.rare_total + 0.5 * (c.rare_kinds + 1))
+    h, read, out = np.zeros(lm.HIDDEN), 0, 0.0
+    for token in hashes.tolist():
+        a, g, n = p["emb"][read] @ p["wx"] + p["b"], h @ p["wh"], lm.HIDDEN
+        r, z = (1 / (1 + np.exp(-(a[k : k + n] + g[k : k + n]))) for k in (0, n))
+        new = np.tanh(a[2 * n :] + r * g[2 * n :])
+        h = (1 - z) * new + z * h
+        read, within = number.get(token, (lm.RARE, None))
+        klass = read // lm.PER_GROUP if read < lm.WORDS else read - lm.WORDS + lm.GROUPS
+        logits = h @ p["wc"] + p["bc"]
+        out += (logits[klass] - log(sum(map(exp, logits)))) / log(10)
+        if read < lm.WORDS:
+            logits = p["ww"][klass] @ h + p["bw"][klass]
+            out += (logits[read % lm.PER_GROUP] - log(sum(map(exp, logits)))) / log(10)
+        out += within if within is not None else log10(counts.get(token, 0) + 0.5) - rare_norm
+    return out
+
+
+def test_lm_score_token_by_token_on_any_partitioning(spark, monkeypatch):
+    """The score against plain Python, with a small head so that there are rare tokens, and equal for equal tables."""
+    monkeypatch.setattr(lm, "PER_SHARD", 2000)
+    whole = lm.head_of
+    monkeypatch.setattr(lm, "head_of", lambda counts: whole(counts, 300))
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("length(text) < 3000").select("doc_id", "text")
+    training = docs.where("doc_id % 2 = 0")
+    one, seven = ({r["doc_id"]: r["score"] for r in lm.score(docs.repartition(n), training.repartition(n), ["doc_id"]).collect()} for n in (1, 7))
+    assert one.keys() == seven.keys() and max(abs(one[k] - seven[k]) / -one[k] for k in one) < 1e-6
+    counts = lm.written(lm.count(training), "tokens")
+    c, _ = lm.head_of(counts)
+    net = lm.Network(lm.averaged(training, c))
+    known = {r["token"]: r["n"] for r in counts.collect()}
+    assert len(c.keys) <= 301 < len(known)
+    for r in docs.where("doc_id < 30").collect():
+        hashes, _ = lm.tokens(pa.array([r["text"] or ""], pa.large_string()))
+        assert one[r["doc_id"]] == pytest.approx(plain_score(net, c, hashes, known), rel=1e-4)
+
+
+def test_lm_is_better_than_counts(spark):
+    """On texts it has not learned from."""
+    rows = queries.op6_lm(spark, "/root/testdata/sf0.01").where("held_out").collect()
+    tokens, score, base = (sum(r[k] for r in rows) for k in ("n_tokens", "score", "base_score"))
+    assert score / tokens > base / tokens
+
+
+def test_lm_grid_is_bounded():
+    at = np.concatenate([[0, 200_000], 200_000 + np.cumsum(np.full(500, 20))])
+    grid, fresh = lm.lanes(at, 256)
+    assert grid.size <= (lm.WASTE + 1) * at[-1] and sorted(grid[grid >= 0].tolist()) == list(range(at[-1])) and fresh.sum() == 501
+
+
 def test_lm_gradient(monkeypatch):
     """Backpropagation against differences of the loss, over lanes and texts' beginnings."""
     rng = np.random.Generator(np.random.PCG64(1))
