@@ -5,10 +5,12 @@ Events build lines: a block element begins a new line, inline elements don't. El
 of class and id) are passed over. Each line has its text-to-tag ratio, characters per tag. The ratios are smoothed by
 a Gaussian and split in two clusters by the threshold that leaves least variance within (for two clusters of numbers,
 exactly k-means). Each line has a container: the article or main element it stands in, else the block element around
-its own. Where a page marks an article, the lines of the upper cluster vote for theirs with their characters, and all
-lines of the one that wins are the content. Else the content goes from the first to the last line of all containers
-with a line of the upper cluster, short lines and what stands between them too, with headings just before it; where the
-container is the page's whole body, its line of the upper cluster alone counts.
+its own. Where a page marks articles, the lines of the upper cluster vote for theirs with their characters; all lines
+of the one that wins are content, and those of all others, but for teasers: articles that stand in what is passed over,
+or that are links for the most part. Else the content goes from the first to the last line of all containers with a
+line of the upper cluster, short lines and what stands between them too, with headings just before it. Where the
+container is the page's whole body, the content begins and ends with lines of the upper cluster, and goes on from there
+over the body's own lines that aren't links for the most part.
 
 Edge cases: null and empty pages, and pages without text, give an empty text. An unclosed element ends with the page,
 or where an article begins. Equal ratios form one cluster, the upper. Rows are independent: null or repeated ids and
@@ -39,6 +41,7 @@ WORDS = set(
     "comment comments commentlist disqus respond reply replies cookie cookies consent gdpr notice notices notification alert banner popup modal overlay newsletter subscribe subscription signup login search searchform "
     "share sharing social related recommended widget widgets toolbar pagination pager copyright legal disclaimer skip".split()
 )
+COMMENTS = set("comment reply".split())  # what makes an article a reader's
 BODY = set("content main maincontent body".split())
 TEXT_ROOT = ("article", "main")
 HEADING = re.compile("h[1-6]$")
@@ -47,22 +50,24 @@ HEADING = re.compile("h[1-6]$")
 def passed_over(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
     if tag in SKIPPED:
         return True
-    if tag in TEXT_ROOT or tag in ("html", "body") or HEADING.match(tag):
+    if tag in ("html", "body") or HEADING.match(tag):
         return False
     said = {k: v or "" for k, v in attrs if k in ("class", "id", "role")}
     if not said:
         return False
     words = set(re.split(r"[^a-z0-9]+", re.sub("(?<=[a-z])(?=[A-Z])", "-", f"{said.get('class', '')} {said.get('id', '')}").lower()))
+    if tag in TEXT_ROOT:
+        return bool(words & COMMENTS)
     return said.get("role", "").lower() in ROLES or bool(words & WORDS) and not words & BODY
 
 
 class Line:
-    __slots__ = ("block", "chars", "parts", "tags")
+    __slots__ = ("block", "chars", "linked", "parts", "tags")
 
     def __init__(self, block: int):
         self.block = block
         self.parts: list[str] = []
-        self.tags = self.chars = 0
+        self.tags = self.chars = self.linked = 0
 
 
 class Lines(HTMLParser):
@@ -76,6 +81,7 @@ class Lines(HTMLParser):
         self.hidden = self.tags = 0
         self.tag, self.around, self.article, self.main = ["page"], [0], [0], [0]
         self.blocks = [0]  # the open ones
+        self.teasers: set[int] = set()  # articles that stood in what is passed over
         self.lines: list[Line] = []
         self.line: Line | None = None
 
@@ -83,18 +89,20 @@ class Lines(HTMLParser):
         self.tags += 1
         if self.line is not None:
             self.line.tags += 1
-        if tag in TEXT_ROOT and self.hidden:
+        over = passed_over(tag, attrs)
+        teaser = False
+        if tag in TEXT_ROOT and self.hidden and not over:
             # An article ends what was passed over and left open around it, unless that is itself in an article
-            at = next(i for i, (_, over, _) in enumerate(self.open) if over)
+            at = next(i for i, (_, hides, _) in enumerate(self.open) if hides)
             if not any(t in TEXT_ROOT for t, _, _ in self.open[:at]):
                 self._close(at)
+                teaser = True
         if tag in BLOCK:
             self.line = None
         if tag in VOID:
             return
         if tag in ("p", "li", "tr", "td", "th", "dd", "dt", "option") and self.open and self.open[-1][0] == tag:
             self._close(len(self.open) - 1)
-        over = passed_over(tag, attrs)
         self.hidden += over
         number = 0
         if tag in BLOCK:
@@ -104,6 +112,8 @@ class Lines(HTMLParser):
             self.article.append(self.article[outer] or number * (tag == "article"))
             self.main.append(self.main[outer] or number * (tag == "main"))
             self.blocks.append(number)
+            if teaser:
+                self.teasers.add(number)
         self.places[tag].append(len(self.open))
         self.open.append((tag, over, number))
 
@@ -136,6 +146,7 @@ class Lines(HTMLParser):
             self.lines.append(self.line)
         self.line.parts.append(data)
         self.line.chars += len(data)
+        self.line.linked += len(data) * bool(self.places.get("a"))
 
 
 def upper_cluster(ratios: np.ndarray) -> np.ndarray:
@@ -164,10 +175,18 @@ def spanned(parser: Lines, upper: np.ndarray, containers: list[int]) -> list[int
         outer = parser.around[k]
         first[outer], last[outer] = min(first[outer], first[k]), max(last[outer], last[k])
     begin, end = len(lines), -1
+    body = [parser.tag[k] in ("page", "html", "body") for k in containers]
     for i, k in enumerate(containers):
         if upper[i]:
-            whole = parser.tag[k] in ("page", "html", "body")
-            begin, end = min(begin, i if whole else first[k]), max(end, i if whole else last[k])
+            begin, end = min(begin, i if body[i] else first[k]), max(end, i if body[i] else last[k])
+
+    def own(i: int) -> bool:
+        return body[i] and 2 * lines[i].linked < lines[i].chars
+
+    while begin and own(begin - 1):
+        begin -= 1
+    while end + 1 < len(lines) and own(end + 1):
+        end += 1
     while begin and HEADING.match(parser.tag[lines[begin - 1].block]):
         begin -= 1
     return list(range(begin, end + 1))
@@ -192,9 +211,14 @@ def main_text(html: str | None) -> str:
     marked = [n for x in lines if parser.tag[n := container(x)] in TEXT_ROOT]
     if marked:  # only marked text is an article
         best = max(marked, key=lambda n: (votes.get(n, 0), -n))
+        chars, linked = defaultdict(int), defaultdict(int)
+        for x in lines:
+            chars[container(x)] += x.chars
+            linked[container(x)] += x.linked
+        roots = {n for n in marked if n == best or parser.tag[n] == "article" and n not in parser.teasers and 2 * linked[n] < chars[n]}
         inside = [False]
         for n in range(1, len(parser.tag)):
-            inside.append(n == best or inside[parser.around[n]])
+            inside.append(n in roots or inside[parser.around[n]])
         kept = [i for i, x in enumerate(lines) if inside[x.block]]
     else:
         kept = spanned(parser, upper, [container(x) for x in lines])

@@ -129,7 +129,7 @@ TEXT = "Title First & foremost text, long enough. Short. Two one two"
         f"<body><header>no</header><main><div class='sidebar'>no</div>{ARTICLE}<div id='comments'><p>no no</p></div></main>",
         f"<div class='cookie-notice'>no<article>{ARTICLE}<section class=comments><article>no</article></section></article><p>no",
         f"<nav>no<article>{ARTICLE}<form>no<input></form><script>if (a<b) no('</p>')</script><style>p{{}}</style><!-- no --><aside>no</aside></article>",
-        f"<article><p>no</article><article>{ARTICLE}</article><div role='navigation'>no</div>",
+        f"<article><p><a>no</a></article><article>{ARTICLE}</article><div role='navigation'>no</div>",
         f"<body><div class='topbar'>no</div><div class='post'>{ARTICLE}</div><div class='promo'>no</div>",
     ],
 )
@@ -153,6 +153,18 @@ def test_pages_end_tags_at_any_depth():
     assert html_extract.main_text(f"<body><article><p>{text}</p>{'<p><b>y' * 400}</article><p>{text}</p></body>") == f"{text}{' y' * 400}"
 
 
+def test_pages_of_several_articles_and_of_a_bare_body():
+    text = "What is said here at some length is the text of this page, and all of it is kept."
+    inline = f"<body><nav>{'<b>menu' * 300}</nav><p>{text}</p></body>"
+    assert html_extract.main_text(inline) == text
+    links = "".join(f'<p><a href="/{k}">entry {k}</a></p>' for k in range(8))
+    assert html_extract.main_text(f"<body>{links}<p>{text}</p><p>{text * 2}</p><p>The end.</p>{links}</body>") == f"{text} {text * 2} The end."
+    teaser = '<article><a href="/x">Read this one too</a></article>'
+    comment = f'<article class="comment"><p>{text}</p></article>'
+    page = f"<body><nav>x</nav><article><p>{text}</p>{comment}</article><article><h2>Next</h2><p>Short.</p></article>{teaser}<aside><article><p>Elsewhere</p></article></aside>{comment}</body>"
+    assert html_extract.main_text(page) == f"{text} Next Short."
+
+
 def test_pages_odd_inputs(spark):
     rows = [(None, None, None, 3), (1, "u", "", 3), (1, "u", "plain words", 3), (2, None, "<", 3), (2, None, "<p", 3), (3, "u", "<p>" * 3000 + "deep", 3), (4, "u", "<article>" + "long " * 200_000, 3), (4, "u", "\0<p>a\0</p>", 3)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, n_chars long")
