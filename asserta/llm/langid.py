@@ -5,7 +5,8 @@ ranked the same way; its distance from a language is the sum over them of how fa
 `size` where the profile lacks it. The nearest language wins, ties by name.
 
 Learning: a bounded sample, `per_language` different labelled texts of each language at most (those whose hashed text is
-least, so equal tables give equal models), of the `languages` most frequent labels. Prediction reads only the text.
+least, so equal tables give equal models). All labels are learned; the driver holds SIZE n-grams of each. Prediction
+reads only the text; a long one is read in pieces, with the same n-grams as in one.
 
 Edge cases: a null text, an empty one and one without letters give ``und`` and score 0; so does every text where
 nothing was learned. Null labels aren't learned from. Rows are independent, so repeated rows, null ids and ties
@@ -26,16 +27,26 @@ from asserta.llm._common import chunks, with_text
 UNKNOWN = "und"
 SIZE = 300  # n-grams in a profile
 PER_LANGUAGE = 1500  # labelled texts learned from, for each language, at most
-LANGUAGES = 500  # labels learned, at most: the most frequent ones
 SPACE = 1  # the code of a space in an n-gram; 0 would make n-grams of different lengths equal
-PIECE = 1 << 19  # characters ranked at once; longer texts are counted in pieces and summed
+PIECE = 1 << 19  # characters counted at once
 _letters: list[np.ndarray] = []
 
 
 class Profiles(NamedTuple):
     names: list[str]
     codes: np.ndarray  # all n-grams of all profiles, ascending
-    ranks: np.ndarray  # by n-gram and language; SIZE where the profile lacks it
+    begin: np.ndarray  # where each n-gram's entries begin in what follows, and the last end
+    name: np.ndarray  # the place of a language that has the n-gram
+    rank: np.ndarray  # its rank there
+
+    @classmethod
+    def of(cls, rows: list[tuple[str, int, int]]) -> Profiles:
+        """rows: language, n-gram, rank."""
+        names = sorted({lang for lang, _, _ in rows})
+        place = {x: i for i, x in enumerate(names)}
+        table = np.array(sorted((code, place[lang], rank) for lang, code, rank in rows), np.int64).reshape(-1, 3)
+        codes, begin = np.unique(table[:, 0], return_index=True)
+        return cls(names, codes, np.append(begin, len(table)), table[:, 1], table[:, 2])
 
 
 def letter_codes() -> np.ndarray:
@@ -47,27 +58,22 @@ def letter_codes() -> np.ndarray:
     return _letters[0]
 
 
-def _grams(text: str) -> np.ndarray:
-    """Codes of all 1- to 3-grams of the lower-cased text, where a run of other characters counts as one space;
-    n-grams of the space alone don't count."""
-    units = letter_codes()[np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)]
-    space = units == 0
-    keep = ~space
-    keep[1:] |= ~space[:-1]
-    keep[0] = True
-    units = np.maximum(units[keep], SPACE)
-    if len(units) < 2:
-        return np.zeros(0, np.int64)
-    two = units[:-1] << 16 | units[1:]
-    three = two[:-1] << 16 | units[2:]
-    return np.concatenate([units[units > SPACE], two, three])
-
-
-def _pieces(texts: list[str]) -> Iterator[tuple[int, str]]:
-    """Texts in pieces of PIECE characters; pieces of a text overlap by 2, so that no 3-gram is lost."""
-    for d, text in enumerate(texts):
-        for at in range(0, max(1, len(text)), PIECE):
-            yield d, text[at : at + PIECE + 2]
+def _grams(text: str) -> Iterator[np.ndarray]:
+    """Codes of all 1- to 3-grams of the lower-cased text with a space before and after, where a run of other
+    characters counts as one space; n-grams of the space alone don't count. By pieces; the last two letters or spaces
+    of one go over to the next."""
+    codes, lowered = letter_codes(), text.lower()
+    carried = np.array([SPACE], np.int64)
+    for at in range(0, max(1, len(lowered)), PIECE):
+        piece = lowered[at : at + PIECE] + " " * (at + PIECE >= len(lowered))
+        units = np.maximum(codes[np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), np.uint32)], SPACE)
+        before = np.concatenate([carried[-1:], units[:-1]])
+        units = units[(units != SPACE) | (before != SPACE)]
+        whole, k = np.concatenate([carried, units]), len(carried)
+        two = whole[:-1] << 16 | whole[1:]
+        three = two[:-1] << 16 | whole[2:]
+        yield np.concatenate([units[units > SPACE], two[k - 1 :], three[max(0, k - 2) :]])
+        carried = whole[-2:]
 
 
 def _counted(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -87,11 +93,12 @@ def _counted(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             waiting.clear()
             size = 0
 
-    for d, piece in _pieces(texts):
-        waiting.append(_grams(piece) | np.int64(d) << 48)
-        size += len(piece)
-        if size >= PIECE:
-            flush()
+    for d, text in enumerate(texts):
+        for grams in _grams(text):
+            waiting.append(grams | np.int64(d) << 48)
+            size += len(grams)
+            if size >= 3 * PIECE:
+                flush()
     flush()
     if not parts:
         return (np.zeros(0, np.int64),) * 3
@@ -114,15 +121,15 @@ def _ranked(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return text[top], code[top], rank[top]
 
 
-def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> Profiles:
-    """labelled: columns text and lang. What reaches the driver: `languages` names, then SIZE rows for each."""
+def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Profiles:
+    """labelled: columns text and lang. What reaches the driver: the labels, then SIZE rows for each."""
     pick = F.pmod(F.xxhash64("text"), F.lit(1 << 40)).alias("pick")
     known = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("text", "lang", pick)
     # Different texts are counted by a sketch of a few kB; its error of 2 % is far less than what the share has to spare
-    kinds = known.groupBy("lang").agg(F.count("*").alias("rows"), F.approx_count_distinct("pick", 0.02).alias("kinds"))
-    counts = kinds.orderBy(F.desc("rows"), "lang").limit(languages).collect()
+    kinds = known.groupBy("lang").agg(F.approx_count_distinct("pick", 0.02).alias("kinds"))
+    counts = kinds.collect()
     if not counts:
-        return Profiles([], np.zeros(0, np.int64), np.zeros((0, 0), np.int32))
+        return Profiles([], *(np.zeros(n, np.int64) for n in (0, 1, 0, 0)))
     # A share by hash that leaves about 1.3 times the wanted number of different texts, then the least hashes among those
     share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 1.3 * per_language / r["kinds"]))])
     some = known.where(F.col("pick") < share[F.col("lang")] * F.lit(float(1 << 40)))
@@ -141,13 +148,7 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, languages: int =
     grams = first.select("text", "lang").mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     best = grams.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code")) - 1).where(F.col("rank") < SIZE)
     rows = best.select("lang", "code", "rank").collect()
-    names = sorted({r["lang"] for r in rows})
-    codes = np.unique(np.array([r["code"] for r in rows], np.int64))
-    ranks = np.full((len(codes) + 1, len(names)), SIZE, np.int32)
-    place = {x: i for i, x in enumerate(names)}
-    for r in rows:
-        ranks[np.searchsorted(codes, r["code"]), place[r["lang"]]] = r["rank"]
-    return Profiles(names, codes, ranks)
+    return Profiles.of([tuple(r) for r in rows])
 
 
 def classify(texts: list[str | None], model: Profiles) -> tuple[list[str], np.ndarray]:
@@ -157,11 +158,16 @@ def classify(texts: list[str | None], model: Profiles) -> tuple[list[str], np.nd
     if not len(text) or not model.names:
         return named, score
     at = np.minimum(np.searchsorted(model.codes, code), len(model.codes) - 1)
-    at = np.where(model.codes[at] == code, at, len(model.codes))
-    ranks = model.ranks[at]
-    off = np.where(ranks == SIZE, SIZE, np.abs(ranks - rank[:, None]))
     begin = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
-    total = np.add.reduceat(off, begin)
+    own = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(text))))
+    # An n-gram that a profile has is SIZE less its distance nearer to it than one that it lacks
+    known = np.flatnonzero(model.codes[at] == code)
+    many = model.begin[at[known] + 1] - model.begin[at[known]]
+    entry = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(model.begin[at[known]], many)
+    gram = np.repeat(known, many)
+    nearer = SIZE - np.abs(model.rank[entry] - rank[gram])
+    n = len(model.names)
+    total = SIZE * np.bincount(own)[:, None] - np.bincount(own[gram] * n + model.name[entry], nearer, len(begin) * n).reshape(-1, n)
     best = total.argmin(axis=1)
     most = SIZE * np.diff(np.append(begin, len(text)))
     for d, b, s in zip(text[begin], best, 1 - total[np.arange(len(begin)), best] / most):
@@ -170,8 +176,8 @@ def classify(texts: list[str | None], model: Profiles) -> tuple[list[str], np.nd
 
 
 def predict(docs: DataFrame, model: Profiles, keep: list[str], named: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """The columns `keep` of docs, then the language and the score, as `named`. The profiles travel inside the function: at most
-    LANGUAGES * SIZE n-grams. docs has a column text; `keep` has neither of the two new names."""
+    """The columns `keep` of docs, then the language and the score, as `named`. The profiles are broadcast: SIZE
+    n-grams for each label. docs has a column text; `keep` has neither of the two new names."""
     held = docs.sparkSession.sparkContext.broadcast(model)
     inputs, at = with_text(docs, keep)
 
