@@ -8,8 +8,7 @@ there to each executor once (SparkContext.addFile), and is memory-mapped, so its
 of a machine. A word that
 the transducer doesn't accept is merged by the rules of the vocabulary; so the lexicon changes speed, never ids.
 
-The lexicon is chosen by exact counts over all texts. No word goes across white space, so texts are cut there first,
-and only chunks that a batch or a worker has not met yet are looked at by the split pattern.
+The lexicon is chosen by exact counts over all texts.
 
 Edge cases: a null text is an empty one and has no ids. The strings of the special tokens in a text become their ids,
 as the library does it by default. Rows are independent: repeated rows, null ids and other columns change nothing."""
@@ -21,6 +20,7 @@ import hashlib
 import heapq
 import json
 import os
+import re
 import struct
 import tempfile
 import unicodedata
@@ -39,10 +39,8 @@ from asserta.llm._common import chunks, written
 from asserta.sources.workspace import new_path, put_file
 
 LEXICON = 1 << 18  # frequent words compiled, at most
-CACHED = 400_000  # chunks whose ids a Python worker keeps, if they are no longer than LONG; it then starts afresh
+CACHED = 400_000  # words whose ids a Python worker keeps, if they are no longer than LONG bytes; it then starts afresh
 LONG = 64
-#: White space to Python, but not to the vocabulary's patterns.
-SEPARATORS = "\x1c\x1d\x1e\x1f"
 END = "</w>"
 SHORT, NONE = 48, 1 << 62
 
@@ -73,26 +71,11 @@ class Vocabulary:
             self.pairs[self.ids[a] << 32 | self.ids[b]] = rank << 32 | self.ids[a + b]
         self.tokens = {i: t for t, i in {**self.ids, **self.added}.items()}
         self.pattern = regex.compile(split["pattern"]["Regex"])
-        self.space = regex.compile(r"\s+")
+        # The same over lower-cased ASCII, by the faster library
+        self.ascii = re.compile(split["pattern"]["Regex"].replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9"), re.ASCII)
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.start, self.ending = [self.ids[c] for c in byte_chars()], [self.ids[c + END] for c in byte_chars()]
 
-    def chunks(self, text: str) -> list[str]:
-        """The stretches between white space; no word goes across it, as no sign of it does in any string or pattern
-        of the vocabulary."""
-        if not any(c in text for c in SEPARATORS):
-            return text.split()
-        return [c for c in self.space.split(text) if c]
-
-    def of_chunk(self, chunk: str) -> list[str]:
-        """As `words`; most chunks are ASCII letters, and a sign of punctuation may follow."""
-        if chunk.isascii():
-            if chunk.isalpha():
-                return [chunk.lower()]
-            if chunk[-1] in ",.;:!?" and chunk[:-1].isalpha():
-                return [chunk[:-1].lower(), chunk[-1]]
-        return self.words(chunk)
-
     def words(self, text: str) -> list[str]:
         """The normalised text's words; each special token is one of its own, with NUL before it."""
         if self.special is None or not any(t in text for t in self.added):
@@ -103,10 +86,10 @@ class Vocabulary:
         return out
 
     def _plain(self, text: str) -> list[str]:
-        if not text.isascii():
-            # Lower-cased sign by sign: a sigma doesn't depend on what follows
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return self.pattern.findall(text.lower())
+        if text.isascii():
+            return self.ascii.findall(text.lower())
+        # Lower-cased sign by sign: a sigma doesn't depend on what follows
+        return self.pattern.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
 
     def merge(self, word: str) -> list[int]:
         """A word's ids: the pair of least rank is merged, the leftmost first, until none is left. In a long word
@@ -269,48 +252,42 @@ class Transducer:
 
 
 class Encoder:
-    """A worker's vocabulary, transducer and a bounded store of chunks it has met: ids as bytes, and their tokens."""
+    """A worker's vocabulary, transducer and a bounded store of words it has met: ids as bytes, and their tokens."""
 
     def __init__(self, vocabulary: Vocabulary, transducer: Transducer | None):
         self.v, self.t = vocabulary, transducer
         self.met: dict[str, tuple[bytes, str]] = {}
 
-    def learn(self, new: list[str]) -> dict[str, tuple[bytes, str]]:
-        """What the chunks become."""
-        split = [self.v.of_chunk(c) for c in new]
-        words = list(set().union(*split))
-        places = self.t.lookup([w.encode("utf-8", "surrogatepass") for w in words]) if self.t else np.full(len(words), -1)
+    def learn(self, words: list[str]) -> dict[str, tuple[bytes, str]]:
+        """What the words become."""
+        raw = [w.encode("utf-8", "surrogatepass") for w in words]
+        places = self.t.lookup(raw) if self.t else np.full(len(words), -1)
         tokens, made = self.v.tokens, {}
         if self.t and len(hit := np.flatnonzero(places >= 0)):
             ids, at = self.t.all_ids(places[hit])
-            raw, names, edge = ids.tobytes(), [tokens[i] for i in ids.tolist()], at.tolist()
+            whole, names, edge = ids.tobytes(), [tokens[i] for i in ids.tolist()], at.tolist()
             for k, a, b in zip(hit.tolist(), edge, edge[1:]):
-                made[words[k]] = (raw[4 * a : 4 * b], " ".join(names[a:b]))
+                made[words[k]] = (whole[4 * a : 4 * b], " ".join(names[a:b]))
         for k in np.flatnonzero(places < 0).tolist():
             own = self.v.merge(words[k])
             made[words[k]] = (struct.pack(f"<{len(own)}I", *own), " ".join([tokens[i] for i in own]))
-        out = {}
-        for chunk, own in zip(new, split):
-            if len(own) == 1:
-                out[chunk] = made[own[0]]
-            else:
-                x = [made[w] for w in own]
-                out[chunk] = (b"".join([ids for ids, _ in x]), " ".join([t for _, t in x]))
-        return out
+        return made
 
     def encode(self, texts: list[str]) -> Iterator[tuple[bytes, str]]:
         """Each text's ids as little-endian unsigned 32-bit integers, and the decoded text."""
-        split = [self.v.chunks(t) for t in texts]
+        split = [self.v.words(t) for t in texts]
         seen = set().union(*split)
         if len(self.met) + len(seen) > CACHED:
             self.met.clear()
-        found = self.learn([c for c in seen if c not in self.met])
-        self.met.update((c, x) for c, x in found.items() if len(c) <= LONG)
-        known = self.met | found if any(len(c) > LONG for c in found) else self.met
+        found = self.learn([w for w in seen if w not in self.met])
+        long = {w: x for w, x in found.items() if len(w) > LONG}
+        for w in long:
+            del found[w]
+        self.met.update(found)
+        known = self.met | long if long else self.met
         for own in split:
-            x = [known[c] for c in own]
-            # A chunk without ids, one of ignored signs, has no token
-            yield b"".join([ids for ids, _ in x]), " ".join([t for _, t in x if t])
+            x = [known[w] for w in own]
+            yield b"".join([ids for ids, _ in x]), " ".join([t for _, t in x])
 
 
 @functools.lru_cache(1)
@@ -332,15 +309,12 @@ def frequent_words(docs: DataFrame, vocabulary: str, most: int = LEXICON) -> lis
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = _vocabulary(name)
         for batch in batches:
-            met: Counter[str] = Counter()
+            seen: Counter[str] = Counter()
             for _, piece in chunks(batch.column(0)):
                 for text in piece.to_pylist():
-                    met.update(v.chunks(text))
-            seen: dict[str, int] = {}
-            for chunk, n in met.items():
-                for w in v.of_chunk(chunk):
-                    if w[0] != "\0":
-                        seen[w] = seen.get(w, 0) + n
+                    seen.update(v.words(text))
+            for special in [w for w in seen if w[0] == "\0"]:
+                del seen[special]
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
 
     # Written, as it is read more than once
