@@ -15,8 +15,10 @@ templates take words for names, and so are the equal stretches of a copy whose r
 templates find an item in a text, theirs is the run told. Items too short for a template, or of nearly nothing but
 numbers and names, are found this way only; those of nothing but numbers aren't looked for.
 
-The hash table is built from blocks of the benchmark of at most BLOCK characters, and the texts are scanned once for
-each block: what a task holds is bounded however long the benchmark is, and the texts are never shuffled.
+The benchmark's different texts are hashed in blocks of about BLOCK characters, each a file in the shared folder. The
+texts are scanned once and never shuffled: a task reads up to HELD bytes of them and joins their windows with one block
+after the other, so what it holds is bounded however long the benchmark is. Items of equal text are one in the blocks;
+the least of their ids stands for them there, and `leaked` adds the others by a join.
 
 Edge cases: null and empty texts or items have no template and never match; a template needs LITERAL words that aren't
 placeholders, as does each of its windows, so that shapes alone never match. Rows are independent; ties don't arise. Repeated
@@ -24,22 +26,29 @@ rows are judged alike. Extra columns are carried through, whatever their names;
 
 from __future__ import annotations
 
+import functools
+import os
+import pickle
+import tempfile
+import uuid
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from asserta.llm._common import chunks, with_text
+from asserta.llm._common import chunks, with_text, written
 from asserta.llm.textvec import hash_spans, mix, raw, runs, windows
+from asserta.sources.workspace import new_path, put_file
 
 WINDOW = 8
 RUN = 10
 LITERAL = 4
-BLOCK = 1 << 24
+BLOCK, HELD = 1 << 24, 1 << 26
 #: The units known.
 UNITS = "mm cm m km in ft yd mi mg g kg lb oz ton tons ml l liter liters litre litres gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years km/h mph kph m/s hz khz mhz ghz v w kw kwh j kj cal kcal k c f degree degrees percent usd eur gbp dollar dollars euro euros pound pounds cent cents meter meters metre metres kilometer kilometers kilometre kilometres gram grams kilogram kilograms mile miles inch inches foot feet".split()
 LEAKS = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("words", T.IntegerType()), T.StructField("share", T.DoubleType()), T.StructField("kind", T.StringType())]))
@@ -253,47 +262,81 @@ class Index:
         return kind
 
 
-def blocks(benchmark: DataFrame, most: int = BLOCK) -> Iterator[Index]:
-    """One index at a time, so the driver holds one block of about `most` characters."""
-    texts = benchmark.where(F.length("text") > 0).select(F.col("item_id").cast("long").alias("i"), F.col("text").alias("t"))
+def blocks(benchmark: DataFrame, most: int = BLOCK) -> list[str]:
+    """Files with the indices, sent to the executors; their names there. The driver holds one block at a time."""
+    spark = benchmark.sparkSession
+    texts = distinct(benchmark)
     total = texts.agg(F.sum(F.length("t"))).first()[0] or 0
-    n = -(-total // most)
+    n, names = -(-total // most), []
+    texts = written(texts, "items") if n > 1 else texts
     for k in range(n):
-        rows = texts.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).toArrow()
-        yield Index(rows.column("i").to_pylist(), rows.column("t").to_pylist())
+        rows = texts.where(F.pmod(F.xxhash64("t"), F.lit(n)) == k).toArrow()
+        name = f"block-{uuid.uuid4().hex}.bin"
+        with tempfile.TemporaryDirectory() as folder:
+            local = os.path.join(folder, name)
+            with open(local, "wb") as f:
+                pickle.dump(Index(rows.column("i").to_pylist(), rows.column("t").to_pylist()), f)
+            path = f"{new_path(spark, 'block')}/{name}"
+            put_file(spark, local, path)
+        spark.sparkContext.addFile(path)
+        names.append(name)
+    return names
+
+
+def distinct(benchmark: DataFrame) -> DataFrame:
+    """The items' different texts (t) and the least id of each (i)."""
+    some = benchmark.where(F.length("text") > 0)
+    return some.groupBy(F.col("text").alias("t")).agg(F.min(F.col("item_id").cast("long")).alias("i")).select("i", "t")
+
+
+@functools.lru_cache(1)
+def _block(name: str) -> Index:
+    with open(SparkFiles.get(name), "rb") as f:
+        return pickle.load(f)
 
 
 def annotate(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, name: str = "leaks") -> DataFrame:
-    """The columns `keep` of docs (all, if not given), and an array of what each row's text leaks: item_id, words of
-    the run, its share of the item's, and kind; empty where it leaks nothing. docs has a column text."""
+    """The columns `keep` of docs (all, if not given), and an array of what each row's text leaks: item_id (the least
+    of equal items), words of the run, its share of the item's, and kind; empty where it leaks nothing. docs has a
+    column text."""
     keep = docs.columns if keep is None else keep
+    kept = [F.col(f"`{c}`") for c in keep]
+    names = blocks(benchmark)
+    if not names:
+        return docs.select(*kept, F.array().cast(LEAKS).alias(name))
     inputs, at = with_text(docs, keep)
-    none = F.array().cast(LEAKS).alias(name)
-    out = inputs.select(*[F.col(f"`{c}`") for c in keep], none, *[F.col(f"`{c}`") for c in inputs.columns[len(keep) :]])
-    at += at == len(keep)  # the text comes after the leaks, if it isn't among the columns kept
-    whole, final = out.schema, T.StructType(out.schema.fields[: len(keep) + 1])
-    waiting = blocks(benchmark)
-    index = next(waiting, None)
-    if index is None:
-        return out.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{name}`"))
-    while index is not None:
-        following = next(waiting, None)
-        held, width = docs.sparkSession.sparkContext.broadcast(index), len(final if following is None else whole)
-
-        def run(batches: Iterator[pa.RecordBatch], held=held, width=width) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+    schema = T.StructType([*docs.select(*kept).schema.fields, T.StructField(name, LEAKS)])
+    kind = pa.list_(pa.struct([("item_id", pa.int64()), ("words", pa.int32()), ("share", pa.float64()), ("kind", pa.string())]))
+
+    def joined(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[list[list[dict]]] = [[[] for _ in range(b.num_rows)] for b in held]
+        for block in names:
+            for own, batch in zip(found, held):
                 for start, piece in chunks(batch.column(at)):
-                    found = held.value.found(piece)
-                    rest = [batch.column(i).slice(start, len(piece)) for i in range(width)]
-                    if found:
-                        rest[len(keep)] = pa.array([x + found.get(d, []) for d, x in enumerate(rest[len(keep)].to_pylist())], rest[len(keep)].type)
-                    yield pa.RecordBatch.from_arrays(rest, names=batch.schema.names[:width])
+                    for d, leaks in _block(block).found(piece).items():
+                        own[start + d] += leaks
+        for own, batch in zip(found, held):
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(own, kind)], names=schema.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if len(names) == 1 or sum(b.nbytes for b in held) >= HELD:
+                yield from joined(held)
+                held = []
+        if held:
+            yield from joined(held)
 
-        out = out.mapInArrow(run, final if following is None else whole)
-        index = following
-    return out
+    return inputs.mapInArrow(run, schema)
 
 
 def leaked(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFrame:
     """A row for each row of docs and item that it leaks: the key, item_id, words, share, kind."""
-    return annotate(docs, benchmark, [key]).select(key, F.inline("leaks"))
+    rows = annotate(docs, benchmark, [key]).select(key, F.inline("leaks"))
+    items = benchmark.where(F.length("text") > 0).select(F.col("text").alias("t"), F.col("item_id").cast("long").alias("also"))
+    again = items.groupBy("t").agg(F.min("also").alias("least"), F.collect_list("also").alias("all"))
+    again = again.where(F.size("all") > 1).select("least", "all")
+    told = rows.join(again, rows["item_id"] == again["least"], "left")
+    own = F.explode(F.coalesce("all", F.array("item_id"))).alias("item_id")
+    return told.select(key, own, "words", "share", "kind")

@@ -384,7 +384,12 @@ def test_decontamination_in_blocks(spark, monkeypatch):
     items = spark.createDataFrame(list(enumerate(ITEMS)), "item_id long, text string")
     whole = sorted(map(tuple, decontam.leaked(docs, items).collect()))
     monkeypatch.setattr(decontam.blocks, "__defaults__", (40,))
+    assert len(decontam.blocks(items)) >= 2
+    assert decontam.annotate(docs, items)._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
     assert sorted(map(tuple, decontam.leaked(docs, items).collect())) == whole and len(whole) >= 2
+    # Items of equal text: each of them is told
+    more = items.unionAll(items.selectExpr("item_id + 1000", "text"))
+    assert sorted(map(tuple, decontam.leaked(docs, more).collect())) == sorted([*whole, *((d, i + 1000, *rest) for d, i, *rest in whole)])
 
 
 def test_decontamination_odd_inputs(spark, messy):
