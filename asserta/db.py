@@ -6,6 +6,7 @@ import copy
 import datetime as dt
 import os
 import socket
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,24 +23,30 @@ from asserta.schema import IDENT, TX_TIMESTAMP, VALUE_TYPE, Schema
 from asserta.sources.store import LOG_LIMIT, Manifest, Store, open_store
 from asserta.sources.workspace import delete_path
 
+#: What a dump shows, and its columns.
 DUMP = parse_query("find ?ent ?attname ?val where (?ent ?att ?val) (?att db:ident ?attname)")
-#: A sample: two attributes, three names, one parent.
-SAMPLE_SCHEMA = "{db:ident name db:valueType db:type:string} {db:ident parent db:valueType db:type:ref}"
-SAMPLE = 'add (0 name "Bob") add (1 name "John") add (0 parent 1) add (2 name "Hello")'
+#: A sample: rivers, and what they flow into.
+SAMPLE_SCHEMA = "{db:ident river db:valueType db:type:string} {db:ident flows:into db:valueType db:type:ref}"
+SAMPLE = 'add (700 river "Danube") add (701 river "Inn") add (702 river "Isar") add (701 flows:into 700) add (702 flows:into 700)'
 
 
 class Recorded:
-    """A source over recorded facts: a function gives the datoms, for one attribute if that is all that is wanted."""
+    """A source over recorded facts. A function gives the datoms, for one attribute if that is all that is wanted, in
+    files by value or by entity; another one, where there is one, the facts that are true at max_tx."""
 
-    def __init__(self, schema: Schema, datoms: Callable[[int | None], DataFrame], max_tx: int | None = None):
-        self.schema, self.datoms, self.max_tx = schema, datoms, max_tx
+    def __init__(self, schema: Schema, datoms: Callable[[int | None, str], DataFrame], max_tx: int | None = None, now: Callable[[int | None, str], DataFrame] | None = None):
+        self.schema, self.datoms, self.max_tx, self.now = schema, datoms, max_tx, now
+        self.kept: dict[int, DataFrame] = {}
 
-    def record(self, attribute: int | None = None) -> DataFrame:
-        rows = self.datoms(attribute)
+    def record(self, attribute: int | None = None, order: str = "value") -> DataFrame:
+        rows = self.datoms(attribute, order)
         return rows if self.max_tx is None else views.as_of(rows, self.max_tx)
 
     def facts(self, entity: int | None, attribute: int | None, value: Value | None) -> DataFrame:
-        return views.current(self.record(attribute))
+        if attribute in self.kept:
+            return self.kept[attribute]
+        order = "value" if entity is None else "entity"
+        return self.now(attribute, order) if self.now else views.current(self.record(attribute, order))
 
     def group(self, p: Pattern) -> object | None:
         return None
@@ -58,7 +65,7 @@ class Db:
     def of_datoms(cls, datoms: DataFrame, schema: Schema | None = None, max_tx: int | None = None) -> Db:
         """Over a DataFrame of datoms. The schema is read from the datoms if not given; it is as small as the number
         of attributes."""
-        return cls(Recorded(schema or schema_of(datoms, max_tx), lambda a: datoms, max_tx))
+        return cls(Recorded(schema or schema_of(datoms, max_tx), lambda a, order: datoms, max_tx))
 
     @property
     def schema(self) -> Schema:
@@ -114,7 +121,20 @@ class Db:
         if not isinstance(self.source, Recorded):
             raise FactError("tables have no record of operations")
         limit = tx if self.source.max_tx is None else min(tx, self.source.max_tx)
-        return Db(Recorded(schema_of(self.source.datoms(None), limit), self.source.datoms, limit))
+        return Db(Recorded(schema_of(self.source.datoms(None, "value"), limit), self.source.datoms, limit))
+
+    def keep(self, *names: str) -> Db:
+        """Holds the current facts of these attributes in the executors' memory, and on their disks beyond it, for all
+        queries on this database. `release` lets them go."""
+        for a in map(self.schema.entity, names):
+            if isinstance(self.source, Recorded) and a not in self.source.kept:
+                self.source.kept[a] = self.source.facts(None, a, None).where(F.col("a") == a).persist()
+        return self
+
+    def release(self) -> None:
+        for frame in self.source.kept.values():
+            frame.unpersist()
+        self.source.kept.clear()
 
     def dump(self) -> DataFrame:
         """All facts with their attributes' names: ent, attname, val as text."""
@@ -153,12 +173,13 @@ def substituted(clause: Clause, binding: dict[str, Value], schema: Schema) -> Cl
 
 class Connection:
     """Reads without locks; writes one transaction at a time, under the store's lock while the connection is open for
-    writing. A failed transaction records nothing; ids it took aren't given again by this connection."""
+    writing. A failed transaction records nothing, and ids it took aren't given again."""
 
     def __init__(self, spark: SparkSession, uri: str | Store, clock: Callable[[], dt.datetime] | None = None):
         self.spark = spark
         self.store = open_store(spark, uri) if isinstance(uri, str) else uri
         self.clock = clock or (lambda: dt.datetime.now(dt.timezone.utc))
+        self.name = f"{socket.gethostname()}:{os.getpid()}:{uuid.uuid4().hex[:8]}"
         self.writing: Manifest | None = None
 
     def db(self) -> Db:
@@ -166,12 +187,12 @@ class Connection:
         if manifest is None:
             raise FactError(f"{self.store.path} has no database")
         store = self.store
-        return Db(Recorded(Schema.from_json(manifest.schema), lambda a: store.datoms(manifest, a), manifest.max_tx))
+        return Db(Recorded(Schema.from_json(manifest.schema), lambda a, order: store.datoms(manifest, a, order), manifest.max_tx, lambda a, order: store.now(manifest, a, order)))
 
     def _open(self) -> Manifest:
         if self.writing is None:
-            self.store.lock(f"{socket.gethostname()}:{os.getpid()}")
-            self.writing = self.store.manifest() or self.store.create(self.clock())
+            self.store.lock(self.name)
+            self.writing = self.store.take_over(self.name, self.clock())
         return self.writing
 
     def _id(self, manifest: Manifest) -> int:
@@ -202,30 +223,32 @@ class Connection:
                     put(item.fact, isinstance(item, Retract))
         except FactError as e:
             return TxReport(error=e)
-        self._commit(number, self.spark.createDataFrame(rows, DATOM).coalesce(1), len(rows), schema)
-        return TxReport(number, tuple(made))
+        return self._commit(number, self.spark.createDataFrame(rows, DATOM).coalesce(1), len(rows), {r[1] for r in rows}, schema, tuple(made))
 
     def transact_frame(self, rows: DataFrame, retract: bool = False) -> TxReport:
-        """A bulk transaction of any size: rows with e, attribute (a name), tag, s, n and ts. Attributes, kinds and
-        payloads are checked before anything is recorded; schema attributes aren't taken in bulk."""
+        """A bulk transaction of any size: rows with e, attribute (a name), tag, s, n and ts. Rows are evaluated once,
+        into the store's staging folder; what was staged is checked, attributes, kinds and payloads, and then committed
+        as it is. Schema attributes aren't taken in bulk."""
         try:
             manifest = self._open()
             schema = Schema.from_json(manifest.schema)
             known = [(n, e, int(schema.types[e][-1])) for n, e in schema.idents.items() if schema.types.get(e) and e not in (IDENT, VALUE_TYPE)]
             map_ = self.spark.createDataFrame(known, "attribute string, a bigint, kind tinyint")
-            joined = rows.join(map_, "attribute", "left")
-            slots = F.when(F.col("tag").isin(0, 1), F.col("s").isNotNull()).when(F.col("tag") == int(Tag.TIMESTAMP), F.col("ts").isNotNull()).otherwise(F.col("n").isNotNull())
-            good = F.col("e").isNotNull() & F.col("a").isNotNull() & (F.col("tag") == F.col("kind")) & slots
-            wrong = joined.where(~F.coalesce(good, F.lit(False))).select("attribute", "tag").first()
-            if wrong:
-                raise TypeMismatch(f"{wrong['attribute']}: no such attribute, or no value of its kind (tag {wrong['tag']})")
             number = self._id(manifest)
         except FactError as e:
             return TxReport(error=e)
+        path = self.store.staging(number, self.name)
+        joined = rows.join(map_, "attribute", "left").select(*FACT, F.lit(retract).alias("retracted"), "attribute", "kind")
+        joined.write.mode("overwrite").parquet(path)
+        slots = F.when(F.col("tag").isin(0, 1), F.col("s").isNotNull()).when(F.col("tag") == int(Tag.TIMESTAMP), F.col("ts").isNotNull()).otherwise(F.col("n").isNotNull())
+        good = F.coalesce(F.col("e").isNotNull() & F.col("a").isNotNull() & (F.col("tag") == F.col("kind")) & slots, F.lit(False))
+        staged = self.spark.read.schema(joined.schema).parquet(path)
+        n, wrong, attributes = staged.agg(F.count("*"), F.max(F.when(~good, F.struct("attribute", "tag"))), F.collect_set("a")).first()
+        if wrong:
+            delete_path(self.spark, path)
+            return TxReport(error=TypeMismatch(f"{wrong['attribute']}: no such attribute, or no value of its kind (tag {wrong['tag']})"))
         own = self.spark.createDataFrame([datom(number, TX_TIMESTAMP, timestamp(self.clock()), number)], DATOM)
-        out = joined.select(*FACT, F.lit(number).cast("bigint").alias("tx"), F.lit(retract).alias("retracted")).unionByName(own)
-        self._commit(number, out, rows.count() + 1, schema)
-        return TxReport(number)
+        return self._commit(number, own.coalesce(1), n + 1, {*attributes, TX_TIMESTAMP}, schema, staged=True)
 
     def insert_frame(self, rows: DataFrame, attributes: dict[str, str]) -> TxReport:
         """A new entity for each row, of any number: `attributes` names the attribute of each column; a null is no
@@ -239,7 +262,7 @@ class Connection:
         except FactError as e:
             return TxReport(error=e)
         # Written first, so that rows keep their partitions while they are counted and numbered
-        path = f"{self.store.path}/staging-{manifest.next_id}"
+        path = self.store.staging(manifest.next_id, f"{self.name}-rows")
         rows.select(*attributes, F.spark_partition_id().alias("part__"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("place__")).write.mode("overwrite").parquet(path)
         staged = self.spark.read.parquet(path)
         counts = sorted((r[0], r[1]) for r in staged.groupBy("part__").count().collect())
@@ -254,13 +277,25 @@ class Connection:
         delete_path(self.spark, path)
         return report
 
-    def _commit(self, number: int, rows: DataFrame, n: int, schema: Schema) -> None:
+    def _commit(self, number: int, rows: DataFrame, n: int, attributes: set[int], schema: Schema, made: tuple[int, ...] = (), staged: bool = False) -> TxReport:
+        """Records rows, with what is staged for the transaction. If the manifest can't be published the transaction
+        has failed: the next one that is committed says so."""
         after = copy.deepcopy(self.writing)
         after.schema = schema.to_json()
-        self.store.append(number, rows, n, after)
+        try:
+            self.store.append(number, rows, n, attributes, after, staged)
+        except FactError as e:  # another writer has taken over
+            self.writing = None
+            return TxReport(error=e)
+        except Exception:
+            self.writing.failed.append(number)
+            raise
         self.writing = after
-        if sum(after.log.values()) > LOG_LIMIT:
+        self.store.renew(self.name)
+        self.writing = self.store.gathered(self.writing)
+        if self.writing.records() > LOG_LIMIT:
             self.compact()
+        return TxReport(number, made)
 
     def compact(self) -> None:
         self.writing = self.store.compact(self._open())
@@ -268,7 +303,7 @@ class Connection:
     def close(self) -> None:
         if self.writing is not None:
             self.writing = None
-            self.store.unlock()
+            self.store.unlock(self.name)
 
     def load_sample(self) -> None:
         for text in (SAMPLE_SCHEMA, SAMPLE):

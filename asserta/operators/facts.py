@@ -21,6 +21,8 @@ def current(datoms: DataFrame) -> DataFrame:
 
 
 def coalesced(datoms: DataFrame) -> DataFrame:
-    """The record without operations that repeat the one before on the same fact."""
-    before = F.lag("retracted").over(Window.partitionBy(*FACT).orderBy("tx", "retracted"))
-    return datoms.withColumn("before", before).where(F.col("before").isNull() | (F.col("before") != F.col("retracted"))).drop("before")
+    """The record without operations that repeat the one before on the same fact, and of each whether it is what made
+    the fact true now (current)."""
+    order = Window.partitionBy(*FACT).orderBy("tx", "retracted")
+    changes = datoms.withColumn("before", F.lag("retracted").over(order)).where(F.col("before").isNull() | (F.col("before") != F.col("retracted"))).drop("before")
+    return changes.withColumn("current", ~F.col("retracted") & F.lead("retracted").over(order).isNull())

@@ -59,7 +59,7 @@ def fetched(facts: DataFrame, terms: tuple[Var | int, Var | int, Var | Value], k
 def joined(left: Relation, right: Relation) -> Relation:
     """Natural inner join on all shared variables: left's columns, then right's others. Where a shared variable's kind
     is known on one side only, the other is narrowed to it; kinds known to differ never match. Without shared
-    variables it is the product."""
+    variables it is the product; a relation without variables is a test that the other's rows pass or not."""
     shared = [n for n in left.kinds if n in right.kinds]
     a, b = left.frame, right.frame
     kinds, offsets = dict(left.kinds), {n: o for n, o in right.offsets.items() if n not in left.kinds} | left.offsets
@@ -82,7 +82,11 @@ def joined(left: Relation, right: Relation) -> Relation:
             a = a.where(F.lit(False))
             b = b.withColumn(n, F.lit(None).cast(a.schema[n].dataType))
     new = {n: k for n, k in right.kinds.items() if n not in kinds}
-    frame = a.join(b, shared, "inner") if shared else a.crossJoin(b)
+    # A relation without columns has one row or none, as facts are a set: a test, not a product
+    if not right.kinds or not left.kinds:
+        frame = a.where(b.exists()) if not right.kinds else b.where(a.exists())
+    else:
+        frame = a.join(b, shared, "inner") if shared else a.crossJoin(b)
     return Relation(frame.select(*[F.col(f"`{n}`") for n in [*kinds, *new]]), kinds | new, offsets)
 
 

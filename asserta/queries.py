@@ -5,19 +5,24 @@ that retract or repeat some of them."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import sqlite3
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from asserta.db import Connection, Db
+from asserta.db import Connection, Db, PreparedQuery
 from asserta.functions.values import shown
 from asserta.model import FACT, Clause, Constraint, Query, Tag, Value, Var, string
 from asserta.operators.facts import coalesced, current
 from asserta.operators.relational import Relation, joined, projected
-from asserta.sources.mapping import SHIFT, Mapped, benchmark_source, entity
-from asserta.sources.store import Store
+from asserta.sources.mapping import BENCHMARK, SHIFT, Mapped, benchmark_source, entity
+from asserta.sources.store import SqlStore, Store
 from asserta.sources.workspace import new_path
+from asserta.streaming.tail import follow
 
 Run = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, tuple[Run, str | None]] = {}
@@ -80,9 +85,20 @@ NAMED = " (?a db:ident ?name)"
 CUSTOMER = f"""
     SELECT c_custkey AS e, 'customer:name' AS name, '"' || c_name || '"' AS v FROM customer UNION ALL SELECT c_custkey, 'customer:segment', '"' || c_mktsegment || '"' FROM customer
     UNION ALL SELECT c_custkey, 'customer:nation', CAST(c_nationkey + {2 << SHIFT} AS VARCHAR) FROM customer"""
-PLACES = f"""
-    SELECT r_regionkey + {1 << SHIFT} AS e, 'region:name' AS name, '"' || r_name || '"' AS v FROM region UNION ALL SELECT n_nationkey + {2 << SHIFT}, 'nation:name', '"' || n_name || '"' FROM nation
-    UNION ALL SELECT n_nationkey + {2 << SHIFT}, 'nation:region', CAST(n_regionkey + {1 << SHIFT} AS VARCHAR) FROM nation"""
+
+
+def every_fact(numbers: tuple[int, ...]) -> str:
+    """All facts of mapped tables that have a key: e, name, and the value as text."""
+    shows = {Tag.STRING: "'\"' || {} || '\"'", Tag.TIMESTAMP: "rtrim(rtrim(strftime({}, '%Y-%m-%d %H:%M:%S.%f'), '0'), '.')", Tag.LONG: "CAST({} AS VARCHAR)"}
+    parts = []
+    for t in (t for t in BENCHMARK if t.number in numbers):
+        for x in t.attributes:
+            value = f"CAST({x.column} + {x.table << SHIFT} AS VARCHAR)" if x.table else shows[x.kind].format(x.column)
+            parts.append(f"SELECT CAST({t.key} + {t.number << SHIFT} AS BIGINT) AS e, '{x.name}' AS name, {value} AS v FROM {t.name} WHERE {x.column} IS NOT NULL")
+    return " UNION ALL ".join(parts)
+
+
+KEYED = tuple(t.number for t in BENCHMARK if t.key)
 as_text("fetch_entity_only", f"find ?name ?v where ({entity(3, 5)} ?a ?v){NAMED}", f"SELECT name, v FROM ({CUSTOMER}) WHERE e = 5")
 as_text(
     "fetch_value_only",
@@ -93,11 +109,11 @@ as_text(
 as_text("fetch_entity_value", f"find ?name where ({entity(2, 3)} ?a {entity(1, 3)}){NAMED}", "SELECT 'nation:region' AS name FROM nation WHERE n_nationkey = 3 AND n_regionkey = 3")
 
 
-@register("fetch_full_scan", f"SELECT CAST(e AS BIGINT) AS e, name, v FROM ({PLACES})")
+@register("fetch_full_scan", every_fact(KEYED))
 def fetch_full_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All facts of the two smallest tables, by an unbound pattern."""
+    """All facts of all tables that have a key, by an unbound pattern."""
     whole = benchmark_source(spark, sf_dir)
-    r = Db(Mapped(spark, tuple(whole.tables[n] for n in (1, 2)), whole.read)).relation("find ?e ?name ?v where (?e ?a ?v)" + NAMED)
+    r = Db(Mapped(spark, tuple(whole.tables[n] for n in KEYED), whole.read)).relation("find ?e ?name ?v where (?e ?a ?v)" + NAMED)
     return r.frame.where(F.col("e") >= 1 << SHIFT).select("e", "name", shown(F.col("v"), r.kinds["v"]).alias("v"))
 
 
@@ -257,9 +273,9 @@ def implicit_join_attr_var(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed(Db.of_datoms(datoms, source.schema).query('find ?name ?c where (?a db:ident ?name) (?c ?a "BUILDING")'), name="name", ckey="c")
 
 
-@register("dump", f"SELECT CAST(e AS BIGINT) AS ent, name AS attname, v AS val FROM ({PLACES}) WHERE e >= {2 << SHIFT}")
+@register("dump", f"SELECT e AS ent, name AS attname, v AS val FROM ({every_fact((6,))})")
 def dump(spark: SparkSession, sf_dir: str) -> DataFrame:
-    datoms, source = recorded(spark, sf_dir, 2, lambda d: [])
+    datoms, source = recorded(spark, sf_dir, 6, lambda d: [])
     return Db.of_datoms(datoms, source.schema).dump().withColumn("ent", F.col("ent").cast("bigint")).where(F.col("ent") >= 1 << SHIFT)
 
 
@@ -270,10 +286,10 @@ def schema_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Db.of_datoms(datoms, source.schema).query("find ?name ?kind where (?a db:ident ?name) (?a db:valueType ?kind) (> ?a 10)")
 
 
-def stored(spark: SparkSession, sf_dir: str) -> Connection:
+def stored(spark: SparkSession, sf_dir: str, store: Store | None = None) -> Connection:
     """A store on disk with nations in bulk, then a transaction that retracts and one that adds a name."""
     source = benchmark_source(spark, sf_dir)
-    c = Connection(spark, Store(spark, new_path(spark, "store")))
+    c = Connection(spark, store or Store(spark, new_path(spark, "store")))
     said = c.transact("{db:ident nation:name db:valueType db:type:string} {db:ident nation:region db:valueType db:type:ref}")
     names = Mapped(spark, (source.tables[2],), source.read)
     rows = names.datoms(0).join(spark.createDataFrame([(a, x.name) for a, (_, x) in names.owner.items()], "a bigint, attribute string"), "a").drop("a")
@@ -309,6 +325,116 @@ def tx_entity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.db().query("find ?tx ?at where (?tx db:txTimestamp ?at)").select("tx")
 
 
+def loaded(spark: SparkSession, sf_dir: str, uri: str | None = None) -> tuple[Connection, DataFrame]:
+    """A store with all orders, taken in bulk; and the rows taken, with their attributes' names."""
+    source = benchmark_source(spark, sf_dir)
+    orders = Mapped(spark, (source.tables[6],), source.read)
+    c = Connection(spark, uri or Store(spark, new_path(spark, "store")))
+    said = c.transact(" ".join(f"{{db:ident {x.name} db:valueType db:type:{x.kind.name.lower()}}}" for _, x in orders.owner.values()))
+    rows = orders.datoms(0).join(F.broadcast(spark.createDataFrame([(a, x.name) for a, (_, x) in orders.owner.items()], "a bigint, attribute string")), "a").drop("a", "tx", "retracted")
+    for report in (said, c.transact_frame(rows)):
+        if not report.ok:
+            raise report.error
+    return c, rows
+
+
+@register("bulk_load_store", KEPT)
+def bulk_load_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders through a connection, a third of them retracted in bulk, then compacted: read from the base."""
+    c, rows = loaded(spark, sf_dir)
+    c.transact_frame(rows.where(key("e") % 3 == 0), retract=True)
+    c.compact()
+    c.close()
+    return keyed(c.db().query(STATUS), okey="o", s="s")
+
+
+@register("store_entity_lookup", "SELECT 'orders:status' AS name, '\"' || o_orderstatus || '\"' AS v FROM orders WHERE o_orderkey = 7 UNION ALL SELECT 'orders:customer', CAST(o_custkey + 3298534883328 AS VARCHAR) FROM orders WHERE o_orderkey = 7")
+def store_entity_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An entity's facts from the compacted base in entity order."""
+    c, _ = loaded(spark, sf_dir)
+    c.compact()
+    c.close()
+    r = c.db().relation(f"find ?name ?v where ({entity(6, 7)} ?a ?v)" + NAMED)
+    return r.frame.select("name", shown(F.col("v"), r.kinds["v"]).alias("v")).where(F.col("name").isin("orders:status", "orders:customer"))
+
+
+@register("store_value_lookup", "SELECT o_orderkey AS okey FROM orders WHERE o_orderstatus = 'P' UNION ALL SELECT 1 FROM orders WHERE o_orderkey = 1 AND o_orderstatus <> 'P'")
+def store_value_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A value's entities from the compacted base and a log on top of it."""
+    c, _ = loaded(spark, sf_dir)
+    c.compact()
+    c.transact(f'add ({entity(6, 1)} orders:status "P")')
+    c.close()
+    return keyed(c.db().query('find ?o where (?o orders:status "P")'), okey="o")
+
+
+@register("sqlite_store", STORED)
+def sqlite_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifest and lock in a SQLite file of the driver, facts in a shared folder."""
+    folder = tempfile.mkdtemp(prefix="asserta-sqlite-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    store = SqlStore(spark, new_path(spark, "store"), lambda: sqlite3.connect(f"{folder}/manifest.db", timeout=30), "?")
+    c = stored(spark, sf_dir, store)
+    c.close()
+    return keyed(c.db().query("find ?e ?n where (?e nation:name ?n)"), nkey="e", n="n")
+
+
+@register("text_retract", "SELECT CAST(n_nationkey AS BIGINT) AS nkey, n_name AS n FROM nation WHERE n_nationkey % 3 <> 0")
+def text_retract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A retraction as text."""
+    c = stored(spark, sf_dir)
+    report = c.transact(f'retract ({entity(2, 0)} nation:name "again")')
+    if not report.ok:
+        raise report.error
+    c.close()
+    return keyed(c.db().query("find ?e ?n where (?e nation:name ?n)"), nkey="e", n="n")
+
+
+@register("failed_commit", STORED)
+def failed_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A transaction whose manifest can't be published isn't there; those before and after it are."""
+    c = stored(spark, sf_dir)
+    publish = c.store.publish
+    c.store.publish = _broken
+    try:
+        c.transact(f'add ({entity(2, 1)} nation:name "ghost")')
+    except OSError:
+        c.store.publish = publish
+    report = c.transact(f'add ({entity(2, 0)} nation:name "again")')
+    if not report.ok:
+        raise report.error
+    c.close()
+    return keyed(c.db().query("find ?e ?n where (?e nation:name ?n)"), nkey="e", n="n")
+
+
+def _broken(manifest: object) -> None:
+    raise OSError("no manifest today")
+
+
+@register("prepared_query", "SELECT CAST(n_nationkey AS BIGINT) AS nkey, n_name AS n FROM nation WHERE n_regionkey = 3")
+def prepared_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = PreparedQuery(f"find ?e ?n where (?e nation:name ?n) (?e nation:region {entity(1, 3)})").run(Db(benchmark_source(spark, sf_dir)))
+    return keyed(spark.createDataFrame(rows, "e bigint, n string"), nkey="e", n="n")
+
+
+@register("follow_log", "SELECT CAST(n_nationkey AS BIGINT) AS nkey, n_name AS n, retracted FROM nation, (VALUES (false), (true)) t(retracted) WHERE NOT retracted OR n_nationkey % 3 = 0 UNION ALL SELECT 0, 'again', false")
+def follow_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a follower of the log is told of the names: committed operations, in spite of a failed one."""
+    c = stored(spark, sf_dir)
+    publish = c.store.publish
+    c.store.publish = _broken
+    try:
+        c.transact(f'add ({entity(2, 1)} nation:name "ghost")')
+    except OSError:
+        c.store.publish = publish
+    c.transact(f"add ({entity(2, 1)} nation:region {entity(1, 4)})")
+    c.close()
+    out = new_path(spark, "followed")
+    follow(c.store, lambda rows, number: rows.write.mode("append").parquet(out), new_path(spark, "follow"), once=True).awaitTermination()
+    a = c.db().schema.entity("nation:name")
+    return keyed(spark.read.parquet(out).where(F.col("a") == a), nkey="e", n="s", retracted="retracted")
+
+
 @register("bulk_load_current", "SELECT event_type AS type, count(*) AS n FROM events GROUP BY 1")
 def bulk_load_current(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The current-facts view of the largest keyed table, counted by a value."""

@@ -33,7 +33,7 @@ class Attribute:
 class Table:
     name: str
     number: int
-    key: str | None  # None: rows are numbered, differently for each scan, so their entities have no meaning outside
+    key: str | None  # None: rows are told by a hash of their contents
     attributes: tuple[Attribute, ...]
 
 
@@ -60,8 +60,10 @@ class Mapped:
                     self.schema.apply(a, row[1], ident(row[3]), False)
 
     def frame(self, t: Table) -> DataFrame:
+        """A table's rows. Those of one without a key are told by their contents, so a row is the same entity in each
+        scan; n different rows share one with a probability of about n² / 2^41."""
         df = self.read(t.name)
-        return df if t.key else df.withColumn("row__", F.monotonically_increasing_id())
+        return df if t.key else df.withColumn("row__", F.pmod(F.xxhash64(*[F.col(x.column) for x in t.attributes]), F.lit(1 << SHIFT)))
 
     def _entity(self, t: Table) -> Column:
         return F.col(t.key or "row__").cast("bigint") + F.lit(t.number << SHIFT).cast("bigint")

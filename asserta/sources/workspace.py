@@ -47,6 +47,23 @@ def put_file(spark: SparkSession, local: str, path: str) -> None:
     fs.copyFromLocalFile(False, True, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"file://{local}"), p)
 
 
+def rename_path(spark: SparkSession, path: str, to: str) -> None:
+    """Moves a folder or file to a name that isn't there yet; one that is gone raises FileNotFoundError."""
+    p, fs = _fs(spark, path)
+    q, _ = _fs(spark, to)
+    fs.mkdirs(q.getParent())
+    if fs.exists(q):
+        raise FileExistsError(to)
+    if not fs.rename(p, q):
+        raise FileNotFoundError(path)
+
+
+def child_names(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder, none if there is no such folder."""
+    p, fs = _fs(spark, path)
+    return [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
+
+
 def read_text(spark: SparkSession, path: str) -> str | None:
     """A small file's text, None if there is none."""
     p, fs = _fs(spark, path)
