@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -48,6 +50,22 @@ def chunks(texts: pa.Array | pa.ChunkedArray, most: int = 1 << 20) -> Iterator[t
     pa.default_memory_pool().release_unused()
 
 
+@functools.lru_cache(1)
+def one_thread() -> None:
+    """Has numpy's BLAS use one thread in this process: Spark runs a Python worker for each core, and further threads
+    only wait for each other over small matrices. Where the library isn't found nothing changes."""
+    try:
+        with open("/proc/self/maps", encoding="utf-8", errors="replace") as f:
+            paths = {x.split(None, 5)[-1].strip() for x in f if "openblas" in x}
+    except OSError:
+        return
+    for path in paths:
+        library = ctypes.CDLL(path)
+        for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(library, name):
+                getattr(library, name)(1)
+
+
 #: Bits of a Bloom filter at most: 8 MB, the proven bound of what a scalar subquery ships.
 MOST_BITS = 1 << 26
 

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from asserta.llm._common import MOST_BITS, bloom_bits, bloom_has, chunks, with_text, written
+from asserta.llm._common import MOST_BITS, bloom_bits, bloom_has, chunks, one_thread, with_text, written
 from asserta.llm.textvec import mix, windows, words
 
 GRAM, SIMILAR = 5, 0.8
@@ -332,6 +332,7 @@ def exact(rows: pa.Table, edge: np.ndarray) -> Iterator[tuple[np.ndarray, np.nda
 
 
 def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    one_thread()
     for rows, edge in by_group(batches, 3, 256):
         found = list(exact(rows, edge))
         if found:

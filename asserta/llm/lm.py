@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from asserta.llm._common import chunks, written
+from asserta.llm._common import chunks, one_thread, written
 from asserta.llm.textvec import words
 
 HEAD = 1 << 20
@@ -367,6 +367,7 @@ def averaged(docs: DataFrame, c: Counts) -> np.ndarray:
         start = spark.sparkContext.broadcast(vector)
 
         def run(batches: Iterator[pa.RecordBatch], round_=round_, start=start) -> Iterator[pa.RecordBatch]:
+            one_thread()
             for shard, own in itertools.groupby(pieces_of(batches), lambda x: x[0]):
                 trained, seen = train(((hashes, at) for _, hashes, at in own), counts.value, start.value, round_)
                 yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([seen]), pa.array([trained.astype(np.float64).tobytes()])], names=["shard", "seen", "vector"])
@@ -421,6 +422,7 @@ def score(docs: DataFrame, training: DataFrame, keep: list[str]) -> DataFrame:
     norm = np.log10(c.total + 0.5 * (c.kinds + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
         c, vector = held.value
         net = Network(vector)
         for batch in batches:
