@@ -9,7 +9,8 @@ Storing: digests that occur twice or more are found by a Spark aggregation over
 them, of bounded size, tells the packing pass which chunks may be shared: those go to the chunk store, kept once for
 each digest; the others stay with their row. A false positive only stores a chunk apart, so the filter affects
 layout, never content. Reading: rows without shared chunks need no shuffle; references of the others are joined with
-the chunk store by digest and put in order. Every medium is verified against its SHA-256 before use; a mismatch
+the chunk store by digest and put in order. A chunk with HOT references or more is there SALTS times for the join, so
+that they don't meet in one task. Every medium is verified against its SHA-256 before use; a mismatch
 raises ValueError.
 
 Edge cases: a null text is an empty one, with 64 zero bytes as payload. Rows are kept apart by a number given when
@@ -29,11 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from asserta.llm._common import MOST_BITS, chunks, word_bits, written
+from asserta.llm._common import MOST_BITS, bloom_bits, bloom_has, chunks, word_bits, written
 
 LEAST, MOST, MASK = 256, 8192, np.uint32(0xFFC00000)
 RATE = 8000
 PER_KEY, HASHES = 10, 5
+HOT, SALTS = 5000, 32
 _GEAR = np.random.Generator(np.random.PCG64(710)).integers(0, 1 << 32, 256, dtype=np.uint32)
 CHUNK = T.StructType([T.StructField("d1", T.LongType()), T.StructField("d2", T.LongType()), T.StructField("data", T.BinaryType())])
 
@@ -101,8 +103,9 @@ def _may_be_shared(bits: np.ndarray, d1: np.ndarray, d2: np.ndarray) -> np.ndarr
     return out
 
 
-def shared_bits(docs: DataFrame) -> np.ndarray:
-    """A Bloom filter, at most MOST_BITS long, of the digests that occur twice or more."""
+def shared_bits(docs: DataFrame) -> tuple[np.ndarray, DataFrame]:
+    """A Bloom filter, at most MOST_BITS long, of the digests that occur twice or more; and the first halves of those
+    that occur HOT times or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,17 +114,18 @@ def shared_bits(docs: DataFrame) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["d1", "d2"])
 
     counts = docs.select(F.col("text").alias("text_read")).mapInArrow(run, "d1 long, d2 long").groupBy("d1", "d2").count()
-    twice = written(counts.where("count > 1").select("d1", "d2"), "shared")
+    twice = written(counts.where("count > 1"), "shared")
     size = min(MOST_BITS, max(64, -(-twice.count() * PER_KEY // 64) * 64))
     a, b = (F.pmod(c, F.lit(size)) for c in ("d1", "d2"))
     spots = twice.select(F.explode(F.array(*[F.pmod(a + F.lit(i) * b, F.lit(size)) for i in range(HASHES)])).alias("p"))
-    return np.array(word_bits(spots, size).first()["bits"], np.int64)
+    return np.array(word_bits(spots, size).first()["bits"], np.int64), twice.where(F.col("count") >= HOT).select("d1")
 
 
-def pack(docs: DataFrame, keep: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(rows, chunk store), both written. Rows: the columns `keep`, a number, and of each medium its header, digest
+def pack(docs: DataFrame, keep: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, chunk store, first halves of much shared digests), all written. Rows: the columns `keep`, a number, and of each medium its header, digest
     and ordered chunks, whose data are null where the store has them."""
-    bits = docs.sparkSession.sparkContext.broadcast(shared_bits(docs))
+    shared, hot = shared_bits(docs)
+    bits = docs.sparkSession.sparkContext.broadcast(shared)
     kept = [F.col(f"`{c}`") for c in keep]
     new = T.StructType(
         [T.StructField("text_bytes", T.LongType()), T.StructField("head", T.BinaryType()), T.StructField("sha256", T.StringType()), T.StructField("chunks", T.ArrayType(CHUNK)), T.StructField("apart", T.ArrayType(CHUNK))]
@@ -158,15 +162,20 @@ def pack(docs: DataFrame, keep: list[str]) -> tuple[DataFrame, DataFrame]:
     rows = docs.select(*kept, F.col("text").alias("text_read")).mapInArrow(run, schema)
     rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "media")
     store = rows.select(F.inline("apart")).groupBy("d1", "d2").agg(F.first("data").alias("data"))
-    return rows.drop("apart"), written(store, "chunks")
+    return rows.drop("apart"), written(store, "chunks"), hot
 
 
-def read(rows: DataFrame, store: DataFrame) -> DataFrame:
+def read(rows: DataFrame, store: DataFrame, hot: DataFrame) -> DataFrame:
     """The rows with a column `parts`: the data of the chunks in order."""
+    size = min(MOST_BITS, max(64, -(-hot.count() * PER_KEY // 64) * 64))
+    bits = written(bloom_bits(hot, "d1", 3, size, HASHES), "bits")
+    much = bloom_has(bits.scalar(), F.col("d1"), 3, size, HASHES)  # the same for both sides of the join, right or not
+    store = store.withColumn("salt", F.explode(F.when(much, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
     lacks = F.exists("chunks", lambda c: c["data"].isNull())
     whole = rows.where(~lacks).withColumn("parts", F.transform("chunks", lambda c: c["data"]))
     refs = rows.where(lacks).select("row", F.posexplode("chunks").alias("place", "c")).where(F.col("c.data").isNull()).select("row", "place", "c.d1", "c.d2")
-    fetched = refs.join(store, ["d1", "d2"]).groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("place", "data"))).alias("from_store"))
+    refs = refs.withColumn("salt", F.when(much, F.pmod(F.xxhash64("row", "place"), F.lit(SALTS)).cast("int")).otherwise(0))
+    fetched = refs.join(store, ["d1", "d2", "salt"]).groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("place", "data"))).alias("from_store"))
     filled = rows.where(lacks).join(fetched, "row").withColumn("parts", F.transform("chunks", lambda c, i: F.coalesce(c["data"], F.element_at("from_store", i))))
     return whole.unionByName(filled.drop("from_store")).drop("chunks")
 

@@ -444,17 +444,30 @@ def test_media_round_trip(spark):
     assert media.digests(rows.limit(0), ["id"]).count() == 0
 
 
+def test_media_of_hot_chunks(spark, monkeypatch):
+    """A chunk that all rows share meets them in many tasks, and they get it all the same."""
+    monkeypatch.setattr(media, "HOT", 50)
+    rng = random.Random(6)
+    common = "".join(rng.choices("abcdef ", k=3000))
+    texts = [(i, common + f" {i} " + "".join(rng.choices("xyz", k=500))) for i in range(120)]
+    rows = spark.createDataFrame(texts, "id long, text string").repartition(4)
+    packed, store, hot = media.pack(rows, ["id"])
+    assert 0 < hot.count() <= store.count()
+    got = {r["id"]: r["payload_sha256"] for r in media.measured(media.read(packed, store, hot), ["id"]).collect()}
+    assert got == {i: hashlib.sha256(media.payload_of(t)[1]).hexdigest() for i, t in texts}
+
+
 def test_media_store_keeps_shared_chunks_once(spark):
     shared = "".join(random.Random(9).choices("abcdefgh ", k=60000))
     rows = spark.createDataFrame([(i, f"{i} " + shared) for i in range(8)], "id long, text string").repartition(2)
-    packed, store = media.pack(rows, ["id"])
+    packed, store, hot = media.pack(rows, ["id"])
     digests = store.select("d1", "d2")
     assert digests.count() == digests.distinct().count() >= 20
     inline = packed.selectExpr("inline(chunks)").where("data is not null").selectExpr("sum(length(data))").first()[0]
     assert inline < 8 * 20000
     broken = store.withColumn("data", store["data"].substr(2, 1 << 20))
     with pytest.raises(Exception, match="a stored medium has digest"):
-        media.measured(media.read(packed, broken), ["id"]).collect()
+        media.measured(media.read(packed, broken, hot), ["id"]).collect()
 
 
 def test_cuts_against_a_rolling_hash():
