@@ -45,6 +45,7 @@ DIM, HIDDEN = 24, 32
 ROUNDS, PER_SHARD, SHARDS = 4, 500_000, 4096  # tokens of a shard, unless more than SHARDS were needed in a round
 TRAIN_LANES, WINDOW, WINDOWS = 256, 20, 150  # as many lanes as leave WINDOWS windows, if that isn't too many
 RATES, WARM = (6e-3, 6e-3, 4e-3, 2e-3), 50  # by round; the first one's rises over WARM steps
+DOOR = 20  # upper bits of a hash that the head is entered by
 LANES, STEPS, WASTE = 256, 64, 4  # a grid has at most about WASTE times as many cells as tokens
 END = np.uint64(0x656E64206F662074).astype(np.int64)
 
@@ -62,6 +63,7 @@ class Counts(NamedTuple):
     rare_kinds: int
     start_class: np.ndarray  # log of each class's frequency
     start_word: np.ndarray
+    door: np.ndarray  # by the upper part of a hash, its first key
 
 
 def tokens(texts: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
@@ -129,13 +131,31 @@ def head_of(counts: DataFrame, most: int = HEAD) -> tuple[Counts, int]:
     word[number[~rest]] += n[~rest]
     classes = np.concatenate([word.reshape(GROUPS, PER_GROUP).sum(1), mass + 0.5, [rare_total + 0.5 * (rare_kinds + 1)]])
     start_class = np.log(classes / classes.sum())
-    return Counts(keys, np.log10(n + 0.5), number, within, total, kinds, rare_total, rare_kinds, start_class.astype(np.float32), np.log(word).astype(np.float32)), least
+    return Counts(keys, np.log10(n + 0.5), number, within, total, kinds, rare_total, rare_kinds, start_class.astype(np.float32), np.log(word).astype(np.float32), doors(keys)), least
 
 
 def look_up(c: Counts, hashes: np.ndarray) -> np.ndarray:
-    """Places in the head, -1 for others."""
-    at = np.minimum(np.searchsorted(c.keys, hashes), len(c.keys) - 1)
-    return np.where(c.keys[at] == hashes, at, -1)
+    """Places in the head, -1 for others: keys are ascending, and `door` tells where those with each upper part begin,
+    so few are compared."""
+    at = _upper(hashes)
+    at, end = c.door[at], c.door[at + 1]
+    out = np.full(len(hashes), -1)
+    left = np.flatnonzero(at < end)
+    while len(left):
+        hit = c.keys[at[left]] == hashes[left]
+        out[left[hit]] = at[left[hit]]
+        left = left[~hit]
+        at[left] += 1
+        left = left[at[left] < end[left]]
+    return out
+
+
+def _upper(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.int64(64 - DOOR)) + (1 << DOOR - 1)
+
+
+def doors(keys: np.ndarray) -> np.ndarray:
+    return np.searchsorted(_upper(keys), np.arange((1 << DOOR) + 1))
 
 
 def lanes(at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -165,7 +185,19 @@ def lanes(at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    out = np.negative(x)
+    np.exp(out, out=out)
+    out += 1
+    return np.reciprocal(out, out=out)
+
+
+def exps(logit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp of each row, less its greatest number where any is too large or small for that; and the rows' sums. logit is
+    changed."""
+    if logit.max() > 60 or logit.min() < -60:
+        logit -= logit.max(1, keepdims=True)
+    e = np.exp(logit)
+    return e, e @ np.ones(logit.shape[1], e.dtype)
 
 
 class Network:
@@ -215,34 +247,34 @@ class Network:
         """Natural log-probability of each target's class, and word if it is one; the loss's gradient by h."""
         p = self.p
         klass = np.where(y < WORDS, y // PER_GROUP, y - WORDS + GROUPS)
-        logit = h @ p["wc"] + p["bc"]
-        logit -= logit.max(1, keepdims=True)
-        e = np.exp(logit)
-        s = e.sum(1, keepdims=True)
+        logit = h @ p["wc"]
+        logit += p["bc"]
+        e, s = exps(logit)
         rows = np.arange(len(y))
-        out = logit[rows, klass] - np.log(s[:, 0])
+        out = logit[rows, klass] - np.log(s)
         dh = None
         if grad is not None:
-            d = e / s
+            d = e
+            d /= s[:, None]
             d[rows, klass] -= 1
             grad["wc"] += h.T @ d
             grad["bc"] += d.sum(0)
             dh = d @ p["wc"].T
-        order = np.argsort(klass, kind="stable")
+        order = np.argsort(klass.astype(np.int16), kind="stable")
         edge = np.searchsorted(klass[order], np.arange(GROUPS + 1))
         for k in range(GROUPS):
             own = order[edge[k] : edge[k + 1]]
             if not len(own):
                 continue
             hk, word = h[own], y[own] - k * PER_GROUP
-            logit = hk @ p["ww"][k].T + p["bw"][k]
-            logit -= logit.max(1, keepdims=True)
-            e = np.exp(logit)
-            s = e.sum(1, keepdims=True)
+            logit = hk @ p["ww"][k].T
+            logit += p["bw"][k]
+            e, s = exps(logit)
             i = np.arange(len(own))
-            out[own] += logit[i, word] - np.log(s[:, 0])
+            out[own] += logit[i, word] - np.log(s)
             if grad is not None:
-                d = e / s
+                d = e
+                d /= s[:, None]
                 d[i, word] -= 1
                 grad["ww"][k] += d.T @ hk
                 grad["bw"][k] += d.sum(0)

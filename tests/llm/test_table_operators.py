@@ -282,6 +282,15 @@ def test_lm_is_better_than_counts(spark):
     assert score / tokens > base / tokens
 
 
+def test_lm_look_up():
+    rng = np.random.Generator(np.random.PCG64(5))
+    keys = np.unique(np.concatenate([rng.integers(-(1 << 63), 1 << 63, 5000), np.arange(-3, 4), [-(1 << 63), (1 << 63) - 1]]))
+    c = lm.Counts(*[None] * 10, None)._replace(keys=keys, door=lm.doors(keys))
+    probe = np.concatenate([keys, keys[:-1] + 1, rng.integers(-(1 << 63), 1 << 63, 500)])
+    there = {k: i for i, k in enumerate(keys.tolist())}
+    assert lm.look_up(c, probe).tolist() == [there.get(k, -1) for k in probe.tolist()]
+
+
 def test_lm_grid_is_bounded():
     at = np.concatenate([[0, 200_000], 200_000 + np.cumsum(np.full(500, 20))])
     grid, fresh = lm.lanes(at, 256)
@@ -291,7 +300,7 @@ def test_lm_grid_is_bounded():
 def test_lm_gradient(monkeypatch):
     """Backpropagation against differences of the loss, over lanes and texts' beginnings."""
     rng = np.random.Generator(np.random.PCG64(1))
-    c = lm.Counts(np.array([1]), np.zeros(1), np.zeros(1, np.int64), np.zeros(1), 1, 1, 0, 0, np.zeros(lm.CLASSES, np.float32), np.zeros(lm.WORDS, np.float32))
+    c = lm.Counts(np.array([1]), np.zeros(1), np.zeros(1, np.int64), np.zeros(1), 1, 1, 0, 0, np.zeros(lm.CLASSES, np.float32), np.zeros(lm.WORDS, np.float32), lm.doors(np.array([1])))
     net = lm.Network(lm.Network.start(c).vector.astype(np.float64))
     net.vector += rng.normal(0, 0.1, net.vector.shape)
     x = rng.integers(0, lm.RARE + 1, (4, 3))
@@ -331,7 +340,7 @@ def test_lm_gradient(monkeypatch):
 def test_lm_carries_state_over_windows(monkeypatch):
     """Windows and lanes don't change a text's likelihood."""
     rng = np.random.Generator(np.random.PCG64(2))
-    c = lm.Counts(np.array([1]), np.zeros(1), np.zeros(1, np.int64), np.zeros(1), 1, 1, 0, 0, np.zeros(lm.CLASSES, np.float32), np.zeros(lm.WORDS, np.float32))
+    c = lm.Counts(np.array([1]), np.zeros(1), np.zeros(1, np.int64), np.zeros(1), 1, 1, 0, 0, np.zeros(lm.CLASSES, np.float32), np.zeros(lm.WORDS, np.float32), lm.doors(np.array([1])))
     net = lm.Network.start(c)
     net.vector += rng.normal(0, 0.2, net.vector.shape).astype(np.float32)
     at = np.array([0, 1, 40, 47, 130])
