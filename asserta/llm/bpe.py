@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from asserta.llm._common import chunks, written
 from asserta.sources.workspace import new_path, put_file
 
-LEXICON = 1 << 18  # frequent words compiled, at most
+LEXICON = 1 << 17  # frequent words compiled, at most
 CACHED = 400_000  # words whose ids a Python worker keeps, if they are no longer than LONG bytes; it then starts afresh
 LONG = 64
 END = "</w>"
@@ -160,6 +160,7 @@ class Transducer:
         words = sorted((w.encode(), w) for w in lexicon)
         edges: list[dict[int, int]] = [{}]
         final = [0]
+        free: list[int] = []  # states that others took the place of
         known: dict[tuple, int] = {}
         path_of: list[int] = [0]
         last = b""
@@ -171,15 +172,21 @@ class Transducer:
                 same = known.setdefault(sign, state)
                 if same != state:
                     edges[path_of[-1]][last[len(path_of) - 1]] = same
+                    free.append(state)
 
         for key, _ in words:
             common = len(os.path.commonprefix([last, key]))
             settle(common)
             for b in key[common:]:
-                edges.append({})
-                final.append(0)
-                edges[path_of[-1]][b] = len(edges) - 1
-                path_of.append(len(edges) - 1)
+                if free:
+                    state = free.pop()
+                    edges[state], final[state] = {}, 0
+                else:
+                    state = len(edges)
+                    edges.append({})
+                    final.append(0)
+                edges[path_of[-1]][b] = state
+                path_of.append(state)
             final[path_of[-1]] = 1
             last = key
         settle(0)
