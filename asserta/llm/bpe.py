@@ -39,7 +39,7 @@ from asserta.llm._common import chunks, written
 from asserta.sources.workspace import new_path, put_file
 
 LEXICON = 1 << 17  # frequent words compiled, at most
-CACHED = 400_000  # words whose ids a Python worker keeps, if they are no longer than LONG bytes; it then starts afresh
+CACHED = 300_000  # words whose ids a Python worker keeps, if they are no longer than LONG bytes; it then starts afresh
 LONG = 64
 END = "</w>"
 SHORT, NONE = 48, 1 << 62
