@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from asserta.llm._expr import let, running
+from asserta.llm._expr import let, pieces, running, stretch
 
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"  # the pattern's `+` with 18 characters or more: a shorter match ends where no other can begin
@@ -50,15 +50,16 @@ NONE = "array<struct<start:bigint,rank:int,end:bigint,value:string>>"
 
 def spans(text: Column, pattern: str, rank: int, group: int = 0, least: int = 0) -> Column:
     """Spans of a pattern whose `group` has `least` characters: (start, rank of the kind, end, the group)."""
-    match, value = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    match = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.transform(F.split(text, pattern, -1), lambda x: F.length(x).cast("long"))
 
     def built(x: Column) -> Column:
         ends = running(F.zip_with(F.slice(x["g"], F.lit(1), F.size(x["m"])), x["m"], lambda g, m: g + F.length(m)))
-        made = F.transform(F.arrays_zip(ends.alias("e"), x["m"].alias("m"), x["v"].alias("v")), lambda y: F.struct((y["e"] - F.length(y["m"])).alias("start"), F.lit(rank).alias("rank"), y["e"].alias("end"), y["v"].alias("value")))
+        value = (lambda m: F.regexp_extract(m, pattern, group)) if group else (lambda m: m)
+        made = F.transform(F.arrays_zip(ends.alias("e"), x["m"].alias("m")), lambda y: F.struct((y["e"] - F.length(y["m"])).alias("start"), F.lit(rank).alias("rank"), y["e"].alias("end"), value(y["m"]).alias("value")))
         return F.filter(made, lambda y: F.length(y["value"]) >= least)
 
-    found = let(F.struct(match.alias("m"), value.alias("v"), gaps.alias("g")), built)
+    found = let(F.struct(match.alias("m"), gaps.alias("g")), built)
     return F.when(text.rlike(pattern), found).otherwise(F.array().cast(NONE)).cast(NONE)
 
 
@@ -155,18 +156,15 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     without spans, null ones too, stay as they are."""
 
     def cover(x: Column) -> Column:
-        first = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
-
-        def step(acc: Column, s: Column) -> Column:
-            piece = F.when(s["start"] > acc["at"], F.array(F.substring(x["t"], (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(mark)))
-            fresh = F.when((s["start"] == 0) & (F.size(acc["out"]) == 0), F.array(F.lit(""), F.lit(mark)))
-            return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], F.coalesce(piece, fresh, F.array().cast("array<string>"))).alias("out"))
-
-        done = F.aggregate(x["s"], first, step)
-        return let(done, lambda d: F.concat(F.array_join(d["out"], ""), F.substring(x["t"], (d["at"] + 1).cast("int"), F.lit(1 << 30))))
+        before = F.transform(x["s"], lambda s, k: F.struct(F.coalesce(F.get(x["r"], k - 1), F.lit(0)).alias("from"), s["start"].alias("to")))
+        opened = F.filter(before, lambda y, k: (k == 0) | (y["to"] > y["from"]))
+        kept = F.array_join(F.transform(opened, lambda y: F.concat(stretch(x["p"], y["from"], y["to"]), F.lit(mark))), "")
+        return F.concat(kept, stretch(x["p"], F.element_at(x["r"], -1), x["n"]))
 
     some = scan(docs, "found_spans__")
-    text = F.when(F.size("found_spans__") > 0, let(F.struct(F.col("text").alias("t"), F.col("found_spans__").alias("s")), cover)).otherwise(F.col("text"))
+    reach = running(F.transform("found_spans__", lambda s: s["end"]), F.greatest)
+    whole = F.struct(pieces(F.col("text")).alias("p"), F.length("text").cast("long").alias("n"), F.col("found_spans__").alias("s"), reach.alias("r"))
+    text = F.when(F.size("found_spans__") > 0, let(whole, cover)).otherwise(F.col("text"))
     return some.withColumn("text", text).drop("found_spans__")
 
 

@@ -278,6 +278,27 @@ def test_redaction(spark):
     assert got == {0: "a [SECRET] b", 1: "[SECRET]", 2: "plain", 3: None, 4: 'é [SECRET]" [SECRET].'}
 
 
+def plain_redacted(text):
+    out, at = [], -1
+    for a, _, b in sorted(base_spans(text) + discovered(text)):
+        if a > at:
+            out += [text[max(at, 0) : a], "[SECRET]"]
+        at = max(at, b)
+    return "".join(out) + text[max(at, 0) :]
+
+
+def test_redaction_against_brute_force(spark):
+    """Also of long texts, whose stretches begin and end anywhere in the pieces they are cut from."""
+    rng = random.Random(6)
+    plain = lambda n: "".join(rng.choices("aé🙂 \n", k=n))
+    long = ["".join(plain(rng.choice([0, 3, 700, 4096, 9000])) + " secret = abcdefghijklm " for _ in range(30)), "deadbeef00112233" * 600 + plain(4096)]
+    texts = [*secret_texts(), *long, " ".join(f"token: {k:016}" for k in range(20_000))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    start = time.time()
+    assert [r["text"] for r in secrets.redact(docs).orderBy("doc_id").collect()] == [plain_redacted(t) for t in texts]
+    assert time.time() - start < 60
+
+
 def test_secrets_odd_inputs(spark, messy):
     got = secrets.report(messy.drop("found_spans"), ["row"]).collect()
     assert len(got) == len(ODD) + 3 and all(r["base_sha256"] == hashlib.sha256(told(base_spans(ODD[r["row"]] or "")).encode()).hexdigest() for r in got)
