@@ -17,7 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from asserta.llm._expr import let, running
+from asserta.llm import _expr
+from asserta.llm._expr import let, running, stretch
 
 TURN, AND, END, LINE = "<|turn|>", "<|and|>", "<|end|>\n", "<|nl|>"
 ASSISTANT = "assistant"
@@ -84,7 +85,7 @@ def read_back(text: Column) -> Column:
 
 def under_loss(text: Column, loss: Column) -> Column:
     """What the mask covers, restored and joined."""
-    return F.array_join(F.transform(loss, lambda x: unescape(F.substring(text, (x["start"] + 1).cast("int"), x["length"]))), "")
+    return let(_expr.pieces(text), lambda p: F.array_join(F.transform(loss, lambda x: unescape(stretch(p, x["start"], x["start"] + x["length"]))), ""))
 
 
 def digests(rows: DataFrame) -> DataFrame:

@@ -94,6 +94,7 @@ def test_chat_restores_everything(spark):
     for c in [None, *range(12)]:
         for t in rng.sample(range(20), rng.randrange(1, 9)):
             rows.append((c, t if rng.random() < 0.9 else None, rng.choice(["user", "assistant", "assistant", None, "x\n<|nl|>y"]), rng.choice(evil), "z"))
+    rows += [(99, k, role, text * 1500, "z") for k, (role, text) in enumerate(zip(["user", "assistant"] * 5, ["<|é", "🙂 \n"] * 5))]
     rows += rows[:2]
     table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, p string").repartition(4)
     own = defaultdict(list)
