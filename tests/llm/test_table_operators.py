@@ -15,7 +15,8 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from asserta.llm import chat, html_extract, jaccard, lm, queries, url_filter
+from asserta.llm import chat, html_extract, jaccard, langid, lm, queries, url_filter
+from tests.llm.test_text_operators import expected, plain_leaks, plain_redacted
 
 SF = "/root/testdata/sf0.001"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -483,3 +484,50 @@ def test_pipeline_stages(spark):
 def test_pipeline_runs(spark):
     n = corpus_pipeline.run(spark, SF).count()
     assert 0 < n <= spark.read.parquet(f"{SF}/documents.parquet").count()
+
+
+def plain_fit(rows):
+    """By dictionaries: the rows whose text is as near to a learned language as the pipeline wants it."""
+
+    def grams(text):
+        units = re.sub(r"[\W\d_]+", " ", f" {text.lower()} ")
+        return Counter(g for n in (1, 2, 3) for g in (units[i : i + n] for i in range(len(units) - n + 1)) if g != " ")
+
+    def ranks(counts):
+        code = lambda g: [0] * (3 - len(g)) + [langid.SPACE if c == " " else ord(c) for c in g]
+        return {g: r for r, g in enumerate(sorted(counts, key=lambda g: (-counts[g], code(g)))[: langid.SIZE])}
+
+    learned = defaultdict(Counter)
+    for text, lang in {(t, lang) for _, t, lang in rows if t is not None and lang is not None}:
+        learned[lang].update(grams(text))
+    profiles = [ranks(c) for c in learned.values()]
+    out = []
+    for d, text, _ in rows:
+        if own := ranks(grams(text or "")):
+            off = min(sum(abs(r - p[g]) if g in p else langid.SIZE for g, r in own.items()) for p in profiles)
+            if 1 - off / (langid.SIZE * len(own)) >= corpus_pipeline.LEAST_SCORE:
+                out.append((d, text))
+    return out
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """run() over tables with copies, benchmark passages, secrets and texts of no language."""
+    rng = random.Random(9)
+    short = spark.read.parquet(f"{SF}/documents.parquet").where("length(text) < 1200").orderBy("doc_id").limit(60).collect()
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in short]
+    words = [w for _, t, lang in rows if lang == "en" for w in t.split() if w.isalpha()]
+    text = lambda n: " ".join(rng.choices(words, k=n))
+    items = ["If Anna has 3 apples and Bert has 5 apples, how many apples do Anna and Bert have? Say it in kg or not at all.", "a train goes 120 km in 2 hours and then stands still for ever and ever"]
+    base = text(80)
+    planted = [f"{text(30)}. {items[0]} {text(30)}", f"{text(30)}. {items[1].replace('120', '77')} {text(30)}", base, base + " more", base.upper(), text(40) + ' token = "deadbeef00112233" ' + text(9), "τζχψ ωφβξ " * 9, "12 34 !!", "", None, text(50)]
+    rows += [(10_000 + k, t, None) for k, t in enumerate(planted)]
+    docs = spark.createDataFrame([(d, t, lang, "s", len(t or "")) for d, t, lang in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    fit = plain_fit(rows)
+    first = {d for _, d, least, _ in plain_classes(fit) if d == least}
+    kept = [(d, t) for d, t in fit if d in first and not plain_leaks(t, items)]
+    assert {10_002, 10_005, 10_010} == {d for d, _ in kept if d >= 10_000} and {10_000, 10_001, 10_003, 10_004} <= {d for d, _ in fit}
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in got) == sorted((d, *expected(library, plain_redacted(t))) for d, t in kept)

@@ -237,7 +237,8 @@ def battery(token):
 
 
 def discovered(text):
-    found = [(m.start(), m.end()) for m in re.finditer(secrets.CANDIDATE, text)]
+    if not (found := [(m.start(), m.end()) for m in re.finditer(secrets.CANDIDATE, text)]):
+        return []
     tests = [battery(text[a:b]) for a, b in found]
     total = sum(b - a for a, b in found)
     p = [t[1] * total / ((b - a) * len(found)) for (a, b), t in zip(found, tests)]
