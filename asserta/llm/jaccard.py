@@ -5,8 +5,8 @@ of fewer words has one window of all of them. Texts with the same set are one re
 embedded as SIGNS minimal hashes. A run of the chosen-path tree splits a bucket on sampled coordinates: each is taken
 with probability 1 / (SIMILAR * SIGNS), by a hash of the bucket, so two sets that are SIMILAR share about one of the
 sub-buckets at every level. Buckets of up to SMALL are compared in full by their signs; larger ones are compared with a few
-of their members, and split again unless these show that the bucket is one component, up to DEPTH levels; what is still
-larger then is taken as alike. Runs are repeated until a pair of similarity SIMILAR is missed with probability
+of their members. Where these show that the bucket is one component but for SMALL members at most, the latter are compared
+with all; other large buckets are split again, up to DEPTH levels; what is still larger then is taken as alike. Runs are repeated until a pair of similarity SIMILAR is missed with probability
 1 - RECALL at most, even at the last level.
 
 Buckets give candidate links as stars, never pairs, and components of candidates are verified: the sets of a component
@@ -23,6 +23,7 @@ each other. Columns asked for are carried, whatever their names, but for the nam
 
 from __future__ import annotations
 
+import functools
 import math
 import struct
 from collections.abc import Callable, Iterator
@@ -185,11 +186,11 @@ def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.maximum(rep, pivot)[hit]), pa.array(np.minimum(rep, pivot)[hit])], names=["a", "b"])
 
 
-def _alike(s: np.ndarray) -> np.ndarray:
-    """Which rows of signs are candidates, some rows at a time."""
-    out = np.empty((len(s), len(s)), bool)
+def _alike(s: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Which rows of signs of s and t are candidates, some rows at a time."""
+    out = np.empty((len(s), len(t)), bool)
     for at in range(0, len(s), 32):
-        out[at : at + 32] = np.count_nonzero(s[at : at + 32, None, :] == s[None, :, :], axis=2) >= LEAST
+        out[at : at + 32] = np.count_nonzero(s[at : at + 32, None, :] == t[None, :, :], axis=2) >= LEAST
     return out
 
 
@@ -206,22 +207,64 @@ def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x, y = edge[k], edge[k + 1]
             order = np.argsort(rep[x:y])
             s, r = signs[x:y][order], rep[x:y][order]
-            label = _least_label(_alike(s))
+            label = _least_label(_alike(s, s))
             other = label != np.arange(len(label))
             a.append(r[other])
             b.append(r[label[other]])
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (a, b)], names=["a", "b"])
 
 
+def compare_few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, block, rep, the bucket's most frequent label, whether the row has another, signs), sorted by bucket
+    and block: an edge to that label for each row that has another and meets one that has it; and, once for a bucket,
+    stars of the rows that have others."""
+    for rows, edge in by_group(batches, 2):
+        block, rep, most = (rows.column(i).to_numpy() for i in (1, 2, 3))
+        other = np.array(rows.column(4).to_pylist(), bool)
+        signs = _signs(rows.column(5))
+        a, b = [], []
+        for x, y in zip(edge, edge[1:]):
+            few, rest = x + np.flatnonzero(other[x:y]), x + np.flatnonzero(~other[x:y])
+            few = few[np.argsort(rep[few])]
+            if block[x] == 0:
+                label = _least_label(_alike(signs[few], signs[few]))
+                moved = label != np.arange(len(label))
+                a.append(rep[few[moved]])
+                b.append(rep[few[label[moved]]])
+            met = few[_alike(signs[few], signs[rest]).any(1)]
+            a.append(np.maximum(rep[met], most[met]))
+            b.append(np.minimum(rep[met], most[met]))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (a, b)], names=["a", "b"])
+
+
+def nearly_one(large: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Buckets of rows (bucket, rep, label) that need no split: (bucket, n, most frequent label) where SMALL rows at
+    most, but some, have another label; and all those, with the buckets of one label too."""
+    tally = large.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    top = tally.groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("top"))
+    done = written(top.where(F.col("n") - F.col("top.n") <= SMALL).select("bucket", "n", F.col("top.label").alias("most"), (F.col("n") - F.col("top.n")).alias("others")), "done")
+    return done.where("others > 0").drop("others"), done.select("bucket")
+
+
+def in_blocks(large: DataFrame, few: DataFrame) -> DataFrame:
+    """Rows (bucket, block, rep, most, other) of the buckets `few`: those of the most frequent label are dealt out in
+    blocks, those of others are in each, at most a fourth as many rows more."""
+    rows = large.join(few, "bucket").withColumn("other", F.col("label") != F.col("most"))
+    blocks = F.ceil(F.col("n") / (4 * SMALL))
+    block = F.when(F.col("other"), F.sequence(F.lit(0).cast("long"), blocks - 1)).otherwise(F.array(F.pmod(F.xxhash64("rep"), blocks)))
+    return rows.select("bucket", F.explode(block).alias("block"), "rep", "most", "other")
+
+
 def candidates(reps: DataFrame) -> DataFrame:
     """Edges (a, b), a > b, over representatives that may be similar. reps: rep, signs, buckets.
 
     Each large bucket of the first level is compared with PIVOTS of its members. What meets pivots makes components;
-    each representative has the label of its own. A bucket whose members have one label has nothing left to find and
-    goes no further: a group of near copies is not carried from level to level."""
+    each representative has the label of its own. Only pairs of different labels are left to find. So a bucket whose
+    members have one label goes no further, and one in which at most SMALL members have another label than the most
+    frequent is compared now, these members with all: a group of near copies is not carried from level to level."""
     signs = reps.select("rep", "signs")
     rows = reps.select("rep", F.col("rep").alias("label"), F.explode("buckets").alias("bucket"))
-    small, edges = [], []
+    small, blocks, edges = [], [], []
     for level in range(1, DEPTH + 1):
         pivots = [F.min_by("rep", F.xxhash64(F.lit(k), "rep")).alias(f"p{k}") for k in range(PIVOTS)]
         sizes = rows.groupBy("bucket").agg(F.count("*").alias("count"), F.min("label").alias("x"), F.max("label").alias("y"), *pivots)
@@ -231,24 +274,30 @@ def candidates(reps: DataFrame) -> DataFrame:
         large, hot = shared.where(F.col("count") > SMALL).select("bucket", "rep", "label"), sizes.where(F.col("count") > SMALL)
         if hot.isEmpty():
             break
-        if level == DEPTH:
-            stars = large.join(hot.select("bucket", F.col("p0").alias("b")), "bucket").where("rep != b")
-            edges.append(stars.select(F.greatest("rep", "b").alias("a"), F.least("rep", "b").alias("b")))
-            break
-        large = large.join(signs, "rep")
         if level == 1:
             each = hot.select("bucket", F.explode(F.array_distinct(F.array(*[f"p{k}" for k in range(PIVOTS)]))).alias("pivot"))
             each = each.join(signs.toDF("pivot", "pivot_signs"), "pivot")
-            met = written(large.join(each, "bucket").select("rep", "signs", "pivot", "pivot_signs").mapInArrow(meet, "a long, b long").distinct(), "met")
+            met = written(large.join(signs, "rep").join(each, "bucket").select("rep", "signs", "pivot", "pivot_signs").mapInArrow(meet, "a long, b long").distinct(), "met")
             edges.append(met)
             label = components(met).toDF("rep", "least")
-            large = large.join(label, "rep", "left").withColumn("label", F.coalesce("least", "label"))
-        rows = large.select("bucket", "rep", "label", "signs").mapInArrow(split(level), "bucket long, rep long, label long").distinct()
-    both = small[0]
-    for more in small[1:]:
-        both = both.unionAll(more)
+            large = written(large.join(label, "rep", "left").select("bucket", "rep", F.coalesce("least", "label").alias("label")), "large")
+        few, done = nearly_one(large)
+        blocks.append(in_blocks(large, few))
+        large, hot = large.join(done, "bucket", "left_anti"), hot.join(done, "bucket", "left_anti")
+        if hot.isEmpty():
+            break
+        if level == DEPTH:
+            stars = large.join(hot.select("bucket", F.col("p0").alias("b")), "bucket").where("rep != b")
+            edges.append(stars.select(F.greatest("rep", "b").alias("a"), F.least("rep", "b").alias("b")))
+            break
+        rows = large.join(signs, "rep").select("bucket", "rep", "label", "signs").mapInArrow(split(level), "bucket long, rep long, label long")
+        rows = written(rows.distinct(), f"split{level}")
+    both = functools.reduce(DataFrame.unionAll, small)
     signed = both.join(signs, "rep").select("bucket", "rep", "signs")
     out = signed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(compare, "a long, b long")
+    if blocks:
+        signed = functools.reduce(DataFrame.unionAll, blocks).join(signs, "rep").select("bucket", "block", "rep", "most", "other", "signs")
+        out = out.unionAll(signed.repartition("bucket", "block").sortWithinPartitions("bucket", "block").mapInArrow(compare_few, "a long, b long"))
     for more in edges:
         out = out.unionAll(more)
     return out.distinct()

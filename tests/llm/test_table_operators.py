@@ -12,6 +12,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -436,6 +437,72 @@ def test_near_copies_of_a_large_group(spark, monkeypatch):
     assert sum(a == b for a, b in zip(mine, true)) >= 0.9 * len(true)
 
 
+def test_near_copies_of_a_group_with_far_members(spark, monkeypatch):
+    """Texts that are alike with some of a group only leave its buckets mixed: these are compared at once, not carried
+    from level to level, and no link is lost."""
+    monkeypatch.setattr(jaccard, "SMALL", 50)
+    made, written = Counter(), jaccard.written
+
+    def counted(df, label, *more):
+        out = written(df, label, *more)
+        if label.startswith("level"):
+            made[label] = out.where(F.col("count") > jaccard.SMALL).count()
+        return out
+
+    monkeypatch.setattr(jaccard, "written", counted)
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(400)]
+    base = rng.choices(words, k=150)
+    texts = []
+    for k in range(300):
+        own = list(base)
+        own[rng.randrange(len(own))] = rng.choice(words)
+        texts.append((k, " ".join(own)))
+    for k in range(40):  # every second one is like the one before
+        texts.append((300 + k, " ".join(base[k // 2 : k // 2 + 80] + rng.choices(words, k=20)) if k % 2 == 0 else texts[-1][1] + " more"))
+    docs = spark.createDataFrame(texts, "rep long, text string").repartition(3)
+    edges = jaccard.candidates(jaccard.sketch(docs, ["rep"]).select("rep", "signs", "buckets")).collect()
+    linked = np.eye(340, dtype=bool)
+    for x, y in edges:
+        linked[x, y] = linked[y, x] = True
+    label = jaccard._least_label(linked)
+    windows = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for _, t in texts]
+    true = [(x, y) for x in range(340) for y in range(x) if 5 * len(windows[x] & windows[y]) >= 4 * len(windows[x] | windows[y])]
+    assert len(true) > 40000 and all(label[x] == label[y] for x, y in true)
+    assert made["level1"] > 5000 and 4 * sum(n for label, n in made.items() if label != "level1") < made["level1"]
+
+
+@pytest.mark.parametrize("small", [3, 40])
+def test_near_copies_few_against_all_pairs(spark, monkeypatch, small):
+    """Mixed buckets in blocks, by brute force: the candidate components are the same."""
+    monkeypatch.setattr(jaccard, "SMALL", small)
+    rng = np.random.default_rng(3)
+    signs = rng.integers(0, 1 << 16, (200, jaccard.SIGNS), dtype=np.uint16)
+    for k in range(1, 180):  # a chain: each is like the one before, and the first 150 are one label
+        signs[k] = signs[k - 1]
+        signs[k, rng.integers(0, jaccard.SIGNS, 9)] = rng.integers(0, 1 << 16, 9)
+    label = [0] * 150 + list(range(150, 200))
+    order = rng.permutation(200).tolist()
+    rows = [(bucket, k, label[k]) for bucket in (5, 6) for k in order if bucket == 5 or k < 150 + small]
+    large = spark.createDataFrame(rows, "bucket long, rep long, label long").repartition(3)
+    few, done = jaccard.nearly_one(large)
+    assert [r["bucket"] for r in done.collect()] == ([6])
+    held = jaccard.in_blocks(large, few)
+    blocks = {r["block"] for r in held.collect()}
+    assert blocks == set(range(-(-(150 + small) // (4 * small))))
+    signed = held.join(spark.createDataFrame([(k, bytearray(s.tobytes())) for k, s in enumerate(signs)], "rep long, signs binary"), "rep")
+    signed = signed.select("bucket", "block", "rep", "most", "other", "signs")
+    edges = signed.repartition("bucket", "block").sortWithinPartitions("bucket", "block").mapInArrow(jaccard.compare_few, "a long, b long").collect()
+    linked = np.eye(200, dtype=bool)
+    linked[:150, :150] = True
+    for a, b in edges:
+        linked[a, b] = linked[b, a] = True
+    n = 150 + small
+    true = (signs[:n, None] == signs[None, :n]).sum(2) >= jaccard.LEAST
+    true[:150, :150] = True
+    assert jaccard._least_label(linked[:n, :n]).tolist() == jaccard._least_label(true).tolist()
+
+
 def test_near_copies_empty(spark):
     assert jaccard.near_duplicates(spark.createDataFrame([], "doc_id long, text string"), ["doc_id"]).count() == 0
 
