@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import functools
 from collections.abc import Iterator
@@ -21,6 +22,19 @@ def written(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Inside, what runs sends at most `rows` rows at once to Python, where the session would send more: a batch is in
+    memory some times over, in the JVM and in the worker. The setting is the session's, and is put back."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = int(spark.conf.get(name))
+    spark.conf.set(name, min(before, rows) if before > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def with_text(docs: DataFrame, keep: list[str], name: str = "text") -> tuple[DataFrame, int]:
     """What a mapInArrow function reads: the columns `keep`, and the text last unless it is among them, so that no
     text travels twice; and the text's place."""

@@ -10,7 +10,8 @@ them, of bounded size, tells the packing pass which chunks may be shared: those
 each digest; the others stay with their row. A false positive only stores a chunk apart, so the filter affects
 layout, never content. Reading: rows without shared chunks need no shuffle; references of the others are joined with
 the chunk store by digest and put in order. A chunk with HOT references or more is there SALTS times for the join, so
-that they don't meet in one task. Every medium is verified against its SHA-256 before use; a mismatch
+that they don't meet in one task. Rows go to Python ROWS at a time, and what is measured is written at once, so that
+this holds for all passes. Every medium is verified against its SHA-256 before use; a mismatch
 raises ValueError.
 
 Edge cases: a null text is an empty one, with 64 zero bytes as payload. Rows are kept apart by a number given when
@@ -30,12 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from asserta.llm._common import MOST_BITS, bloom_bits, bloom_has, chunks, word_bits, written
+from asserta.llm._common import MOST_BITS, bloom_bits, bloom_has, chunks, small_batches, word_bits, written
 
 LEAST, MOST, MASK = 256, 8192, np.uint32(0xFFC00000)
 RATE = 8000
 PER_KEY, HASHES = 10, 5
 HOT, SALTS = 5000, 32
+ROWS = 500  # that go to a Python worker at once
 _GEAR = np.random.Generator(np.random.PCG64(710)).integers(0, 1 << 32, 256, dtype=np.uint32)
 CHUNK = T.StructType([T.StructField("d1", T.LongType()), T.StructField("d2", T.LongType()), T.StructField("data", T.BinaryType())])
 
@@ -218,4 +220,5 @@ def measured(media: DataFrame, keep: list[str]) -> DataFrame:
 
 def digests(docs: DataFrame, keep: list[str]) -> DataFrame:
     """Stores the texts of docs, reads them back, and measures what was read. `keep` has no name that this uses."""
-    return measured(read(*pack(docs, keep)), keep)
+    with small_batches(docs.sparkSession, ROWS):
+        return written(measured(read(*pack(docs, keep)), keep), "measured")

@@ -14,6 +14,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from asserta.llm import bpe, decontam, langid, media, queries, secrets
+from asserta.llm._common import small_batches
 from asserta.llm.textvec import windows, words
 
 ODD = [None, "", " \n\t", "a", "....", "Ünïcödé  ÀB Σας İ", "x" * 300_000, "word " * 60_000, "\0\1<|endoftext|>", "token = \"abcdefghijklmnop\"", "🙂" * 50]
@@ -492,6 +493,27 @@ def test_media_store_keeps_shared_chunks_once(spark):
         media.measured(media.read(packed, broken, hot), ["id"]).collect()
 
 
+def test_media_go_to_python_a_few_at_a_time(spark, monkeypatch):
+    """All passes run inside the smaller setting, which bounds batches, and the session has its own afterwards."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, seen, written = spark.conf.get(name), {}, media.written
+
+    def noted(df, label, *more):
+        seen[label] = int(spark.conf.get(name))
+        return written(df, label, *more)
+
+    monkeypatch.setattr(media, "written", noted)
+    assert media.digests(spark.range(30).selectExpr("id", "'abc ' || id AS text"), ["id"]).count() == 30
+    assert {"shared", "media", "measured"} <= set(seen) and set(seen.values()) == {media.ROWS}
+    assert spark.conf.get(name) == before != str(media.ROWS)
+    sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"]) for b in batches)
+    with pytest.raises(ZeroDivisionError), small_batches(spark, 7):
+        got = [r["n"] for r in spark.range(0, 100, 1, 2).mapInArrow(sizes, "n long").collect()]
+        assert sum(got) == 100 and max(got) <= 7
+        1 / 0
+    assert spark.conf.get(name) == before
+
+
 def test_cuts_against_a_rolling_hash():
     rng = random.Random(10)
     data = bytes(rng.randrange(97, 123) for _ in range(30000))
