@@ -47,6 +47,7 @@ TRAIN_LANES, WINDOW, WINDOWS = 256, 20, 150  # as many lanes as leave WINDOWS wi
 RATES, WARM = (6e-3, 6e-3, 4e-3, 2e-3), 50  # by round; the first one's rises over WARM steps
 DOOR = 20  # upper bits of a hash that the head is entered by
 LANES, STEPS, WASTE = 256, 64, 4  # a grid has at most about WASTE times as many cells as tokens
+CELLS = 2048  # what tokens give is computed for so many at once, as the processor's cache holds it
 END = np.uint64(0x656E64206F662074).astype(np.int64)
 
 
@@ -224,87 +225,133 @@ class Network:
         net.p["bw"][:] = c.start_word.reshape(GROUPS, PER_GROUP)
         return net
 
-    def states(self, x: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: bool = False) -> tuple[np.ndarray, list]:
-        """x: numbers of the tokens read, by step and lane. The states after each step; what backward needs."""
-        p = self.p
-        table = p["emb"] @ p["wx"] + p["b"]
-        out = np.empty((*x.shape, HIDDEN), np.float32)
-        saved = []
-        for t in range(len(x)):
-            if fresh[t].any():
-                h = np.where(fresh[t][:, None], np.float32(0), h)
-            a, g = table[x[t]], h @ p["wh"]
-            rz = sigmoid(a[:, : 2 * HIDDEN] + g[:, : 2 * HIDDEN])
-            r, z = rz[:, :HIDDEN], rz[:, HIDDEN:]
-            n = np.tanh(a[:, 2 * HIDDEN :] + r * g[:, 2 * HIDDEN :])
+    def states(self, x: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """x: numbers of the tokens read, by step and lane. The states after each step; what backward needs: by step,
+        the state before it, both gates, the new part and what the state adds to it. Inside, lanes are the last axis, so
+        that each part is contiguous."""
+        p, (steps, width) = self.p, x.shape
+        dtype, rz = p["wh"].dtype, 2 * HIDDEN
+        # Gates' inputs are negated, as their function needs them
+        sign = np.ones((3 * HIDDEN, 1), dtype)
+        sign[:rz] = -1
+        wh, wx, b = sign * p["wh"].T, sign * p["wx"].T, sign * p["b"][:, None]
+        out = np.empty((steps, HIDDEN, width), dtype)
+        saved = np.empty((steps if keep else 1, 5, HIDDEN, width), dtype)
+        g = np.empty((3 * HIDDEN, width), dtype)
+        to_gates, to_new = g[:rz], g[rz:]
+        before, r, z, n, gn = saved[0]
+        gates = saved[0, 1:3].reshape(rz, width)
+        h, begins = np.ascontiguousarray(h.T), fresh.any(1).tolist()
+        block = max(1, CELLS // width)
+        for t in range(steps):
+            if t % block == 0:
+                a = np.matmul(wx, p["emb"].take(x[t : t + block], 0).transpose(0, 2, 1))
+                a += b
+            if begins[t]:
+                h = np.where(fresh[t], dtype.type(0), h)
+            if keep:
+                before, r, z, n, gn = saved[t]
+                gates = saved[t, 1:3].reshape(rz, width)
+            read, new = a[t % block], out[t]
+            np.matmul(wh, h, out=g)
+            np.add(read[:rz], to_gates, out=gates)
+            np.exp(gates, out=gates)
+            gates += 1
+            np.reciprocal(gates, out=gates)
+            np.multiply(r, to_new, out=n)
+            n += read[rz:]
+            np.tanh(n, out=n)
             if keep:
-                saved.append((h, r, z, n, g[:, 2 * HIDDEN :]))
-            h = n + z * (h - n)
-            out[t] = h
-        return out, saved
+                before[:], gn[:] = h, to_new
+            np.subtract(h, n, out=new)
+            new *= z
+            new += n
+            h = new
+        return out.transpose(0, 2, 1), saved.transpose(0, 1, 3, 2)
 
     def outputs(self, h: np.ndarray, y: np.ndarray, grad: dict[str, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-        """Natural log-probability of each target's class, and word if it is one; the loss's gradient by h."""
+        """Natural log-probability of each target's class, and word if it is one; the loss's gradient by h. Targets are
+        ordered by class, so that each class's are a slice."""
         p = self.p
-        klass = np.where(y < WORDS, y // PER_GROUP, y - WORDS + GROUPS)
+        klass = np.where(y < WORDS, y // PER_GROUP, y - WORDS + GROUPS).astype(np.int16)
+        order = np.argsort(klass, kind="stable")
+        h, klass, y = h.take(order, 0), klass[order], y[order]
         logit = h @ p["wc"]
         logit += p["bc"]
         e, s = exps(logit)
         rows = np.arange(len(y))
-        out = logit[rows, klass] - np.log(s)
+        found = logit[rows, klass] - np.log(s)
         dh = None
         if grad is not None:
-            d = e
-            d /= s[:, None]
-            d[rows, klass] -= 1
-            grad["wc"] += h.T @ d
-            grad["bc"] += d.sum(0)
-            dh = d @ p["wc"].T
-        order = np.argsort(klass.astype(np.int16), kind="stable")
-        edge = np.searchsorted(klass[order], np.arange(GROUPS + 1))
-        for k in range(GROUPS):
-            own = order[edge[k] : edge[k + 1]]
-            if not len(own):
-                continue
-            hk, word = h[own], y[own] - k * PER_GROUP
-            logit = hk @ p["ww"][k].T
-            logit += p["bw"][k]
+            e *= (1 / s)[:, None]
+            e[rows, klass] -= 1
+            grad["wc"] += h.T @ e
+            grad["bc"] += np.ones(len(y), e.dtype) @ e
+            dh = e @ p["wc"].T
+        edge = np.searchsorted(klass, np.arange(GROUPS + 1)).tolist()
+        own = [(k, slice(edge[k], edge[k + 1])) for k in range(GROUPS) if edge[k] < edge[k + 1]]
+        if own:
+            rows, word = rows[: edge[-1]], y[: edge[-1]] % PER_GROUP
+            logit = np.empty((edge[-1], PER_GROUP), e.dtype)
+            for k, at in own:
+                np.matmul(h[at], p["ww"][k].T, out=logit[at])
+            logit += p["bw"].take(klass[: edge[-1]], 0)
             e, s = exps(logit)
-            i = np.arange(len(own))
-            out[own] += logit[i, word] - np.log(s)
+            found[: edge[-1]] += logit[rows, word] - np.log(s)
             if grad is not None:
-                d = e
-                d /= s[:, None]
-                d[i, word] -= 1
-                grad["ww"][k] += d.T @ hk
-                grad["bw"][k] += d.sum(0)
-                dh[own] += d @ p["ww"][k]
-        return out, dh
-
-    def backward(self, x: np.ndarray, fresh: np.ndarray, saved: list, dout: np.ndarray, grad: dict[str, np.ndarray]) -> None:
-        p = self.p
-        da_all = np.empty((*x.shape, 3 * HIDDEN), np.float32)
-        dh = np.zeros_like(saved[0][0])
-        for t in range(len(x) - 1, -1, -1):
+                e *= (1 / s)[:, None]
+                e[rows, word] -= 1
+                for k, at in own:
+                    grad["ww"][k] += e[at].T @ h[at]
+                    dh[at] += e[at] @ p["ww"][k]
+                grad["bw"][[k for k, _ in own]] += np.add.reduceat(e, [at.start for _, at in own])
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        return found[back], None if dh is None else dh.take(back, 0)
+
+    def backward(self, x: np.ndarray, fresh: np.ndarray, saved: np.ndarray, dout: np.ndarray, grad: dict[str, np.ndarray]) -> None:
+        p, (steps, width) = self.p, x.shape
+        saved, dout = np.asarray(saved).transpose(0, 1, 3, 2), np.ascontiguousarray(dout.transpose(0, 2, 1))
+        emb, begins = p["emb"].take(x, 0), fresh.any(1).tolist()
+        wh = np.ascontiguousarray(p["wh"])
+        # A step's gradients, for the new part as the token gives it, both gates, and the new part as the state gives it
+        d = np.empty((4, HIDDEN, width), dout.dtype)
+        by_token, by_state = d[:3].reshape(3 * HIDDEN, width), d[1:].reshape(3 * HIDDEN, width)
+        turn = np.roll(np.arange(3 * HIDDEN), HIDDEN)  # from the parameters' order to by_token's
+        wx = p["wx"][:, turn]
+        by_emb, to_wx, to_b = np.empty((steps, DIM, width), dout.dtype), np.zeros((DIM, 3 * HIDDEN), dout.dtype), np.zeros(3 * HIDDEN, dout.dtype)
+        dh, rest, ones = np.zeros((HIDDEN, width), dout.dtype), np.empty((HIDDEN, width), dout.dtype), np.ones(width, dout.dtype)
+        for t in range(steps - 1, -1, -1):
             h, r, z, n, gn = saved[t]
-            dh = dh + dout[t]
-            da = da_all[t]
-            dan = dh * (1 - z) * (1 - n * n)
-            da[:, :HIDDEN] = dan * gn * r * (1 - r)
-            da[:, HIDDEN : 2 * HIDDEN] = dh * (h - n) * z * (1 - z)
-            da[:, 2 * HIDDEN :] = dan
-            dg = da.copy()
-            dg[:, 2 * HIDDEN :] *= r
-            grad["wh"] += h.T @ dg
-            dh = np.where(fresh[t][:, None], np.float32(0), dh * z + dg @ p["wh"].T)
-        # Sums by the token read first: the table's rows
-        flat, seen = da_all.reshape(-1, 3 * HIDDEN), x.ravel()
+            dh += dout[t]
+            np.multiply(n, n, out=d[0])
+            np.subtract(1, d[0], out=d[0])
+            np.subtract(1, z, out=rest)
+            d[0] *= rest
+            np.multiply(d[0], r, out=d[3])
+            np.subtract(1, r, out=d[1])
+            d[1] *= d[3]
+            d[1] *= gn
+            np.subtract(h, n, out=d[2])
+            d[2] *= rest
+            d[2] *= z
+            d *= dh
+            grad["wh"] += h @ by_state.T
+            to_wx += emb[t].T @ by_token.T
+            to_b += by_token @ ones
+            np.matmul(wx, by_token, out=by_emb[t])
+            dh *= z
+            dh += wh @ by_state
+            if begins[t]:
+                dh[:, fresh[t]] = 0
+        grad["b"][turn] += to_b
+        grad["wx"][:, turn] += to_wx
+        # Sums by the token read
+        seen = x.ravel().astype(np.int16)
         order = np.argsort(seen, kind="stable")
-        begin = np.flatnonzero(np.concatenate([[True], np.diff(seen[order]) != 0]))
-        own, rows = seen[order[begin]], np.add.reduceat(flat[order], begin)
-        grad["b"] += rows.sum(0)
-        grad["wx"] += p["emb"][own].T @ rows
-        grad["emb"][own] += rows @ p["wx"].T
+        seen = seen[order]
+        begin = np.flatnonzero(np.concatenate([[True], seen[1:] != seen[:-1]]))
+        grad["emb"][seen[begin]] += np.add.reduceat(by_emb.transpose(0, 2, 1).reshape(-1, DIM).take(order, 0), begin)
 
 
 def read_tokens(c: Counts, hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -340,20 +387,22 @@ def train(pieces: Iterable[tuple[np.ndarray, np.ndarray]], c: Counts, vector: np
         grid = np.arange(width * height).reshape(width, height).T
         begins = np.zeros(width * height, bool)
         begins[at[:-1]] = True
-        x = np.concatenate([x, np.zeros(width * height - n, np.int64)])
+        x, y = (np.append(a, np.zeros(width * height - n, np.int64))[grid] for a in (x, y))
+        begins, there = begins[grid], grid < n
         h = np.zeros((width, HIDDEN), np.float32)
         for t in range(0, height, WINDOW):
-            g = grid[t : t + WINDOW]
-            fresh, there = begins[g], g < n
-            out, saved = net.states(x[g], fresh, h, True)
+            read, target, fresh, on = (a[t : t + WINDOW] for a in (x, y, begins, there))
+            out, saved = net.states(read, fresh, h, True)
             grad = Network(np.zeros_like(net.vector))
-            _, dh = net.outputs(out[there], y[g[there]], grad.p)
-            dout = np.zeros_like(out)
-            dout[there] = dh
-            net.backward(x[g], fresh, saved, dout, grad.p)
-            k = int(there.sum())
-            d = grad.vector / np.float32(k)
-            d *= np.float32(min(1.0, 1.0 / (float(np.sqrt((d * d).sum())) + 1e-9)))
+            k = int(on.sum())
+            if k == on.size:
+                dout = net.outputs(out.reshape(-1, HIDDEN), target.ravel(), grad.p)[1].reshape(out.shape)
+            else:  # a lane's end is past the last token
+                dout = np.zeros_like(out)
+                dout[on] = net.outputs(out[on], target[on], grad.p)[1]
+            net.backward(read, fresh, saved, dout, grad.p)
+            d = grad.vector
+            d *= np.float32(min(1.0 / k, 1.0 / (float(np.sqrt(d @ d)) + 1e-9 * k)))
             adam.move(net.vector, d, RATES[round_] * (min(1.0, (adam.step + 1) / WARM) if not round_ else 1.0))
             h = out[-1]
             seen += k
@@ -362,27 +411,33 @@ def train(pieces: Iterable[tuple[np.ndarray, np.ndarray]], c: Counts, vector: np
 
 def pieces_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Rows (shard, text) in order, as (shard, hashes, where texts begin and the last ends): pieces of PER_SHARD tokens,
-    or up to one text more, whatever the batches are."""
+    or up to one text more, whatever the batches are. A shard's rest of under half a piece goes with the piece before,
+    as a piece of its own would take nearly as many steps, over few lanes."""
     shard, held, sizes = None, [], []
 
-    def piece() -> tuple[int, np.ndarray, np.ndarray]:
-        return shard, np.concatenate(held), np.concatenate([[0], np.cumsum(sizes)])
+    def piece(n: int) -> tuple[int, np.ndarray, np.ndarray]:
+        return shard, np.concatenate(held[:n]), np.concatenate([[0], np.cumsum(sizes[:n])])
 
     for batch in batches:
         of = batch.column(0).to_numpy()
         for start, texts in chunks(batch.column(1)):
             hashes, at = tokens(texts)
             for d in range(len(texts)):
-                if held and (of[start + d] != shard or sum_of >= PER_SHARD):
-                    yield piece()
+                if held and of[start + d] != shard:
+                    yield piece(len(held))
                     held, sizes = [], []
                 if not held:
-                    shard, sum_of = int(of[start + d]), 0
+                    shard, whole, more = int(of[start + d]), 0, 0  # texts of a whole piece, tokens of the next one
                 held.append(hashes[at[d] : at[d + 1]])
                 sizes.append(int(at[d + 1] - at[d]))
-                sum_of += sizes[-1]
+                more += sizes[-1]
+                if whole and more >= PER_SHARD // 2:
+                    yield piece(whole)
+                    held, sizes, whole = held[whole:], sizes[whole:], 0
+                if not whole and more >= PER_SHARD:
+                    whole, more = len(held), 0
     if held:
-        yield piece()
+        yield piece(len(held))
 
 
 def averaged(docs: DataFrame, c: Counts) -> np.ndarray:

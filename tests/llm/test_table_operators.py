@@ -285,6 +285,21 @@ def test_lm_is_better_than_counts(spark):
     assert score / tokens > base / tokens
 
 
+def test_lm_rest_of_a_shard(monkeypatch):
+    """Pieces hold each shard's tokens once, in order; a short rest takes no steps of its own, a long one does."""
+    monkeypatch.setattr(lm, "PER_SHARD", 100)
+    rows = [(0, 108), (1, 149), (2, 160), (3, 30), (4, 1000)]  # shards, and tokens of each
+    texts = [(shard, f"{shard} w{i}") for shard, n in rows for i in range(n // 3)]  # with the end, three tokens each
+    batches = [pa.RecordBatch.from_arrays([pa.array([s for s, _ in texts[i : i + 7]]), pa.array([t for _, t in texts[i : i + 7]])], names=["shard", "text"]) for i in range(0, len(texts), 7)]
+    found = list(lm.pieces_of(iter(batches)))
+    assert [(shard, len(hashes)) for shard, hashes, _ in found[:5]] == [(0, 108), (1, 147), (2, 102), (2, 57), (3, 30)]
+    assert [len(hashes) for shard, hashes, _ in found if shard == 4] == [102] * 9 + [81]
+    for shard, n in rows:
+        expected = lm.tokens(pa.array([t for s, t in texts if s == shard], pa.large_string()))[0]
+        assert np.concatenate([hashes for s, hashes, _ in found if s == shard]).tolist() == expected.tolist()
+    assert all(at[0] == 0 and at[-1] == len(hashes) and (np.diff(at) == 3).all() for _, hashes, at in found)
+
+
 def test_lm_look_up():
     rng = np.random.Generator(np.random.PCG64(5))
     keys = np.unique(np.concatenate([rng.integers(-(1 << 63), 1 << 63, 5000), np.arange(-3, 4), [-(1 << 63), (1 << 63) - 1]]))
