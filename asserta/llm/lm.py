@@ -312,40 +312,39 @@ class Network:
     def backward(self, x: np.ndarray, fresh: np.ndarray, saved: np.ndarray, dout: np.ndarray, grad: dict[str, np.ndarray]) -> None:
         p, (steps, width) = self.p, x.shape
         saved, dout = np.asarray(saved).transpose(0, 1, 3, 2), np.ascontiguousarray(dout.transpose(0, 2, 1))
-        emb, begins = p["emb"].take(x, 0), fresh.any(1).tolist()
+        emb = np.concatenate([p["emb"], np.ones((RARE + 1, 1), dout.dtype)], 1).take(x, 0)  # the bias is as of one more
+        begins = fresh.any(1).tolist()
         wh = np.ascontiguousarray(p["wh"])
         # A step's gradients, for the new part as the token gives it, both gates, and the new part as the state gives it
         d = np.empty((4, HIDDEN, width), dout.dtype)
+        to_new, gates, to_old = d[0], d[1:3], d[3]
         by_token, by_state = d[:3].reshape(3 * HIDDEN, width), d[1:].reshape(3 * HIDDEN, width)
         turn = np.roll(np.arange(3 * HIDDEN), HIDDEN)  # from the parameters' order to by_token's
         wx = p["wx"][:, turn]
-        by_emb, to_wx, to_b = np.empty((steps, DIM, width), dout.dtype), np.zeros((DIM, 3 * HIDDEN), dout.dtype), np.zeros(3 * HIDDEN, dout.dtype)
-        dh, rest, ones = np.zeros((HIDDEN, width), dout.dtype), np.empty((HIDDEN, width), dout.dtype), np.ones(width, dout.dtype)
+        by_emb, to_wx = np.empty((steps, DIM, width), dout.dtype), np.zeros((DIM + 1, 3 * HIDDEN), dout.dtype)
+        dh, rest = np.zeros((HIDDEN, width), dout.dtype), np.empty((2, HIDDEN, width), dout.dtype)
         for t in range(steps - 1, -1, -1):
             h, r, z, n, gn = saved[t]
             dh += dout[t]
-            np.multiply(n, n, out=d[0])
-            np.subtract(1, d[0], out=d[0])
-            np.subtract(1, z, out=rest)
-            d[0] *= rest
-            np.multiply(d[0], r, out=d[3])
-            np.subtract(1, r, out=d[1])
-            d[1] *= d[3]
-            d[1] *= gn
-            np.subtract(h, n, out=d[2])
-            d[2] *= rest
-            d[2] *= z
+            np.subtract(1, saved[t, 1:3], out=rest)
+            np.multiply(n, n, out=to_new)
+            np.subtract(1, to_new, out=to_new)
+            to_new *= rest[1]
+            np.multiply(to_new, r, out=to_old)
+            np.multiply(to_old, gn, out=gates[0])
+            np.subtract(h, n, out=gates[1])
+            gates[1] *= z
+            gates *= rest
             d *= dh
             grad["wh"] += h @ by_state.T
             to_wx += emb[t].T @ by_token.T
-            to_b += by_token @ ones
             np.matmul(wx, by_token, out=by_emb[t])
             dh *= z
             dh += wh @ by_state
             if begins[t]:
                 dh[:, fresh[t]] = 0
-        grad["b"][turn] += to_b
-        grad["wx"][:, turn] += to_wx
+        grad["wx"][:, turn] += to_wx[:DIM]
+        grad["b"][turn] += to_wx[DIM]
         # Sums by the token read
         seen = x.ravel().astype(np.int16)
         order = np.argsort(seen, kind="stable")
@@ -490,7 +489,8 @@ def log_likelihood(c: Counts, net: Network, y: np.ndarray, x: np.ndarray, at: np
         g, f = grid[t : t + STEPS, live], fresh[t : t + STEPS, live]
         there = g >= 0
         states, _ = net.states(np.where(there, x[g], 0), f, h)
-        out[g[there]] = net.outputs(states[there], y[g[there]])[0]
+        spot = g[there]
+        out[spot] = net.outputs(states.reshape(-1, HIDDEN) if len(spot) == g.size else states[there], y[spot])[0]
         h = states[-1]
     return out / np.log(10)
 
