@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from asserta.functions.values import any_value, compared, literal, matches, narrowed, native
 from asserta.model import Constraint, Tag, UnboundVariable, Value, Var
 
+#: Rows of a block where many rows are joined with many, and the tasks that gather the rows of one value.
+BLOCK, DEAL = 512, 32
+
 
 @dataclass
 class Relation:
@@ -56,10 +59,11 @@ def fetched(facts: DataFrame, terms: tuple[Var | int, Var | int, Var | Value], k
     return Relation(frame.select(*[c.alias(n) for n, c in columns.items()]), kinds)
 
 
-def joined(left: Relation, right: Relation) -> Relation:
+def joined(left: Relation, right: Relation, many: bool = False) -> Relation:
     """Natural inner join on all shared variables: left's columns, then right's others. Where a shared variable's kind
     is known on one side only, the other is narrowed to it; kinds known to differ never match. Without shared
-    variables it is the product; a relation without variables is a test that the other's rows pass or not."""
+    variables it is the product; a relation without variables is a test that the other's rows pass or not.
+    many: a value of the shared variables may stand in very many rows of both, so pairs are dealt out."""
     shared = [n for n in left.kinds if n in right.kinds]
     a, b = left.frame, right.frame
     kinds, offsets = dict(left.kinds), {n: o for n, o in right.offsets.items() if n not in left.kinds} | left.offsets
@@ -85,11 +89,47 @@ def joined(left: Relation, right: Relation) -> Relation:
     # A relation without columns has one row or none, as facts are a set: a test, not a product
     if not right.kinds or not left.kinds:
         frame = a.where(b.exists()) if not right.kinds else b.where(a.exists())
+    elif many and len(shared) < min(len(left.kinds), len(right.kinds)):
+        frame = dealt(a, b, shared)
     else:
         frame = a.join(b, shared, "inner") if shared else a.crossJoin(b)
     return Relation(frame.select(*[F.col(f"`{n}`") for n in [*kinds, *new]]), kinds | new, offsets)
 
 
+def blocks(frame: DataFrame, shared: list[str], rest: str, number: str) -> DataFrame:
+    """A row for each block of at most BLOCK rows with equal values of `shared`: these, the rows' other columns as an
+    array, and the block's number, which tells it from the others of these values. What a value has very many rows of is
+    gathered in DEAL tasks."""
+    others = [n for n in frame.columns if n not in shared]
+    keys = [F.col(f"`{n}`") for n in shared]
+    row = F.struct(*[F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(others)])
+    share = F.pmod(F.xxhash64(row), F.lit(DEAL)).alias("share__")
+    gathered = frame.groupBy(*keys, share).agg(F.collect_list(row).alias("rows__"))
+    # Arrays of a plain column are quicker to unfold than those of structs
+    gathered = gathered.select(*keys, "share__", (F.transform("rows__", lambda x: x["c0"]) if len(others) == 1 else F.col("rows__")).alias("rows__"))
+    parts = F.transform(F.sequence(F.lit(1), F.size("rows__"), F.lit(BLOCK)), lambda i: F.slice("rows__", i, BLOCK))
+    return gathered.select(*keys, "share__", F.posexplode(parts).alias("part__", rest)).select(*keys, rest, (F.col("part__") * DEAL + F.col("share__")).alias(number))
+
+
+def dealt(left: DataFrame, right: DataFrame, shared: list[str]) -> DataFrame:
+    """The natural join by pairs of blocks. They are dealt out by their numbers before they are unfolded, so that work is
+    spread by the rows that come out, however few values or files there are, and a task holds one pair at a time."""
+    pairs = blocks(left, shared, "left__", "i__").join(blocks(right, shared, "right__", "j__"), shared, "inner")
+    keys = [F.col(f"`{n}`") for n in shared]
+
+    def unfolded(frame: DataFrame, rest: str, of: DataFrame, *kept: Column | str) -> DataFrame:
+        others = [n for n in of.columns if n not in shared]
+        one = frame.select(*keys, *kept, F.explode(rest).alias(rest))
+        return one.select(*keys, *kept, *[(F.col(rest) if len(others) == 1 else F.col(rest)[f"c{i}"]).alias(n) for i, n in enumerate(others)])
+
+    # A fixed number, as adaptive execution would size partitions by the arrays, not by what they unfold to
+    spark = left.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    half = unfolded(pairs.repartition(tasks, *keys, "i__", "j__"), "left__", left, "right__")
+    # Compiled code keeps all rows that one row becomes; coalesce, which moves nothing here, ends it between the two
+    return unfolded(half.coalesce(1 << 30), "right__", right, *[F.col(f"`{n}`") for n in left.columns if n not in shared])
+
+
 def condition(relation: Relation, constraint: Constraint) -> Column:
     """A number literal counts as a long against a variable of longs."""
     for v in constraint.variables():

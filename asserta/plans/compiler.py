@@ -36,9 +36,13 @@ def compiled(query: Query, source: Source) -> Relation:
         group = source.group(p)
         groups.setdefault((p.entity, group) if group is not None else k, []).append(p)
     units = list(groups.items())
-    whole = None
+    whole, entities = None, set()
     for i in ordered([(set().union(*(p.variables() for p in own)), sum(p.constants() for p in own)) for _, own in units]):
         key, own = units[i]
         part = source.star(own) if isinstance(key, tuple) else fetch(source, own[0])
-        whole = part if whole is None else joined(whole, part)
+        # Of what is an entity on neither side, each value may have very many rows on both
+        own_entities = {p.entity.name for p in own if isinstance(p.entity, Var)}
+        shared = {n for n in part.kinds if whole is not None and n in whole.kinds}
+        whole = part if whole is None else joined(whole, part, len(shared) == 1 and not shared & (entities | own_entities))
+        entities |= own_entities
     return projected(constrained(whole, list(query.constraints)), query.find)

@@ -7,9 +7,13 @@ import sys
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from asserta import queries as core
 from asserta.db import Db
+from asserta.model import Tag
+from asserta.operators import relational
+from asserta.operators.relational import Relation, joined
 from asserta.sources.mapping import benchmark_source
 
 DATA = pathlib.Path("/root/testdata/sf0.001")
@@ -54,6 +58,22 @@ def test_joins_are_on_the_tables_own_keys(spark):
     assert "Join Inner" in text and "Arguments: o_custkey" not in text and "3298534883328" not in text and "6597069766656" not in text
 
 
+def test_many_rows_joined_with_many_are_dealt_out(spark, monkeypatch):
+    """Pairs of one file's rows with another's come from several tasks; all of them, with nulls and several columns."""
+    db = Db(benchmark_source(spark, str(DATA)))
+    found = db.query("find ?s ?c where (?s supplier:nation ?n) (?c customer:nation ?n)")
+    assert found.select(F.spark_partition_id()).distinct().count() > 1
+    by_entity = db.query("find ?c ?name where (?c customer:nation ?n) (?n nation:name ?name)")
+    assert "posexplode" not in plan(by_entity) and "posexplode" in plan(found)
+    monkeypatch.setattr(relational, "BLOCK", 3)
+    monkeypatch.setattr(relational, "DEAL", 2)
+    left = [(None if i % 11 == 0 else i % 11 % 3, i // 2, None if i % 5 == 0 else f"l{i}") for i in range(60)]
+    right = [(i % 4, None if i % 7 == 0 else i // 2) for i in range(50)]
+    both = joined(Relation(spark.createDataFrame(left, "k bigint, x bigint, s string"), {"k": Tag.LONG, "x": Tag.LONG, "s": Tag.STRING}), Relation(spark.createDataFrame(right, "k bigint, y bigint"), {"k": Tag.LONG, "y": Tag.LONG}), many=True)
+    assert both.frame.columns == ["k", "x", "s", "y"]
+    assert sorted(map(str, map(tuple, both.frame.collect()))) == sorted(str((k, x, s, y)) for k, x, s in left for j, y in right if k == j and k is not None)
+
+
 def test_filters_pass_below_current_facts(spark, tmp_path):
     datoms = core.recorded(spark, str(DATA), 6, lambda d: [])[0]
     path = str(tmp_path / "datoms")
