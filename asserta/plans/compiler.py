@@ -5,11 +5,12 @@ from __future__ import annotations
 from typing import Protocol
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from asserta.model import Query, Value, Var
 from asserta.operators.relational import Relation, constrained, fetched, joined, projected
 from asserta.plans.binder import Pattern, bound, ordered
-from asserta.schema import Schema
+from asserta.schema import IDENT, VALUE_TYPE, Schema
 
 
 class Source(Protocol):
@@ -26,8 +27,11 @@ class Source(Protocol):
 
 
 def fetch(source: Source, p: Pattern) -> Relation:
+    """What defines attributes is as small as the schema, so it is sent to the facts it is joined with: those stay where
+    they are, in place of being dealt out by their few attributes and sorted."""
     given = [None if isinstance(t, Var) else t for t in (p.entity, p.attribute, p.value)]
-    return fetched(source.facts(*given), (p.entity, p.attribute, p.value), p.kind)
+    found = fetched(source.facts(*given), (p.entity, p.attribute, p.value), p.kind)
+    return Relation(F.broadcast(found.frame), found.kinds, found.offsets) if p.attribute in (IDENT, VALUE_TYPE) else found
 
 
 def compiled(query: Query, source: Source) -> Relation:

@@ -74,6 +74,13 @@ def test_many_rows_joined_with_many_are_dealt_out(spark, monkeypatch):
     assert sorted(map(str, map(tuple, both.frame.collect()))) == sorted(str((k, x, s, y)) for k, x, s in left for j, y in right if k == j and k is not None)
 
 
+def test_facts_of_all_attributes_stay_where_they_are(spark):
+    """Names of attributes go to the facts; these aren't dealt out by attribute and sorted."""
+    for name in ("fetch_full_scan", "fetch_value_only"):
+        text = plan(core.REGISTRY[name][0](spark, str(DATA)))
+        assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text and "hashpartitioning" not in text
+
+
 def test_filters_pass_below_current_facts(spark, tmp_path):
     datoms = core.recorded(spark, str(DATA), 6, lambda d: [])[0]
     path = str(tmp_path / "datoms")
