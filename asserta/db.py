@@ -243,8 +243,11 @@ class Connection:
         slots = F.when(F.col("tag").isin(0, 1), F.col("s").isNotNull()).when(F.col("tag") == int(Tag.TIMESTAMP), F.col("ts").isNotNull()).otherwise(F.col("n").isNotNull())
         good = F.coalesce(F.col("e").isNotNull() & F.col("a").isNotNull() & (F.col("tag") == F.col("kind")) & slots, F.lit(False))
         staged = self.spark.read.schema(joined.schema).parquet(path)
-        n, wrong, attributes = staged.agg(F.count("*"), F.max(F.when(~good, F.struct("attribute", "tag"))), F.collect_set("a")).first()
-        if wrong:
+        # Counts alone are a hash aggregate
+        counts = staged.groupBy("a").agg(F.count("*").alias("n"), F.count_if(~good).alias("wrong")).collect()
+        n, attributes = sum(r["n"] for r in counts), {r["a"] for r in counts}
+        if any(r["wrong"] for r in counts):
+            wrong = staged.where(~good).agg(F.max(F.struct("attribute", "tag")).alias("w")).first()["w"]
             delete_path(self.spark, path)
             return TxReport(error=TypeMismatch(f"{wrong['attribute']}: no such attribute, or no value of its kind (tag {wrong['tag']})"))
         own = self.spark.createDataFrame([datom(number, TX_TIMESTAMP, timestamp(self.clock()), number)], DATOM)

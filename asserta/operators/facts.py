@@ -20,9 +20,12 @@ def current(datoms: DataFrame) -> DataFrame:
     return datoms.groupBy(*FACT).agg(last.alias("last")).where(F.col("last") % 2 == 0).select(*FACT)
 
 
-def coalesced(datoms: DataFrame) -> DataFrame:
+def coalesced(datoms: DataFrame, order: tuple[str, ...] = FACT) -> DataFrame:
     """The record without operations that repeat the one before on the same fact, and of each whether it is what made
-    the fact true now (current)."""
-    order = Window.partitionBy(*FACT).orderBy("tx", "retracted")
-    changes = datoms.withColumn("before", F.lag("retracted").over(order)).where(F.col("before").isNull() | (F.col("before") != F.col("retracted"))).drop("before")
-    return changes.withColumn("current", ~F.col("retracted") & F.lead("retracted").over(order).isNull())
+    the fact true now (current). order: the fact's columns; rows dealt out by ranges of these and sorted by them, tx and
+    retracted are neither moved nor sorted again."""
+    own = Window.partitionBy(*order).orderBy("tx", "retracted")
+    undone = F.max(F.when(F.col("retracted"), F.col("tx"))).over(own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    marked = datoms.withColumns({"before": F.lag("retracted").over(own), "undone": undone})
+    changes = marked.where(F.col("before").isNull() | (F.col("before") != F.col("retracted")))
+    return changes.withColumn("current", ~F.col("retracted") & F.coalesce(F.col("tx") > F.col("undone"), F.lit(True))).drop("before", "undone")

@@ -37,6 +37,8 @@ from asserta.sources.workspace import child_names, delete_path, read_text, renam
 
 #: Records of the log that call for a compaction.
 LOG_LIMIT = 100_000
+#: Records that a task of a compaction sorts: few, so its memory doesn't grow with the base, and tasks are many.
+PER_TASK = 500_000
 #: Folders of one level that are gathered into one.
 FOLDERS = 64
 #: Seconds after which a writer's lock may be taken over, unless it was renewed.
@@ -219,19 +221,29 @@ class Store:
             out = current(moved) if out is None else out.unionByName(current(moved))
         return self.spark.createDataFrame([], DATOM).select(*FACT) if out is None else out
 
+    def merged(self, manifest: Manifest, columns: tuple[str, ...], tasks: int) -> DataFrame:
+        """Base and log of what the log touched, without repeated operations, in ranges of the columns and sorted by them.
+        What one value or one entity has very much of is dealt out by the other columns. One exchange and one sort serve
+        both the order and what is done to each fact's operations; the last sort is for the writer, which looks for one
+        at the top, and Spark leaves it out."""
+        before = self.based(manifest, {*manifest.touched})
+        rows = self.logged(manifest)
+        rows = rows if before is None else rows.unionByName(before.drop("current"))
+        rows = rows.repartitionByRange(tasks, *columns).sortWithinPartitions(*columns, "tx", "retracted")
+        return coalesced(rows, columns).sortWithinPartitions(*columns)
+
     def compact(self, manifest: Manifest) -> Manifest:
         """Moves log and segments into the base, without repeated operations, and publishes the result."""
         if not manifest.log and not manifest.segments:
             return manifest
         version = max([0, *manifest.base.values()]) + 1
         before = self.based(manifest, {*manifest.touched})
-        rows = self.logged(manifest)
-        rows = coalesced(rows if before is None else rows.unionByName(before.drop("current")))
-        first = f"{self.path}/base/{version}/value"
-        for order, columns in ORDERS.items():
-            # What one value or one entity has very much of is dealt out by the other columns
-            rows.repartitionByRange(*columns).sortWithinPartitions(*columns).write.mode("overwrite").partitionBy("a").parquet(f"{self.path}/base/{version}/{order}")
-            rows = self.spark.read.schema(BASE).parquet(first)
+        tasks = 1 + (manifest.records() + (before.count() if before else 0)) // PER_TASK
+        rows = self.merged(manifest, ORDERS["value"], tasks)
+        root, columns = f"{self.path}/base/{version}", ORDERS["entity"]
+        rows.write.mode("overwrite").partitionBy("a").parquet(f"{root}/value")
+        rows = self.spark.read.schema(BASE).parquet(f"{root}/value")
+        rows.repartitionByRange(tasks, *columns).sortWithinPartitions(*columns).write.mode("overwrite").partitionBy("a").parquet(f"{root}/entity")
         done = Manifest.from_text(manifest.to_text())
         done.base |= dict.fromkeys(manifest.touched, version)
         done.log, done.segments, done.touched = {}, [], []

@@ -245,6 +245,30 @@ def test_prompt(spark, monkeypatch, capsys):
     assert "sample loaded" in said and '"Isar"' in said and "error: no attribute is named nothing" in said and "transaction" in said
 
 
+def test_compaction_moves_and_sorts_records_once(spark, monkeypatch):
+    """One exchange and one sort in each order; tasks by the number of records, none but the last ones of a fact's repeated
+    operations is lost, and what is current is told after each."""
+    monkeypatch.setattr(stores, "PER_TASK", 4)
+    c = Connection(spark, new_path(spark, "sorted"), lambda: CLOCK)
+    c.transact(SCHEMA)
+    for text in ("add (500 length 1) add (501 length 2)", "add (500 length 1) retract (501 length 2)", "retract (500 length 1) retract (500 length 1)", "add (500 length 1) add (502 length 3)"):
+        assert c.transact(text).ok
+    text = plan(c.store.merged(c.writing, stores.ORDERS["value"], 3))
+    assert text.count("Arguments: rangepartitioning") == 1 and text.count("Exchange\n") == 1 and text.count(") Sort\n") == 1, text
+    was = rows(c.db(), "find ?e ?a ?v where (?e ?a ?v)")
+    c.compact()
+    base = c.store.based(c.writing, {*c.writing.base})
+    a = c.db().schema.entity("length")
+    assert sorted((r["e"], r["tx"], r["retracted"], r["current"]) for r in base.where(f"a = {a}").collect()) == [(500, 15, False, False), (500, 17, True, False), (500, 18, False, True), (501, 15, False, False), (501, 16, True, False), (502, 18, False, True)]
+    assert rows(c.db(), "find ?e ?a ?v where (?e ?a ?v)") == was
+    files = {r[0] for r in base.selectExpr("input_file_name()").collect()}
+    assert len({f.rsplit("/", 1)[1].split("-")[1] for f in files}) > 2
+    assert c.transact("retract (502 length 3)").ok
+    c.compact()
+    c.close()
+    assert rows(c.db(), "find ?e ?v where (?e length ?v)") == [(500, 1)]
+
+
 def test_frames_are_evaluated_once(spark):
     """What was checked is what is recorded, also if a frame differs from run to run."""
     c = Connection(spark, new_path(spark, "once"))
